@@ -86,11 +86,9 @@ def rank_of(label: Column, order: Sequence[str], default: int = 0) -> Column:
 
 
 def label_of(rank: Column, order: Sequence[str]) -> Column:
-    """Position -> label (inverse of :func:`rank_of`)."""
-    expr = None
-    for i, name in enumerate(order):
-        expr = F.when(rank == i, F.lit(name)) if expr is None else expr.when(rank == i, F.lit(name))
-    return expr
+    """Position -> label (inverse of :func:`rank_of`); ``rank`` is referenced
+    once so large rank expressions are not duplicated by the optimizer."""
+    return F.try_element_at(F.array(*[F.lit(x) for x in order]), rank.cast("int") + 1)
 
 
 def severity_from_score(score: Column) -> Column:

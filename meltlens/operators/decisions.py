@@ -75,44 +75,65 @@ def _signal(df: DataFrame, name: str) -> Column:
     return clamp01_scalar(_numeric(df, name)) if name in df.columns else F.lit(0.0)
 
 
-def decision_columns(df: DataFrame, th: dict | None = None, rule_th: dict | None = None) -> dict[str, Column]:
+def decision_stages(df: DataFrame, th: dict | None = None, rule_th: dict | None = None) -> DataFrame:
     """D1-D5 over a frame that already carries ``cluster_defect_rate`` /
-    ``cluster_risky`` (see :func:`attach_cluster_stats`)."""
+    ``cluster_risky`` (see :func:`attach_cluster_stats`).
+
+    Evaluated in small projection stages so that no large sub-expression is
+    referenced (and therefore copied) more than once.
+    """
     t = dict(TH, **(th or {}))
-    p, a = _signal(df, "defect_prob"), _signal(df, "anomaly_score")
+    s1 = df.withColumns({
+        "__p": _signal(df, "defect_prob"),
+        "__a": _signal(df, "anomaly_score"),
+        "__cl": F.coalesce(F.col("cluster").cast("int"), F.lit(-1)) if "cluster" in df.columns else F.lit(-1),
+    })
+    p, a, cl = F.col("__p"), F.col("__a"), F.col("__cl")
     rate, risky = F.col("cluster_defect_rate"), F.col("cluster_risky")
-    cl = F.coalesce(F.col("cluster").cast("int"), F.lit(-1)) if "cluster" in df.columns else F.lit(-1)
-    p_lvl = F.when(p >= t["defect_stop"], 3).when(p >= t["defect_hold"], 2).when(p >= t["defect_monitor"], 1).otherwise(0)
-    a_lvl = F.when(a >= t["anomaly_stop"], 3).when(a >= t["anomaly_hold"], 2).when(a >= t["anomaly_monitor"], 1).otherwise(0)
-    c_lvl = F.when(rate >= t["cluster_stop_rate"], 3).when(risky, 2).otherwise(0)
-    factors = F.array_compact(F.array(
-        F.when(p >= t["defect_stop"], F.format_string("Defect probability %.1f%% (critical)", p * 100.0))
-        .when(p >= t["defect_hold"], F.format_string("Defect probability %.1f%% (high)", p * 100.0))
-        .when(p >= t["defect_monitor"], F.format_string("Defect probability %.1f%% (elevated)", p * 100.0)),
-        F.when(a >= t["anomaly_stop"], F.format_string("Anomaly score %.2f (critical pattern)", a))
-        .when(a >= t["anomaly_hold"], F.format_string("Anomaly score %.2f (unusual process)", a))
-        .when(a >= t["anomaly_monitor"], F.format_string("Anomaly score %.2f (monitor)", a)),
-        F.when(rate >= t["cluster_stop_rate"],
-               F.format_string("Cluster %d historical defect rate %.1f%%", cl, rate * 100.0))
-        .when(risky, F.format_string("Cluster %d elevated historical risk (%.1f%%)", cl, rate * 100.0)),
-    ))
-    rule_risk, rule_rec, _ = _rule_ranks(df, p, a, rule_th)
-    risk_rank = F.greatest(p_lvl, a_lvl, c_lvl, rule_risk)
-    rec0 = F.greatest(p_lvl, a_lvl, c_lvl, rule_rec)
-    # D2 consistency overrides
-    rec1 = F.when((risk_rank == 3) & (rec0 == 1), 2).when((risk_rank == 3) & (rec0 == 0), 3).otherwise(rec0)
-    rec2 = F.when((a >= t["anomaly_stop"]) & (rec1 == 0), 3).otherwise(rec1)
-    rec3 = F.when((p >= t["defect_hold"]) & (rec2 == 0), 2).otherwise(rec2)
+    rule_risk, rule_rec, _ = _rule_ranks(s1, p, a, rule_th)
+    s2 = s1.withColumns({
+        "__p_lvl": F.when(p >= t["defect_stop"], 3).when(p >= t["defect_hold"], 2)
+        .when(p >= t["defect_monitor"], 1).otherwise(0),
+        "__a_lvl": F.when(a >= t["anomaly_stop"], 3).when(a >= t["anomaly_hold"], 2)
+        .when(a >= t["anomaly_monitor"], 1).otherwise(0),
+        "__c_lvl": F.when(rate >= t["cluster_stop_rate"], 3).when(risky, 2).otherwise(0),
+        "__rule_risk": rule_risk,
+        "__rule_rec": rule_rec,
+        "__factors": F.array_compact(F.array(
+            F.when(p >= t["defect_stop"], F.format_string("Defect probability %.1f%% (critical)", p * 100.0))
+            .when(p >= t["defect_hold"], F.format_string("Defect probability %.1f%% (high)", p * 100.0))
+            .when(p >= t["defect_monitor"], F.format_string("Defect probability %.1f%% (elevated)", p * 100.0)),
+            F.when(a >= t["anomaly_stop"], F.format_string("Anomaly score %.2f (critical pattern)", a))
+            .when(a >= t["anomaly_hold"], F.format_string("Anomaly score %.2f (unusual process)", a))
+            .when(a >= t["anomaly_monitor"], F.format_string("Anomaly score %.2f (monitor)", a)),
+            F.when(rate >= t["cluster_stop_rate"],
+                   F.format_string("Cluster %d historical defect rate %.1f%%", cl, rate * 100.0))
+            .when(risky, F.format_string("Cluster %d elevated historical risk (%.1f%%)", cl, rate * 100.0)),
+        )),
+    })
+    lv = [F.col("__p_lvl"), F.col("__a_lvl"), F.col("__c_lvl")]
+    s3 = s2.withColumns({
+        "__risk_rank": F.greatest(*lv, F.col("__rule_risk")),
+        "__rec0": F.greatest(*lv, F.col("__rule_rec")),
+    })
+    risk_rank, rec0 = F.col("__risk_rank"), F.col("__rec0")
+    # D2 consistency overrides (only a PROCEED/MONITOR under CRITICAL can change)
+    rec = (F.when((rec0 == 0) & ((risk_rank == 3) | (a >= t["anomaly_stop"])), 3)
+           .when((rec0 == 0) & (p >= t["defect_hold"]), 2)
+           .when((rec0 == 1) & (risk_rank == 3), 2)
+           .otherwise(rec0))
     n_high = (flag(p >= t["defect_monitor"]) + flag(a >= t["anomaly_monitor"])
               + flag(rate >= t["cluster_hold_rate"] * 0.5))
-    n_factors = F.size(factors)
-    return {
+    s4 = s3.withColumns({"__rec": rec, "__n_high": n_high})
+    out = s4.withColumns({
         "risk_level": label_of(risk_rank, config.RISK_ORDER),
-        "recommendation": label_of(rec3, REC_BY_SEVERITY),
+        "recommendation": label_of(F.col("__rec"), REC_BY_SEVERITY),
         "final_risk_score": F.round(F.greatest(p, a, rate) * 100.0, 1),  # D3
-        "risk_confidence": F.round(F.least(F.lit(0.95), 0.45 + 0.18 * n_high + 0.12 * n_factors), 2),  # D4
-        "risk_factors": F.concat_ws("; ", factors),  # D5
-    }
+        "risk_confidence": F.round(F.least(F.lit(0.95), 0.45 + 0.18 * F.col("__n_high")
+                                           + 0.12 * F.size("__factors")), 2),  # D4
+        "risk_factors": F.concat_ws("; ", F.col("__factors")),  # D5
+    })
+    return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
 def _rule_ranks(df: DataFrame, p: Column, a: Column, rule_th: dict | None):
@@ -128,7 +149,7 @@ def unified_decisions(df: DataFrame, stats: DataFrame | None = None, th: dict |
     is computed from ``df`` itself, which is what the reference does (T10).
     """
     with_stats = attach_cluster_stats(df, stats)
-    out = with_stats.withColumns(decision_columns(with_stats, th, rule_th))
+    out = decision_stages(with_stats, th, rule_th)
     if not keep_stats:
         out = out.drop("cluster_defect_rate", "cluster_risky")
     return out
@@ -157,15 +178,19 @@ def batch_id(df: DataFrame, row_key: Column | None = None) -> Column:
     return F.coalesce(*parts, fallback) if parts else fallback
 
 
-def qa_report(df: DataFrame, row_key: Column | None = None, rule_th: dict | None = None) -> Column:
-    """The full multi-line report for a decided row (pure column)."""
-    p, a = _signal(df, "defect_prob"), _signal(df, "anomaly_score")
-    cl = F.coalesce(F.col("cluster").cast("int"), F.lit(-1)) if "cluster" in df.columns else F.lit(-1)
-    conf = clamp01_scalar(F.col("risk_confidence")) if "risk_confidence" in df.columns else F.lit(0.5)
-    o = build_rules(df, p, a, rule_th)
-    warnings = F.array_compact(F.array(*o.warnings))
-    causes = F.array_compact(F.array(*o.causes))
-    actions = F.array_compact(F.array(*o.actions))
+def with_qa_report(df: DataFrame, row_key: Column | None = None, rule_th: dict | None = None,
+                   name: str = "qa_summary") -> DataFrame:
+    """The full multi-line report for each decided row (pure columns,
+    evaluated in stages so the rule texts are built once per row)."""
+    s1 = df.withColumns({
+        "__p": _signal(df, "defect_prob"),
+        "__a": _signal(df, "anomaly_score"),
+        "__cl": F.coalesce(F.col("cluster").cast("int"), F.lit(-1)) if "cluster" in df.columns else F.lit(-1),
+        "__conf": clamp01_scalar(F.col("risk_confidence")) if "risk_confidence" in df.columns else F.lit(0.5),
+        "__bid": batch_id(df, row_key),
+    })
+    p, a, cl = F.col("__p"), F.col("__a"), F.col("__cl")
+    o = build_rules(s1, p, a, rule_th)
     given = F.filter(F.transform(F.split(F.coalesce(F.col("risk_factors"), F.lit("")), ";"), lambda x: F.trim(x)),
                      lambda x: x != "") if "risk_factors" in df.columns else F.array().cast("array<string>")
     derived = F.array_compact(F.array(
@@ -173,34 +198,42 @@ def qa_report(df: DataFrame, row_key: Column | None = None, rule_th: dict | None
         F.when(a != 0, F.format_string("Anomaly score signal %.2f", a)),
         F.when(cl >= 0, F.format_string("Cluster %d process grouping", cl)),
     ))
-    base = F.when(F.size(given) > 0, given).otherwise(derived)
-    factors = F.array_distinct(F.transform(F.concat(base, warnings),
-                                           lambda x: F.replace(x, F.lit(config.LEGACY_STOP_WORD), F.lit("STOP"))))
+    s2 = s1.withColumns({
+        "__warn": F.array_compact(F.array(*o.warnings)),
+        "__causes": F.array_compact(F.array(*o.causes)),
+        "__acts": F.array_compact(F.array(*o.actions)),
+        "__given": given,
+        "__derived": derived,
+    })
+    base = F.when(F.size("__given") > 0, F.col("__given")).otherwise(F.col("__derived"))
+    s3 = s2.withColumn("__factors", F.array_distinct(F.transform(
+        F.concat(base, F.col("__warn")), lambda x: F.replace(x, F.lit(config.LEGACY_STOP_WORD), F.lit("STOP")))))
     risk = F.coalesce(F.col("risk_level"), F.lit("LOW"))
     rec = F.col("recommendation")
-    return F.concat_ws(
+    report = F.concat_ws(
         "\n",
         F.lit(_RULE_LINE), F.lit("INDUSTRIAL QA REPORT"), F.lit(_RULE_LINE), F.lit(""),
-        F.concat(F.lit("Batch ID: "), batch_id(df, row_key)),
+        F.concat(F.lit("Batch ID: "), F.col("__bid")),
         F.concat(F.lit("Risk Level: "), risk),
         F.concat(F.lit("Recommendation: "), rec),
         F.format_string("Defect Probability: %.1f%%", p * 100.0),
-        F.format_string("Confidence: %.0f%%", conf * 100.0),
+        F.format_string("Confidence: %.0f%%", F.col("__conf") * 100.0),
         F.format_string("Anomaly Score: %.2f", a),
         F.format_string("Cluster: %d", cl),
-        F.lit(""), F.lit("WARNINGS"), _bullets(warnings),
-        F.lit(""), F.lit("PROBABLE CAUSES"), _bullets(causes),
-        F.lit(""), F.lit("ENGINEERING RECOMMENDATIONS"), _bullets(actions),
-        F.lit(""), F.lit("RISK FACTORS"), _bullets(factors),
+        F.lit(""), F.lit("WARNINGS"), _bullets(F.col("__warn")),
+        F.lit(""), F.lit("PROBABLE CAUSES"), _bullets(F.col("__causes")),
+        F.lit(""), F.lit("ENGINEERING RECOMMENDATIONS"), _bullets(F.col("__acts")),
+        F.lit(""), F.lit("RISK FACTORS"), _bullets(F.col("__factors")),
         F.lit(""), F.lit("FINAL RECOMMENDATION"), rec,
         F.lit(""), F.lit(_RULE_LINE),
     )
+    out = s3.withColumn(name, report)
+    return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
 def enrich(df: DataFrame, stats: DataFrame | None = None, row_key: Column | None = None) -> DataFrame:
     """D6 + D7: decisions plus the report text."""
-    decided = unified_decisions(df, stats)
-    return decided.withColumn("qa_summary", qa_report(decided, row_key))
+    return with_qa_report(unified_decisions(df, stats), row_key)
 
 
 def summary_matches_decision(df: DataFrame) -> Column:

@@ -187,10 +187,9 @@ def engineer_features(df: DataFrame, mg_median: float | None = None) -> DataFram
     med_col: Column | None = None
     if "mg_recovery_" in cols:
         if mg_median is None:
-            base = df.crossJoin(F.broadcast(mg_median_row(df)))  # one row
-            med_col = F.col("med_mg_recovery_")
-        else:
-            med_col = F.lit(float(mg_median))
+            # one exact, distributed median; the single value is folded in as a literal
+            mg_median = mg_median_row(df).first()["med_mg_recovery_"]
+        med_col = F.lit(mg_median).cast("double")
     l1 = base.withColumns(level1(base, med_col))
     l2 = l1.withColumns(level2(set(l1.columns)))
     feats = [f for f in FEATURE_ORDER if f in l2.columns]

@@ -73,7 +73,8 @@ def _t(v: float) -> str:
 
 
 def _pct0(v: float) -> str:
-    return f"{round(v * 100):d}%"
+    """``{v:.0%}`` as it must appear inside a format pattern (percent escaped)."""
+    return f"{round(v * 100):d}%%"
 
 
 def _fmt(pattern: str, *cols: Column) -> Column:
@@ -218,15 +219,16 @@ def interpret(df: DataFrame, prob_col: str | None = "defect_prob", anomaly_col:
     prob = clamp01_scalar(F.col(prob_col)) if prob_col and prob_col in df.columns else F.lit(0.0)
     anom = clamp01_scalar(F.col(anomaly_col)) if anomaly_col and anomaly_col in df.columns else F.lit(0.0)
     o = build_rules(df, prob, anom, th)
+    staged = df.withColumns({"__risk": escalate(o.risk), "__rec": escalate(o.rec)})
     out = {
-        "risk_level": label_of(escalate(o.risk), config.RISK_ORDER),
-        "recommendation": label_of(escalate(o.rec), REC_BY_SEVERITY),
+        "risk_level": label_of(F.col("__risk"), config.RISK_ORDER),
+        "recommendation": label_of(F.col("__rec"), REC_BY_SEVERITY),
     }
     if texts:
         out["warnings"] = F.array_compact(F.array(*o.warnings))
         out["probable_causes"] = F.array_compact(F.array(*o.causes))
         out["recommendations"] = F.array_compact(F.array(*o.actions))
-    return df.withColumns(out)
+    return staged.withColumns(out).drop("__risk", "__rec")
 
 
 def rule_ranks(df: DataFrame, prob: Column, anomaly: Column, th: dict | None = None) -> tuple[Column, Column, RuleOut]:

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+
 _PID = "__rt_pid"
 
 
@@ -58,15 +60,20 @@ def running_totals(
     local = ranged.select(
         "*", *[F.sum(f"__v_{k}").over(w_local).alias(f"__loc_{k}") for k in sums]
     )
+    # Range bounds come from a sample whose seed depends on the RDD id, so two
+    # evaluations of `ranged` may split differently.  Materialise once
+    # (reliable checkpoint in the shared checkpoint dir) and derive the
+    # per-partition totals from the same rows.
+    local = cut_lineage(local)
     # per (partition, key) totals; only keys spanning partitions need offsets
-    totals = ranged.groupBy(_PID, *keys).agg(*[F.sum(f"__v_{k}").alias(f"__tot_{k}") for k in sums])
+    totals = local.groupBy(_PID, *keys).agg(*[F.sum(f"__v_{k}").alias(f"__tot_{k}") for k in sums])
     w_prev = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     with_prev = totals.select(
         _PID, *keys, *[F.coalesce(F.sum(f"__tot_{k}").over(w_prev), F.lit(0)).alias(f"__off_{k}") for k in sums]
     )
     if keys:
         # keep the first key of each range partition: <= 1 row per partition
-        first_key = ranged.groupBy(_PID).agg(F.min(F.struct(*keys)).alias("__first"))
+        first_key = local.groupBy(_PID).agg(F.min(F.struct(*keys)).alias("__first"))
         offsets = with_prev.join(
             first_key,
             on=[with_prev[_PID] == first_key[_PID]]
