@@ -1 +1,145 @@
-"""Catalog entries (filled in progressively)."""
+"""Evaluation entries (M1, M2, M19-M27) over the ``preds`` fixture."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import evaluation as EV
+from ..plans.registry import register
+from ..sources.fixtures import HEAT_KEY, preds, with_fixtures
+
+_H = ("((42 + l_orderkey * 2654435761 + l_linenumber * 40503 + l_partkey * 97 + l_suppkey) % 1000003)")
+_RANKED = (f"select *, row_number() over (partition by y order by {_H}, l_orderkey, l_linenumber, l_partkey, "
+           "l_suppkey) as rk, count(*) over (partition by y) as n from preds")
+
+
+def _r(c, n=9):
+    return F.round(c, n)
+
+
+@register("m1_stratified_split", with_fixtures(
+    "select y, case when rk <= round(n * 2e-1) then 'test' else 'train' end as split, count(*) as n_rows "
+    "from ranked group by 1, 2", "preds", ctes={"ranked": _RANKED}))
+def m1_stratified_split(spark, sf_dir):
+    s = EV.stratified_split(preds(spark, sf_dir), "y", HEAT_KEY)
+    return s.groupBy("y", "split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("m2_stratified_folds", with_fixtures(
+    "select y, cast((rk - 1) % 5 as int) as fold, count(*) as n_rows from ranked group by 1, 2", "preds",
+    ctes={"ranked": _RANKED}))
+def m2_stratified_folds(spark, sf_dir):
+    s = EV.stratified_folds(preds(spark, sf_dir), "y", HEAT_KEY)
+    return s.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+_CONF = ("select count(*) filter (where y = 1 and yhat = 1) as tp, count(*) filter (where y = 0 and yhat = 1) as fp, "
+         "count(*) filter (where y = 1 and yhat = 0) as fn, count(*) filter (where y = 0 and yhat = 0) as tn "
+         "from preds")
+_AUC = ("select (sum(pos * (cum - (pos + neg) + (pos + neg + 1) / 2e0)) - sum(pos) * (sum(pos) + 1) / 2e0) "
+        "/ (sum(pos) * sum(neg)) as roc_auc from (select *, sum(pos + neg) over (order by score) as cum from "
+        "(select p as score, sum(y) as pos, sum(1 - y) as neg from preds group by p))")
+
+
+@register("m19_classification_metrics", with_fixtures(
+    """select round((tp + tn) * 1e0 / (tp + fp + fn + tn), 9) as accuracy,
+         round(coalesce(tp * 1e0 / nullif(tp + fp, 0), 0e0), 9) as precision,
+         round(coalesce(tp * 1e0 / nullif(tp + fn, 0), 0e0), 9) as recall,
+         round(coalesce(2e0 * (tp * 1e0 / (tp + fp)) * (tp * 1e0 / (tp + fn)) /
+           nullif(tp * 1e0 / (tp + fp) + tp * 1e0 / (tp + fn), 0e0), 0e0), 9) as f1,
+         round(a.roc_auc, 9) as roc_auc from conf, auc a""", "preds", ctes={"conf": _CONF, "auc": _AUC}))
+def m19_classification_metrics(spark, sf_dir):
+    m = EV.classification_metrics(preds(spark, sf_dir))
+    return m.select(*[_r(F.col(c)).alias(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")])
+
+
+@register("m20_confusion_matrix", with_fixtures(
+    "select tp, fp, fn, tn, round(fp * 1e0 / nullif(fp + tn, 0), 9) as false_alarm_rate, "
+    "round(fn * 1e0 / nullif(fn + tp, 0), 9) as missed_defect_rate from conf", "preds", ctes={"conf": _CONF}))
+def m20_confusion_matrix(spark, sf_dir):
+    c = EV.confusion_counts(preds(spark, sf_dir))
+    return c.select("tp", "fp", "fn", "tn", _r(F.col("false_alarm_rate")).alias("false_alarm_rate"),
+                    _r(F.col("missed_defect_rate")).alias("missed_defect_rate"))
+
+
+_CURVE = ("select score as threshold, pos, neg, sum(pos) over (order by score desc) as tp, "
+          "sum(neg) over (order by score desc) as fp, sum(pos) over () as P, sum(neg) over () as N from "
+          "(select p as score, sum(y) as pos, sum(1 - y) as neg from preds group by p)")
+
+
+@register("m21_roc_curve", with_fixtures(
+    "select threshold, round(tp * 1e0 / P, 9) as tpr, round(fp * 1e0 / N, 9) as fpr from curve", "preds",
+    ctes={"curve": _CURVE}))
+def m21_roc_curve(spark, sf_dir):
+    r = EV.roc_curve(preds(spark, sf_dir))
+    return r.select("threshold", _r(F.col("tpr")).alias("tpr"), _r(F.col("fpr")).alias("fpr"))
+
+
+@register("m22_pr_curve", with_fixtures(
+    "select threshold, round(tp * 1e0 / (tp + fp), 9) as precision, round(tp * 1e0 / P, 9) as recall from curve",
+    "preds", ctes={"curve": _CURVE}))
+def m22_pr_curve(spark, sf_dir):
+    r = EV.pr_curve(preds(spark, sf_dir))
+    return r.select("threshold", _r(F.col("precision")).alias("precision"), _r(F.col("recall")).alias("recall"))
+
+
+@register("m22_average_precision", with_fixtures(
+    "select round(sum(pos * 1e0 / P * (tp * 1e0 / (tp + fp))), 9) as average_precision, "
+    "arg_min(threshold, (abs(threshold - 5e-1), threshold)) as threshold_near_half from curve", "preds",
+    ctes={"curve": _CURVE}))
+def m22_average_precision(spark, sf_dir):
+    a = EV.average_precision(preds(spark, sf_dir))
+    return a.select(_r(F.col("average_precision")).alias("average_precision"), "threshold_near_half")
+
+
+@register("m23_classification_report", with_fixtures(
+    """select label, round(precision, 9) as precision, round(recall, 9) as recall, round(f1, 9) as f1, support from (
+       select '1' as label, tp*1e0/(tp+fp) as precision, tp*1e0/(tp+fn) as recall,
+              2e0*(tp*1e0/(tp+fp))*(tp*1e0/(tp+fn))/((tp*1e0/(tp+fp))+(tp*1e0/(tp+fn))) as f1, tp+fn as support from conf
+       union all select '0', tn*1e0/(tn+fn), tn*1e0/(tn+fp),
+              2e0*(tn*1e0/(tn+fn))*(tn*1e0/(tn+fp))/((tn*1e0/(tn+fn))+(tn*1e0/(tn+fp))), tn+fp from conf
+       union all select 'accuracy', null, null, (tp+tn)*1e0/(tp+fp+fn+tn), tp+fp+fn+tn from conf
+       union all select 'macro avg', (tp*1e0/(tp+fp) + tn*1e0/(tn+fn))/2e0, (tp*1e0/(tp+fn) + tn*1e0/(tn+fp))/2e0,
+              (2e0*(tp*1e0/(tp+fp))*(tp*1e0/(tp+fn))/((tp*1e0/(tp+fp))+(tp*1e0/(tp+fn)))
+               + 2e0*(tn*1e0/(tn+fn))*(tn*1e0/(tn+fp))/((tn*1e0/(tn+fn))+(tn*1e0/(tn+fp))))/2e0, tp+fp+fn+tn from conf
+       union all select 'weighted avg',
+              ((tn*1e0/(tn+fn))*(tn+fp) + (tp*1e0/(tp+fp))*(tp+fn))/(tp+fp+fn+tn),
+              ((tn*1e0/(tn+fp))*(tn+fp) + (tp*1e0/(tp+fn))*(tp+fn))/(tp+fp+fn+tn),
+              ((2e0*(tn*1e0/(tn+fn))*(tn*1e0/(tn+fp))/((tn*1e0/(tn+fn))+(tn*1e0/(tn+fp))))*(tn+fp)
+               + (2e0*(tp*1e0/(tp+fp))*(tp*1e0/(tp+fn))/((tp*1e0/(tp+fp))+(tp*1e0/(tp+fn))))*(tp+fn))/(tp+fp+fn+tn),
+              tp+fp+fn+tn from conf)""", "preds", ctes={"conf": _CONF}))
+def m23_classification_report(spark, sf_dir):
+    r = EV.classification_report(preds(spark, sf_dir))
+    return r.select("label", *[_r(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@register("m25_prediction_counts", with_fixtures(
+    "select c.yhat, count(p.yhat) as n from (values (0), (1)) c(yhat) left join preds p on p.yhat = c.yhat "
+    "group by c.yhat", "preds"))
+def m25_prediction_counts(spark, sf_dir):
+    pr = preds(spark, sf_dir).groupBy("yhat").agg(F.count(F.lit(1)).alias("n"))
+    dim = spark.createDataFrame([(0,), (1,)], "yhat int")
+    return dim.join(pr, "yhat", "left").select("yhat", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@register("m26_confidence_bands", with_fixtures(
+    """select b.band, count(t.band) as n from (values ('0.50-0.65'), ('0.65-0.85'), ('0.85-1.00')) b(band)
+       left join (select case when greatest(p, 1e0 - p) >= 5e-1 and greatest(p, 1e0 - p) < 6.5e-1 then '0.50-0.65'
+                              when greatest(p, 1e0 - p) >= 6.5e-1 and greatest(p, 1e0 - p) < 8.5e-1 then '0.65-0.85'
+                              when greatest(p, 1e0 - p) >= 8.5e-1 and greatest(p, 1e0 - p) <= 1e0 then '0.85-1.00'
+                         end as band from preds) t on t.band = b.band group by b.band""", "preds"))
+def m26_confidence_bands(spark, sf_dir):
+    return EV.confidence_bands(preds(spark, sf_dir))
+
+
+@register("m27_model_health", with_fixtures(
+    """select round(fp * 1e0 / (fp + tn), 9) as false_alarm_rate, round(fn * 1e0 / (fn + tp), 9) as missed_defect_rate,
+         round((select avg(case when greatest(p, 1e0 - p) >= 8.5e-1 then 1e0 else 0e0 end) from preds), 9)
+           as high_confidence_share from conf""", "preds", ctes={"conf": _CONF}))
+def m27_model_health(spark, sf_dir):
+    pr = preds(spark, sf_dir)
+    c = EV.confusion_counts(pr)
+    hc = pr.agg(F.avg((F.greatest(F.col("p"), 1 - F.col("p")) >= 0.85).cast("double")).alias("h"))
+    return c.crossJoin(hc).select(_r(F.col("false_alarm_rate")).alias("false_alarm_rate"),
+                                  _r(F.col("missed_defect_rate")).alias("missed_defect_rate"),
+                                  _r(F.col("h")).alias("high_confidence_share"))
