@@ -1 +1,125 @@
-"""Catalog entries (filled in progressively)."""
+"""Model entries (rows-only checks: fitted models have no SQL twin)."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from ..operators import evaluation as EV
+from ..operators import models as MD
+from ..plans.registry import register
+from ..sources.fixtures import HEAT_KEY
+from .core import featured
+
+MODEL_FEATURES = ["c_", "si_", "s_", "mn_", "p__", "n__", "al__", "mg_", "cr_", "mg_recovery_", "tapping_temp",
+                  "pouring_temp", "crca", "fsmaddition_mt", "heel", "tapped_wt_", "feat_ce_calculated",
+                  "feat_temp_loss", "feat_shrinkage_risk_index", "feat_gas_risk_index", "feat_chemistry_instability"]
+
+
+def _split(spark, sf_dir):
+    f = featured(spark, sf_dir)
+    s = EV.stratified_split(f, "defect", HEAT_KEY)
+    s = MD.with_class_weights(s)
+    return s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
+
+
+def _model_metrics(name):
+    def q(spark, sf_dir):
+        train, test = _split(spark, sf_dir)
+        est = MD.candidates(train.count())[name]
+        model = MD.fit_classifier(train, MODEL_FEATURES, est)
+        return EV.classification_metrics(MD.score(model, test, HEAT_KEY)).withColumn("model", F.lit(name))
+    return q
+
+
+register("m5_logistic_regression")(_model_metrics("logistic_regression"))
+register("m6_random_forest")(_model_metrics("random_forest"))
+register("m7_gradient_boosting")(_model_metrics("gradient_boosting"))
+register("m8_randomized_forest")(_model_metrics("randomized_forest"))
+
+
+@register("m4_class_weights")
+def m4_class_weights(spark, sf_dir):
+    return MD.with_class_weights(featured(spark, sf_dir)).groupBy("defect").agg(
+        F.first("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
+
+
+@register("m16_scored_probability")
+def m16_scored_probability(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    model = MD.fit_classifier(train, MODEL_FEATURES, MD.candidates(1)["logistic_regression"].setRegParam(1e-3))
+    return MD.score(model, featured(spark, sf_dir), HEAT_KEY)
+
+
+@register("m24_feature_importance")
+def m24_feature_importance(spark, sf_dir):
+    train, _ = _split(spark, sf_dir)
+    model = MD.fit_classifier(train, MODEL_FEATURES, MD.candidates(1)["random_forest"])
+    imp = MD.feature_importance(model, MODEL_FEATURES)
+    df = spark.createDataFrame(imp, "feature string, importance double")
+    label = F.initcap(F.trim(F.regexp_replace(F.regexp_replace("feature", "^feat_", ""), "_", " ")))
+    return df.orderBy(F.desc("importance"), "feature").limit(15).withColumn("label", label)
+
+
+@register("m9_pca_explained_variance")
+def m9_pca_explained_variance(spark, sf_dir):
+    f = featured(spark, sf_dir)
+    _base, _m, ev, k = MD.pca_fit(f, MODEL_FEATURES)
+    rows, cum = [], 0.0
+    for i, v in enumerate(ev[:25]):
+        cum += v
+        rows.append((i + 1, float(v), float(cum), i + 1 == k))
+    return spark.createDataFrame(rows, "component int, explained double, cumulative double, chosen boolean")
+
+
+@register("m10_kmeans_sweep")
+def m10_kmeans_sweep(spark, sf_dir):
+    f = featured(spark, sf_dir)
+    base, pca, _ev, _k = MD.pca_fit(f, MODEL_FEATURES)
+    pcs = pca.transform(base.transform(f)).select("pcs").persist()
+    res = MD.kmeans_sweep(pcs)
+    pcs.unpersist()
+    return spark.createDataFrame(res, "k int, inertia double, silhouette double")
+
+
+@register("m17_pca_cluster_scoring")
+def m17_pca_cluster_scoring(spark, sf_dir):
+    from pyspark.ml.clustering import KMeans
+    f = featured(spark, sf_dir)
+    base, pca, _ev, _k = MD.pca_fit(f, MODEL_FEATURES)
+    pcs = pca.transform(base.transform(f))
+    km = KMeans(k=4, seed=42, featuresCol="pcs", predictionCol="cluster_id").fit(pcs)
+    out = km.transform(pcs)
+    arr = vector_to_array(F.col("pcs"))
+    return out.select(*HEAT_KEY, "cluster_id", arr[0].alias("pca_pc1"), arr[1].alias("pca_pc2"))
+
+
+@register("m30_cluster_profile_job")
+def m30_cluster_profile_job(spark, sf_dir):
+    from pyspark.ml.clustering import KMeans
+    f = featured(spark, sf_dir)
+    base, pca, _ev, _k = MD.pca_fit(f, MODEL_FEATURES)
+    pcs = pca.transform(base.transform(f))
+    out = KMeans(k=4, seed=42, featuresCol="pcs", predictionCol="cluster_id").fit(pcs).transform(pcs)
+    return out.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("batch_count"),
+                                         F.round(F.avg("defect"), 4).alias("defect_rate"),
+                                         *[F.round(F.avg(c), 4).alias(c) for c in ("c_", "si_", "s_", "tapping_temp")])
+
+
+@register("m18_model_leaderboard")
+def m18_model_leaderboard(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    return MD.leaderboard(train, test, MODEL_FEATURES, HEAT_KEY, names=["logistic_regression", "random_forest"])
+
+
+@register("m28_cross_validation")
+def m28_cross_validation(spark, sf_dir):
+    f = MD.with_class_weights(EV.stratified_folds(featured(spark, sf_dir), "defect", HEAT_KEY))
+    rows = None
+    for k in range(5):
+        train, test = f.where(F.col("fold") != k), f.where(F.col("fold") == k)
+        model = MD.fit_classifier(train, MODEL_FEATURES, MD.candidates(1)["logistic_regression"].setRegParam(1e-3))
+        m = EV.classification_metrics(MD.score(model, test, HEAT_KEY)).withColumn("fold", F.lit(k))
+        rows = m if rows is None else rows.unionByName(m)
+    return rows.agg(F.avg("roc_auc").alias("cv_auc_mean"), F.stddev_pop("roc_auc").alias("cv_auc_std"),
+                    F.avg("recall").alias("cv_recall_mean"), F.stddev_pop("recall").alias("cv_recall_std"))
