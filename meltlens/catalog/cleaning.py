@@ -188,8 +188,9 @@ def c13_non_finite_to_null(spark, sf_dir):
 
 
 @register("c14_unit_interval_profile", with_fixtures(
-    f"""select {KEY}, coalesce(greatest(0e0, least(1e0, case when mx <= 1e0 then v when mx <= 1e2 and gt1 >= 4e-1
-         then v / 1e2 when mx <= 1e2 then v else (v - mn) / greatest(mx - mn, 1e-9) end)), 0e0) as prob_fixed
+    f"""select {KEY}, case when v is null then 0e0 else greatest(0e0, least(1e0, case when mx <= 1e0 then v
+         when mx <= 1e2 and gt1 >= 4e-1 then v / 1e2 when mx <= 1e2 then v
+         else (v - mn) / greatest(mx - mn, 1e-9) end)) end as prob_fixed
         from (select {KEY}, defect_prob * 1e2 as v from heats) t,
         (select max(defect_prob * 1e2) as mx, min(defect_prob * 1e2) as mn,
                 avg(case when defect_prob * 1e2 > 1e0 then 1e0 else 0e0 end) as gt1 from heats) p""", "heats"))

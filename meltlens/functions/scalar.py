@@ -68,13 +68,14 @@ def clamp01_scalar(c: Column) -> Column:
     >100 -> 1, then clamp to [0, 1]."""
     v = finite_or_null(c)
     scaled = F.when(v > 1.0, F.when(v <= 100.0, v / 100.0).otherwise(F.lit(1.0))).otherwise(v)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)), F.lit(0.0))
+    # greatest/least skip NULL, so guard explicitly: missing -> 0
+    return F.when(v.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)))
 
 
 def clamp01_plain(c: Column) -> Column:
     """Clamp without the percent rescale (second variant of C15)."""
     v = finite_or_null(c)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)), F.lit(0.0))
+    return F.when(v.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
 
 
 def rank_of(label: Column, order: Sequence[str], default: int = 0) -> Column:

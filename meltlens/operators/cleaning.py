@@ -186,7 +186,7 @@ def unit_interval_by_profile(df: DataFrame, col: str, out: str | None = None) ->
              .when((mx <= 100.0) & (gt1 >= 0.4), v / 100.0)
              .when(mx <= 100.0, v)
              .otherwise((v - mn) / F.greatest(mx - mn, F.lit(1e-9))))
-    res = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), fixed)), F.lit(0.0))
+    res = F.when(v.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), fixed)))
     return j.withColumn(out, res).drop("__mx", "__mn", "__gt1")
 
 

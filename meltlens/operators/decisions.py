@@ -268,7 +268,9 @@ def needs_refresh(df: DataFrame) -> bool:
         return True
     stale = ~summary_matches_decision(df) | F.coalesce(
         F.col("recommendation").contains(config.LEGACY_STOP_WORD), F.lit(False))
-    return df.where(stale).limit(1).count() > 0
+    # an aggregate (not a filter): a filter would be pushed through the report
+    # projection and inline the report expression once per `contains`
+    return (df.agg(F.count_if(stale).alias("n")).first()["n"] or 0) > 0
 
 
 def ensure_decisions(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
