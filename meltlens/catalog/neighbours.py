@@ -1 +1,47 @@
-"""Catalog entries (filled in progressively)."""
+"""Neighbour / anomaly model entries (M11, M13, M15) over ``points5`` and ``heats``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import config
+from ..operators import neighbours as NB
+from ..plans.ordered import exact_quantiles
+from ..plans.registry import register
+from ..sources.fixtures import heats, points5, with_fixtures
+
+_X = ["x1", "x2", "x3", "x4", "x5"]
+_SQD = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _X)
+
+
+@register("m11_silhouette_sq_euclidean", with_fixtures(
+    f"""select ab.ca as label, round(avg(case when sz.n <= 1 or ab.b is null then 0e0
+          else (ab.b - ab.a) / greatest(ab.a, ab.b) end), 6) as silhouette, count(*) as n
+        from (select vec_id, ca, max(case when ca = cb then m end) as a, min(case when ca <> cb then m end) as b
+              from (select a.vec_id, a.label as ca, b.label as cb, avg({_SQD}) as m
+                    from points5 a join points5 b on a.vec_id <> b.vec_id group by 1, 2, 3) per
+              group by 1, 2) ab join (select label, count(*) as n from points5 group by label) sz on ab.ca = sz.label
+        group by ab.ca""", "points5"))
+def m11_silhouette_sq_euclidean(spark, sf_dir):
+    s = NB.silhouette_sq(points5(spark, sf_dir), _X, "label")
+    return s.select("label", F.round("silhouette", 6).alias("silhouette"), "n")
+
+
+@register("m13_isolation_forest")
+def m13_isolation_forest(spark, sf_dir):
+    p = points5(spark, sf_dir)
+    nodes, m = NB.fit_isolation_forest(p, _X)
+    scored = NB.score_isolation_forest(p, _X, nodes, m)
+    thr = exact_quantiles(scored, ["if_score"], [1.0 - config.ANOMALY_CONTAMINATION]).first()["value"]
+    return scored.select("vec_id", "if_score", (F.col("if_score") >= F.lit(thr)).cast("int").alias("if_flag"))
+
+
+@register("m15_ensemble_severity", with_fixtures(
+    """select case when s >= 8e-1 then 'CRITICAL' when s >= 6e-1 then 'HIGH RISK' when s >= 4e-1 then 'MEDIUM RISK'
+         when s >= 2e-1 then 'LOW RISK' else 'NORMAL' end as anomaly_severity,
+         case when s >= 8e-1 then 4 when s >= 6e-1 then 3 when s >= 4e-1 then 2 when s >= 2e-1 then 1 else 0 end
+           as severity_int, count(*) as n
+       from (select 5e-1 * anomaly_score + 5e-1 * defect_prob as s from heats) group by 1, 2""", "heats"))
+def m15_ensemble_severity(spark, sf_dir):
+    e = NB.ensemble(heats(spark, sf_dir), "anomaly_score", "defect_prob")
+    return e.groupBy("anomaly_severity", "severity_int").agg(F.count(F.lit(1)).alias("n"))
