@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..session import ensure_checkpoint_dir
 
+NULL_MARKER = "\\N"  # explicit NULL marker so empty strings survive a CSV round trip
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "json", ".orc": "orc"}
 
 
@@ -27,7 +28,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def read_all_strings(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Raw log scan, every field a string (no inference)."""
-    reader = spark.read.option("header", True).option("inferSchema", False)
+    reader = (spark.read.option("header", True).option("inferSchema", False)
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+              .option("nullValue", NULL_MARKER))
     if columns is not None:
         reader = reader.schema(StructType([StructField(c, StringType(), True) for c in columns]))
     return reader.csv(path)
@@ -66,8 +69,9 @@ def first_available(spark: SparkSession, candidates: Sequence[str], require: Seq
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
     """Sink (one directory per table)."""
     w = df.write.mode(mode).format(fmt)
-    if fmt == "csv":
-        w = w.option("header", True)
+    if fmt == "csv":  # keep raw strings byte-exact (padding, empty vs NULL)
+        w = (w.option("header", True).option("ignoreLeadingWhiteSpace", False)
+             .option("ignoreTrailingWhiteSpace", False).option("nullValue", NULL_MARKER))
     w.save(path)
     return path
 
