@@ -51,11 +51,18 @@ def read_by_extension(spark: SparkSession, path: str) -> DataFrame:
     return reader.load(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop FileSystem of the path (local, HDFS, object stores)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def first_available(spark: SparkSession, candidates: Sequence[str], require: Sequence[str] = ()) -> tuple[DataFrame, str]:
     """First existing source (optionally holding ``require`` columns and
     at least one row -- a bounded ``limit(1)`` probe)."""
     for path in candidates:
-        if not os.path.exists(path):
+        if not path_exists(spark, path):
             continue
         df = read_by_extension(spark, path)
         if not set(require) <= set(df.columns):
