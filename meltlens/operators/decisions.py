@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.scalar import clamp01_scalar, flag, label_of, rank_of, sentinel_to_numeric
+from ..functions.text import fmt
 from ..plans.lookup import attach
 from .rules import REC_BY_SEVERITY, build_rules, escalate
 
@@ -100,15 +101,15 @@ def decision_stages(df: DataFrame, th: dict | None = None, rule_th: dict | None
         "__rule_risk": rule_risk,
         "__rule_rec": rule_rec,
         "__factors": F.array_compact(F.array(
-            F.when(p >= t["defect_stop"], F.format_string("Defect probability %.1f%% (critical)", p * 100.0))
-            .when(p >= t["defect_hold"], F.format_string("Defect probability %.1f%% (high)", p * 100.0))
-            .when(p >= t["defect_monitor"], F.format_string("Defect probability %.1f%% (elevated)", p * 100.0)),
-            F.when(a >= t["anomaly_stop"], F.format_string("Anomaly score %.2f (critical pattern)", a))
-            .when(a >= t["anomaly_hold"], F.format_string("Anomaly score %.2f (unusual process)", a))
-            .when(a >= t["anomaly_monitor"], F.format_string("Anomaly score %.2f (monitor)", a)),
+            F.when(p >= t["defect_stop"], fmt("Defect probability %.1f%% (critical)", p * 100.0))
+            .when(p >= t["defect_hold"], fmt("Defect probability %.1f%% (high)", p * 100.0))
+            .when(p >= t["defect_monitor"], fmt("Defect probability %.1f%% (elevated)", p * 100.0)),
+            F.when(a >= t["anomaly_stop"], fmt("Anomaly score %.2f (critical pattern)", a))
+            .when(a >= t["anomaly_hold"], fmt("Anomaly score %.2f (unusual process)", a))
+            .when(a >= t["anomaly_monitor"], fmt("Anomaly score %.2f (monitor)", a)),
             F.when(rate >= t["cluster_stop_rate"],
-                   F.format_string("Cluster %d historical defect rate %.1f%%", cl, rate * 100.0))
-            .when(risky, F.format_string("Cluster %d elevated historical risk (%.1f%%)", cl, rate * 100.0)),
+                   fmt("Cluster %d historical defect rate %.1f%%", cl, rate * 100.0))
+            .when(risky, fmt("Cluster %d elevated historical risk (%.1f%%)", cl, rate * 100.0)),
         )),
     })
     lv = [F.col("__p_lvl"), F.col("__a_lvl"), F.col("__c_lvl")]
@@ -194,9 +195,9 @@ def with_qa_report(df: DataFrame, row_key: Column | None = None, rule_th: dict |
     given = F.filter(F.transform(F.split(F.coalesce(F.col("risk_factors"), F.lit("")), ";"), lambda x: F.trim(x)),
                      lambda x: x != "") if "risk_factors" in df.columns else F.array().cast("array<string>")
     derived = F.array_compact(F.array(
-        F.when(p != 0, F.format_string("Defect probability signal %.1f%%", p * 100.0)),
-        F.when(a != 0, F.format_string("Anomaly score signal %.2f", a)),
-        F.when(cl >= 0, F.format_string("Cluster %d process grouping", cl)),
+        F.when(p != 0, fmt("Defect probability signal %.1f%%", p * 100.0)),
+        F.when(a != 0, fmt("Anomaly score signal %.2f", a)),
+        F.when(cl >= 0, fmt("Cluster %d process grouping", cl)),
     ))
     s2 = s1.withColumns({
         "__warn": F.array_compact(F.array(*o.warnings)),
@@ -216,10 +217,10 @@ def with_qa_report(df: DataFrame, row_key: Column | None = None, rule_th: dict |
         F.concat(F.lit("Batch ID: "), F.col("__bid")),
         F.concat(F.lit("Risk Level: "), risk),
         F.concat(F.lit("Recommendation: "), rec),
-        F.format_string("Defect Probability: %.1f%%", p * 100.0),
-        F.format_string("Confidence: %.0f%%", F.col("__conf") * 100.0),
-        F.format_string("Anomaly Score: %.2f", a),
-        F.format_string("Cluster: %d", cl),
+        fmt("Defect Probability: %.1f%%", p * 100.0),
+        fmt("Confidence: %.0f%%", F.col("__conf") * 100.0),
+        fmt("Anomaly Score: %.2f", a),
+        fmt("Cluster: %d", cl),
         F.lit(""), F.lit("WARNINGS"), _bullets(F.col("__warn")),
         F.lit(""), F.lit("PROBABLE CAUSES"), _bullets(F.col("__causes")),
         F.lit(""), F.lit("ENGINEERING RECOMMENDATIONS"), _bullets(F.col("__acts")),
@@ -247,9 +248,9 @@ def summary_matches_decision(df: DataFrame) -> Column:
         F.lit("INDUSTRIAL QA REPORT"),
         F.concat(F.lit("Risk Level: "), risk),
         F.concat(F.lit("Recommendation: "), rec),
-        F.format_string("Defect Probability: %.1f%%", p * 100.0),
-        F.format_string("Anomaly Score: %.2f", a),
-        F.format_string("Cluster: %d", cl),
+        fmt("Defect Probability: %.1f%%", p * 100.0),
+        fmt("Anomaly Score: %.2f", a),
+        fmt("Cluster: %d", cl),
         F.lit("FINAL RECOMMENDATION"),
     ]
     ok = ~summ.contains(config.LEGACY_STOP_WORD) & (rec == F.coalesce(F.col("recommendation"), F.lit("")))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.scalar import label_of
+from ..functions.text import fmt
 
 REC_BY_SEVERITY = ["PROCEED", "MONITOR", "HOLD", "STOP"]  # index = severity rank
 
@@ -78,7 +79,7 @@ def _pct0(v: float) -> str:
 
 
 def _fmt(pattern: str, *cols: Column) -> Column:
-    return F.format_string(pattern, *cols)
+    return fmt(pattern, *cols)
 
 
 @dataclass
