@@ -48,16 +48,31 @@ def target_correlations(df: DataFrame, columns: Sequence[str], target: str = "de
     return unpivot(wide, columns, "feature", "corr")
 
 
+def wide_agg_row(df: DataFrame, aggs: Sequence[Column], buffer_fields: int) -> dict:
+    """Evaluate many aggregates as one-row results, in as few scans as keep
+    each aggregate inside whole-stage codegen (``spark.sql.codegen.maxFields``
+    bounds the buffer width; beyond it Spark falls back to interpreted code,
+    roughly 10x slower)."""
+    limit = int(df.sparkSession.conf.get("spark.sql.codegen.maxFields", "100"))
+    per_chunk = max(1, (limit - 1) // max(buffer_fields, 1))
+    out: dict = {}
+    for i in range(0, len(aggs), per_chunk):
+        out.update(df.agg(*aggs[i:i + per_chunk]).first().asDict())
+    return out
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All pairwise correlations (pairwise-complete) in ONE aggregate."""
+    """All pairwise correlations (pairwise-complete), one codegen'd
+    aggregate per chunk of pairs; the result is n(n+1)/2 numbers."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
-    long = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"`{a}|{b}`").alias("corr"))
-        for a, b in pairs])).alias("x")).select("x.*")
-    mirror = long.where(F.col("col_a") != F.col("col_b")).select(
-        F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "corr")
-    return long.unionByName(mirror)
+    wide = wide_agg_row(df, [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}")
+                             for i, (a, b) in enumerate(pairs)], buffer_fields=6)
+    rows = []
+    for i, (a, b) in enumerate(pairs):
+        rows.append((a, b, wide[f"p{i}"]))
+        if a != b:
+            rows.append((b, a, wide[f"p{i}"]))
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
 
 
 def histogram(df: DataFrame, col: str, bins: int, lo: float | None = None, hi: float | None = None) -> DataFrame:

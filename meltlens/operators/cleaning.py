@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.scalar import finite_or_null, sentinel_to_numeric
 from ..plans.ordered import exact_quantiles
+from ..session import cut_lineage
 from . import schema as H
 
 
@@ -256,6 +257,10 @@ def clean_table(df: DataFrame, key_cols: Sequence[str] = (), dedupe: bool = True
     if dedupe:
         df = drop_duplicate_rows(df)
     df = drop_null_target(H.promote_target(df))
+    # every later step (profile, three statistics passes, the final write)
+    # reads this frame: materialise it once instead of repeating the
+    # full-row dedupe shuffle in each pass
+    df = cut_lineage(df)
     cand = [c for c in df.columns if c not in keys and c != "defect"]
     trace = H.keyword_trace_columns(cand)
     strings = [c for c in cand if c not in trace and dict(df.dtypes)[c] == "string"]

@@ -31,6 +31,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # wide one-row aggregates (profiles, correlation chunks) stay in codegen
+        .config("spark.sql.codegen.maxFields", "1000")
         .config("spark.driver.memory", os.environ.get("MELTLENS_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
