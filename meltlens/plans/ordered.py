@@ -102,46 +102,53 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     num_partitions: int | None = None,
+    by: str | None = None,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) for many
-    columns in one distributed job.  Returns long rows ``(column, prob, value)``.
+    columns (optionally per group ``by``) in one distributed job.  Returns long
+    rows ``(column, [by,] prob, value)``.
 
     Values are unpivoted, pre-aggregated to distinct ``(column, value)`` counts
     (map-side combine), ranked with :func:`running_totals` and the two order
     statistics around each target position are picked with an equi-join on the
-    column name against a target table of ``len(columns) * len(probs)`` rows.
-    No task ever holds all values of a column.
+    column name against a target table of ``len(columns) * len(probs)`` rows
+    (times the number of groups).  No task ever holds all values of a column
+    or of a group.
     """
     spark = df.sparkSession
+    grp = [by] if by else []
     stack = F.explode(
         F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
     ).alias("kv")
-    long = df.select(stack).select("kv.column", "kv.value").where(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = running_totals(counts, ["column"], ["value"], {"cum": F.col("cnt")}, num_partitions)
+    long = df.select(*grp, stack).select(*grp, "kv.column", "kv.value").where(
+        F.col("value").isNotNull() & ~F.isnan("value"))
+    counts = long.groupBy("column", *grp, "value").agg(F.count(F.lit(1)).alias("cnt"))
+    ranked = running_totals(counts, ["column", *grp], ["value"], {"cum": F.col("cnt")}, num_partitions)
     ranked = ranked.withColumn("start", F.col("cum") - F.col("cnt"))
-    n_per = counts.groupBy("column").agg(F.sum("cnt").alias("n"))
+    n_per = counts.groupBy("column", *grp).agg(F.sum("cnt").alias("n"))
     target = n_per.crossJoin(
         F.broadcast(spark.createDataFrame([(float(p),) for p in probs], "prob double"))
     ).select(
-        "column", "prob",
+        "column", *grp, "prob",
         (F.col("prob") * (F.col("n") - 1)).alias("pos"),
     ).select(
-        "column", "prob", "pos",
+        "column", *grp, "prob", "pos",
         F.floor("pos").cast("long").alias("lo"),
         F.ceil("pos").cast("long").alias("hi"),
     )
-    joined = ranked.join(F.broadcast(target) if len(columns) * len(probs) <= 100_000 else target, "column")
+    # the target table has one row per (column, group, prob); broadcast it
+    # only when there are no groups (size proven by the arguments)
+    joined = ranked.join(F.broadcast(target) if not grp else target, ["column", *grp])
     picked = joined.where(
         ((F.col("lo") >= F.col("start")) & (F.col("lo") < F.col("cum")))
         | ((F.col("hi") >= F.col("start")) & (F.col("hi") < F.col("cum")))
     )
-    agg = picked.groupBy("column", "prob", "pos", "lo").agg(
+    agg = picked.groupBy("column", *grp, "prob", "pos", "lo").agg(
         F.max(F.when((F.col("lo") >= F.col("start")) & (F.col("lo") < F.col("cum")), F.col("value"))).alias("v_lo"),
         F.max(F.when((F.col("hi") >= F.col("start")) & (F.col("hi") < F.col("cum")), F.col("value"))).alias("v_hi"),
     )
     return agg.select(
-        "column", "prob",
+        "column", *grp, "prob",
         (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("pos") - F.col("lo"))).alias("value"),
     )
 
