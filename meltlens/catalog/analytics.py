@@ -505,14 +505,20 @@ def j5_global_stat_attach(spark, sf_dir):
 
 
 @register("j6_column_set_difference", with_fixtures(
-    "select column_name, status from (values ('furnace','extra'), ('si_','missing'), ('tapping_temp','matched'), "
-    "('pouring_temp','matched'), ('mg_recovery','matched')) t(column_name, status)", "heats"))
+    "select 'furnace' as column_name, 'extra' as status, count(furnace) as n_values from heats_raw "
+    "union all select 'si_', 'missing', cast(0 as bigint) "
+    "union all select 'tapping_temp', 'matched', count(tapping_temp) from heats_raw "
+    "union all select 'pouring_temp', 'matched', count(pouring_temp) from heats_raw "
+    "union all select 'mg_recovery', 'matched', count(mg_recovery) from heats_raw", "heats_raw"))
 def j6_column_set_difference(spark, sf_dir):
     from ..operators.schema import template_report
     from ..sources.fixtures import heats_raw
-    cols = [c for c in heats_raw(spark, sf_dir).columns if c not in HEAT_KEY + ["empty_col", "defected"]]
+    h = heats_raw(spark, sf_dir)
+    cols = [c for c in h.columns if c not in HEAT_KEY + ["empty_col", "defected"]]
     rep = template_report(spark, cols, ["tapping_temp", "pouring_temp", "mg_recovery", "si_"])
-    return rep.withColumnRenamed("column", "column_name")
+    counts = AN.unpivot(h.agg(*[F.count(c).alias(c) for c in cols]), cols, "column_name", "n")
+    return rep.withColumnRenamed("column", "column_name").join(counts, "column_name", "left").select(
+        "column_name", "status", F.coalesce(F.col("n").cast("long"), F.lit(0).cast("long")).alias("n_values"))
 
 
 @register("j7_append_history", with_fixtures(
