@@ -163,8 +163,17 @@ _RULE_LINE = "----------------------------------------"
 
 
 def _bullets(arr: Column) -> Column:
-    cleaned = F.transform(arr, lambda x: F.concat(F.lit("- "), F.replace(x, F.lit(config.LEGACY_STOP_WORD), F.lit("STOP"))))
-    return F.when(F.size(arr) > 0, F.array_join(cleaned, "\n")).otherwise(F.lit("- None triggered."))
+    """``- item`` lines (or ``- None triggered.``) without a per-element lambda:
+    higher-order functions are evaluated outside generated code."""
+    joined = F.concat(F.lit("- "), F.array_join(arr, "\n- "))
+    return F.when(F.size(arr) > 0, joined).otherwise(F.lit("- None triggered."))
+
+
+def _split_factors(c: Column) -> Column:
+    """``'a; b;; c'`` -> ``['a', 'b', 'c']`` (trimmed, empties dropped, legacy word cleaned)."""
+    cleaned = F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit(config.LEGACY_STOP_WORD), F.lit("STOP"))
+    parts = F.split(F.regexp_replace(F.trim(cleaned), r"\s*;\s*", ";"), ";")
+    return F.array_remove(parts, "")
 
 
 def batch_id(df: DataFrame, row_key: Column | None = None) -> Column:
@@ -192,8 +201,8 @@ def with_qa_report(df: DataFrame, row_key: Column | None = None, rule_th: dict |
     })
     p, a, cl = F.col("__p"), F.col("__a"), F.col("__cl")
     o = build_rules(s1, p, a, rule_th)
-    given = F.filter(F.transform(F.split(F.coalesce(F.col("risk_factors"), F.lit("")), ";"), lambda x: F.trim(x)),
-                     lambda x: x != "") if "risk_factors" in df.columns else F.array().cast("array<string>")
+    given = _split_factors(F.col("risk_factors")) if "risk_factors" in df.columns \
+        else F.array().cast("array<string>")
     derived = F.array_compact(F.array(
         F.when(p != 0, fmt("Defect probability signal %.1f%%", p * 100.0)),
         F.when(a != 0, fmt("Anomaly score signal %.2f", a)),
@@ -207,8 +216,8 @@ def with_qa_report(df: DataFrame, row_key: Column | None = None, rule_th: dict |
         "__derived": derived,
     })
     base = F.when(F.size("__given") > 0, F.col("__given")).otherwise(F.col("__derived"))
-    s3 = s2.withColumn("__factors", F.array_distinct(F.transform(
-        F.concat(base, F.col("__warn")), lambda x: F.replace(x, F.lit(config.LEGACY_STOP_WORD), F.lit("STOP")))))
+    # generated texts never contain the legacy word; given factors were cleaned on split
+    s3 = s2.withColumn("__factors", F.array_distinct(F.concat(base, F.col("__warn"))))
     risk = F.coalesce(F.col("risk_level"), F.lit("LOW"))
     rec = F.col("recommendation")
     report = F.concat_ws(
@@ -285,9 +294,7 @@ def ensure_decisions(df: DataFrame, stats: DataFrame | None = None) -> DataFrame
 
 def reason_lines(df: DataFrame, key_cols: list[str]) -> DataFrame:
     """One row per non-empty trimmed risk factor, with its position."""
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col("risk_factors"), F.lit("")), ";"), lambda x: F.trim(x)),
-                     lambda x: x != "")
-    return df.select(*key_cols, F.posexplode(parts).alias("pos", "reason"))
+    return df.select(*key_cols, F.posexplode(_split_factors(F.col("risk_factors"))).alias("pos", "reason"))
 
 
 # ---------------------------------------------------------------------------
