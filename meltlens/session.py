@@ -33,6 +33,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.ui.showConsoleProgress", "false")
         # wide one-row aggregates (profiles, correlation chunks) stay in codegen
         .config("spark.sql.codegen.maxFields", "1000")
+        # the fused rule/report stages generate processNext methods above
+        # HotSpot's 8000-bytecode JIT limit; let the JIT compile them anyway
+        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
+        .config("spark.executor.extraJavaOptions", "-XX:-DontCompileHugeMethods")
         .config("spark.driver.memory", os.environ.get("MELTLENS_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
