@@ -110,8 +110,14 @@ def severity_rank(sev: Column) -> Column:
 
 
 def compact_array(items: Iterable[Column]) -> Column:
-    """Ordered array of the non-NULL items (fixed rule order)."""
-    return F.array_compact(F.array(*list(items)))
+    """Ordered array of the non-NULL string items (fixed rule order).
+
+    ``array_compact`` is a lambda ``filter`` underneath, which Spark evaluates
+    outside generated code together with everything inside it (here: every
+    formatted rule text).  ``flatten`` of one-or-zero element arrays keeps the
+    whole expression in generated code."""
+    empty = F.array().cast("array<string>")
+    return F.flatten(F.array(*[F.when(x.isNotNull(), F.array(x)).otherwise(empty) for x in items]))
 
 
 def pct1(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.scalar import clamp01_scalar, flag, label_of, rank_of, sentinel_to_numeric
+from ..functions.scalar import compact_array, clamp01_scalar, flag, label_of, rank_of, sentinel_to_numeric
 from ..functions.text import fmt
 from ..plans.lookup import attach
 from .rules import REC_BY_SEVERITY, build_rules, escalate
@@ -100,7 +100,7 @@ def decision_stages(df: DataFrame, th: dict | None = None, rule_th: dict | None
         "__c_lvl": F.when(rate >= t["cluster_stop_rate"], 3).when(risky, 2).otherwise(0),
         "__rule_risk": rule_risk,
         "__rule_rec": rule_rec,
-        "__factors": F.array_compact(F.array(
+        "__factors": compact_array((
             F.when(p >= t["defect_stop"], fmt("Defect probability %.1f%% (critical)", p * 100.0))
             .when(p >= t["defect_hold"], fmt("Defect probability %.1f%% (high)", p * 100.0))
             .when(p >= t["defect_monitor"], fmt("Defect probability %.1f%% (elevated)", p * 100.0)),
@@ -203,15 +203,15 @@ def with_qa_report(df: DataFrame, row_key: Column | None = None, rule_th: dict |
     o = build_rules(s1, p, a, rule_th)
     given = _split_factors(F.col("risk_factors")) if "risk_factors" in df.columns \
         else F.array().cast("array<string>")
-    derived = F.array_compact(F.array(
+    derived = compact_array((
         F.when(p != 0, fmt("Defect probability signal %.1f%%", p * 100.0)),
         F.when(a != 0, fmt("Anomaly score signal %.2f", a)),
         F.when(cl >= 0, fmt("Cluster %d process grouping", cl)),
     ))
     s2 = s1.withColumns({
-        "__warn": F.array_compact(F.array(*o.warnings)),
-        "__causes": F.array_compact(F.array(*o.causes)),
-        "__acts": F.array_compact(F.array(*o.actions)),
+        "__warn": compact_array(o.warnings),
+        "__causes": compact_array(o.causes),
+        "__acts": compact_array(o.actions),
         "__given": given,
         "__derived": derived,
     })

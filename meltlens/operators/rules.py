@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.scalar import label_of
+from ..functions.scalar import compact_array, label_of
 from ..functions.text import fmt
 
 REC_BY_SEVERITY = ["PROCEED", "MONITOR", "HOLD", "STOP"]  # index = severity rank
@@ -226,9 +226,9 @@ def interpret(df: DataFrame, prob_col: str | None = "defect_prob", anomaly_col:
         "recommendation": label_of(F.col("__rec"), REC_BY_SEVERITY),
     }
     if texts:
-        out["warnings"] = F.array_compact(F.array(*o.warnings))
-        out["probable_causes"] = F.array_compact(F.array(*o.causes))
-        out["recommendations"] = F.array_compact(F.array(*o.actions))
+        out["warnings"] = compact_array(o.warnings)
+        out["probable_causes"] = compact_array(o.causes)
+        out["recommendations"] = compact_array(o.actions)
     return staged.withColumns(out).drop("__risk", "__rec")
 
 
