@@ -73,3 +73,23 @@ def test_entry_smoke(spark):
     out = E.entry(spark)
     assert out.columns == ["risk_level", "recommendation", "n_batches"]
     assert sum(r["n_batches"] for r in out.collect()) > 0
+
+
+def test_rolling_mean_hot_key_with_gaps_matches_pandas(spark):
+    import pandas as pd
+    from meltlens.operators.windows import rolling_mean
+    rows = []
+    for i in range(2500):
+        k = 0 if i % 5 else 1 + (i % 3)            # key 0 holds 80 % of rows
+        v = None if (i % 7 == 0 and i % 2 == 0) else float((i * 13) % 11)
+        rows.append((k, i, v))
+    df = spark.createDataFrame(rows, "k int, seq int, v double")
+    got = {(r["k"], r["seq"]): r["rolling_v"] for r in rolling_mean(df, ["k"], "seq", "v", 50, 2).collect()}
+    pdf = pd.DataFrame(rows, columns=["k", "seq", "v"]).sort_values(["k", "seq"])
+    exp = {}
+    for k, g in pdf.groupby("k"):
+        r = g["v"].rolling(50, min_periods=2).mean().bfill().ffill()
+        exp.update({(k, s): x for s, x in zip(g["seq"], r)})
+    assert got.keys() == exp.keys()
+    for key, x in exp.items():
+        assert got[key] == pytest.approx(x, rel=1e-9, abs=1e-12), key
