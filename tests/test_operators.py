@@ -93,3 +93,14 @@ def test_rolling_mean_hot_key_with_gaps_matches_pandas(spark):
     assert got.keys() == exp.keys()
     for key, x in exp.items():
         assert got[key] == pytest.approx(x, rel=1e-9, abs=1e-12), key
+
+
+def test_exact_auc_with_ties_matches_pair_count(spark):
+    from meltlens.operators.evaluation import roc_auc
+    rows = [(int(i % 3 == 0), float((i * 7) % 13) / 13.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "y int, p double")
+    got = roc_auc(df).first()["roc_auc"]
+    pos = [p for y, p in rows if y == 1]
+    neg = [p for y, p in rows if y == 0]
+    wins = sum(1.0 if a > b else 0.5 if a == b else 0.0 for a in pos for b in neg)
+    assert got == pytest.approx(wins / (len(pos) * len(neg)), rel=1e-12)
