@@ -82,24 +82,45 @@ def a5_cluster_profile(spark, sf_dir):
                                     F.count(F.lit(1)).alias("batch_count"))
 
 
+# FIXED VALUES — cluster narrative texts
+_A6_TXT = {
+    "s_high": "High sulfur → nodularisation risk",
+    "s_ok": "Sulfur within acceptable range",
+    "mg_low": "Low Mg recovery → unstable nodularisation",
+    "loss": "High temperature loss → cold pour risk",
+    "shrink": "Elevated shrinkage risk index",
+    "chem": "Chemistry deviation from target",
+    "nominal": "Nominal process behaviour",
+}
+
+
 @register("a6_cluster_interpretation", features_sql(
-    """select cluster, concat_ws('; ',
-         printf('Defect rate: %.1f%%', round(avg(defect), 4) * 1e2),
-         case when round(avg(defect), 4) >= 5e-1 then 'HIGH-RISK cluster' when round(avg(defect), 4) <= 1e-1
-              then 'LOW-RISK cluster' end,
-         case when round(avg(feat_temp_loss), 4) > 8e1 then 'high temperature loss' end,
-         case when round(avg(feat_ce_calculated), 4) < 4.2e0 then 'hypoeutectic CE' end) as interpretation
-       from feat group by cluster"""))
+    f"""select cluster, coalesce(nullif(concat_ws('; ',
+         printf('Defect rate: %.1f%%', dr * 1e2),
+         case when s > 1.5e-2 then '{_A6_TXT["s_high"]}' else '{_A6_TXT["s_ok"]}' end,
+         case when mg < 3e-1 then '{_A6_TXT["mg_low"]}' end,
+         case when tl > 7e1 then '{_A6_TXT["loss"]}' end,
+         case when sh > 2e0 then '{_A6_TXT["shrink"]}' end,
+         case when ch > 2e-1 then '{_A6_TXT["chem"]}' end), ''), '{_A6_TXT["nominal"]}') as interpretation
+       from (select cluster, round(avg(defect), 4) as dr, round(avg(s_), 4) as s, round(avg(mg_recovery_), 4) as mg,
+               round(avg(feat_temp_loss), 4) as tl, round(avg(feat_shrinkage_risk_index), 4) as sh,
+               round(avg(feat_chemistry_instability), 4) as ch from feat group by cluster)"""))
 def a6_cluster_interpretation(spark, sf_dir):
+    """Narrative per cluster from the 4-decimal profile (A5)."""
+    from ..functions.text import fmt
     f = featured(spark, sf_dir)
-    p = f.groupBy("cluster").agg(F.round(F.avg("defect"), 4).alias("rate"),
-                                 F.round(F.avg("feat_temp_loss"), 4).alias("loss"),
-                                 F.round(F.avg("feat_ce_calculated"), 4).alias("ce"))
-    txt = F.concat_ws("; ", F.array_compact(F.array(
-        F.format_string("Defect rate: %.1f%%", F.col("rate") * 100.0),
-        F.when(F.col("rate") >= 0.5, F.lit("HIGH-RISK cluster")).when(F.col("rate") <= 0.1, F.lit("LOW-RISK cluster")),
-        F.when(F.col("loss") > 80, F.lit("high temperature loss")),
-        F.when(F.col("ce") < 4.2, F.lit("hypoeutectic CE")))))
+    p = f.groupBy("cluster").agg(*[F.round(F.avg(c), 4).alias(n) for c, n in (
+        ("defect", "dr"), ("s_", "s"), ("mg_recovery_", "mg"), ("feat_temp_loss", "tl"),
+        ("feat_shrinkage_risk_index", "sh"), ("feat_chemistry_instability", "ch"))])
+    parts = F.concat_ws(
+        "; ",
+        fmt("Defect rate: %.1f%%", F.col("dr") * 100.0),
+        F.when(F.col("s") > 0.015, F.lit(_A6_TXT["s_high"])).otherwise(F.lit(_A6_TXT["s_ok"])),
+        F.when(F.col("mg") < 0.3, F.lit(_A6_TXT["mg_low"])),
+        F.when(F.col("tl") > 70, F.lit(_A6_TXT["loss"])),
+        F.when(F.col("sh") > 2, F.lit(_A6_TXT["shrink"])),
+        F.when(F.col("ch") > 0.2, F.lit(_A6_TXT["chem"])))
+    txt = F.coalesce(F.nullif(parts, F.lit("")), F.lit(_A6_TXT["nominal"]))
     return p.select("cluster", txt.alias("interpretation"))
 
 
