@@ -124,26 +124,53 @@ def a6_cluster_interpretation(spark, sf_dir):
     return p.select("cluster", txt.alias("interpretation"))
 
 
+# FIXED VALUES — cluster signature texts
+_A8_TXT = {
+    "tend_high": "Historically elevated defect rate — prioritize HOLD review",
+    "tend_mid": "Moderate defect tendency — monitor chemistry and temperature",
+    "tend_low": "Typical defect exposure for this operating mode",
+    "sig_default": "Standard production mix",
+    "sig_stable": "High temperature stable production cluster",
+    "sig_loss": "High ladle heat-loss / extended transfer cluster",
+    "sig_chem": "Chemistry drift / out-of-spec cluster",
+    "sig_anom": "Anomalous process signature — rare operating point",
+}
+
+
 @register("a8_cluster_signature", features_sql(
-    """select cluster, count(*) as batch_count, round(avg(defect), 9) as defect_rate,
-         case when avg(defect) >= 4e-1 then 'High-risk' when avg(defect) >= 2.2e-1 then 'Elevated' else 'Stable' end
-           as tendency,
-         coalesce(stddev_samp(pouring_temp) < 1.5e1, false) as stable_pour,
-         avg(feat_temp_loss) > 7e1 as high_loss,
-         avg(feat_chemistry_instability) > 5e-1 as unstable_chemistry,
-         avg(anomaly_score) > 5.5e-1 as anomalous
-       from feat group by cluster"""))
+    f"""select cluster,
+         case when r >= 3.5e-1 then 'High-Risk Cluster ' || cluster when r >= 2e-1 then 'Elevated-Risk Cluster ' || cluster
+              else 'Cluster ' || cluster end as name,
+         case when an > 5.5e-1 then '{_A8_TXT["sig_anom"]}' when ci > 5e-1 then '{_A8_TXT["sig_chem"]}'
+              when n >= 2 and sd < 1.5e1 then '{_A8_TXT["sig_stable"]}'
+              when n >= 2 and l > 7e1 then '{_A8_TXT["sig_loss"]}' else '{_A8_TXT["sig_default"]}' end as signature,
+         case when r >= 3.5e-1 then '{_A8_TXT["tend_high"]}' when r >= 2e-1 then '{_A8_TXT["tend_mid"]}'
+              else '{_A8_TXT["tend_low"]}' end as tendency,
+         round(r, 9) as defect_rate, n as batch_count, round(p, 9) as avg_defect_prob, round(an, 9) as avg_anomaly
+       from (select cluster, avg(cast(coalesce(defect, 0) as double)) as r, count(*) as n, stddev_samp(pouring_temp) as sd,
+               avg(feat_temp_loss) as l, avg(feat_chemistry_instability) as ci, avg(anomaly_score) as an,
+               avg(defect_prob) as p from feat where cluster is not null group by cluster)"""))
 def a8_cluster_signature(spark, sf_dir):
+    """Name / signature / tendency per cluster, all clusters in one aggregate."""
     f = featured(spark, sf_dir)
-    g = f.groupBy("cluster").agg(F.count(F.lit(1)).alias("batch_count"), F.avg("defect").alias("r"),
-                                 F.stddev_samp("pouring_temp").alias("sd"), F.avg("feat_temp_loss").alias("l"),
-                                 F.avg("feat_chemistry_instability").alias("ci"), F.avg("anomaly_score").alias("an"))
-    return g.select("cluster", "batch_count", _r(F.col("r")).alias("defect_rate"),
-                    F.when(F.col("r") >= 0.4, "High-risk").when(F.col("r") >= 0.22, "Elevated").otherwise("Stable")
-                    .alias("tendency"),
-                    F.coalesce(F.col("sd") < 15, F.lit(False)).alias("stable_pour"),
-                    (F.col("l") > 70).alias("high_loss"), (F.col("ci") > 0.5).alias("unstable_chemistry"),
-                    (F.col("an") > 0.55).alias("anomalous"))
+    g = f.where(F.col("cluster").isNotNull()).groupBy("cluster").agg(
+        F.avg(F.coalesce(F.col("defect"), F.lit(0)).cast("double")).alias("r"), F.count(F.lit(1)).alias("n"),
+        F.stddev_samp("pouring_temp").alias("sd"), F.avg("feat_temp_loss").alias("l"),
+        F.avg("feat_chemistry_instability").alias("ci"), F.avg("anomaly_score").alias("an"),
+        F.avg("defect_prob").alias("p"))
+    r, c = F.col("r"), F.col("cluster").cast("string")
+    name = (F.when(r >= 0.35, F.concat(F.lit("High-Risk Cluster "), c))
+            .when(r >= 0.20, F.concat(F.lit("Elevated-Risk Cluster "), c)).otherwise(F.concat(F.lit("Cluster "), c)))
+    sig = (F.when(F.col("an") > 0.55, F.lit(_A8_TXT["sig_anom"]))
+           .when(F.col("ci") > 0.5, F.lit(_A8_TXT["sig_chem"]))
+           .when((F.col("n") >= 2) & (F.col("sd") < 15), F.lit(_A8_TXT["sig_stable"]))
+           .when((F.col("n") >= 2) & (F.col("l") > 70), F.lit(_A8_TXT["sig_loss"]))
+           .otherwise(F.lit(_A8_TXT["sig_default"])))
+    tend = (F.when(r >= 0.35, F.lit(_A8_TXT["tend_high"])).when(r >= 0.20, F.lit(_A8_TXT["tend_mid"]))
+            .otherwise(F.lit(_A8_TXT["tend_low"])))
+    return g.select("cluster", name.alias("name"), sig.alias("signature"), tend.alias("tendency"),
+                    _r(r).alias("defect_rate"), F.col("n").alias("batch_count"), _r(F.col("p")).alias("avg_defect_prob"),
+                    _r(F.col("an")).alias("avg_anomaly"))
 
 
 @register("a9_defect_anomaly_crosstab", with_fixtures(
