@@ -320,3 +320,21 @@ def h14_h15_template_contract(spark, sf_dir):
                      .when(F.col("column_name") == "MG Recovery", "mg_recovery").otherwise(F.col("column_name")))
     return r.join(long, "column_name", "left").select("column_name", "status",
                                                        F.coalesce("n", F.lit(0).cast("long")).alias("n_values"))
+
+
+@register("a29_confidence_histogram", with_fixtures(
+    """select cast(case when c = 1e0 then 19 else floor((c - 5e-1) / 2.5e-2) end as int) as bin, count(*) as n
+       from (select greatest(p, 1e0 - p) as c from preds) where c >= 5e-1 and c <= 1e0 group by 1""", "preds"))
+def a29_confidence_histogram(spark, sf_dir):
+    """A29 (third variant): confidence max(p, 1-p) in 0.025-wide bins over [0.5, 1]."""
+    pr = preds(spark, sf_dir).select(F.greatest(F.col("p"), 1 - F.col("p")).alias("c"))
+    return AN.histogram(pr, "c", 20, 0.5, 1.0).select("bin", "n")
+
+
+@register("a29_value_histogram", with_fixtures(
+    """select cast(case when pouring_temp = mx then 39 else floor((pouring_temp - mn) / ((mx - mn) / 4e1)) end as int)
+         as bin, count(*) as n from heats, (select min(pouring_temp) as mn, max(pouring_temp) as mx from heats) b
+       group by 1""", "heats"))
+def a29_value_histogram(spark, sf_dir):
+    """A29 (first variant): up to 40 equal bins between the column's min and max."""
+    return AN.histogram(heats(spark, sf_dir), "pouring_temp", 40).select("bin", "n")
