@@ -59,3 +59,12 @@ def test_report_matches_decision_property(spark):
     assert e.agg(F.count_if(~D.summary_matches_decision(e))).first()[0] == 0
     # D9 is idempotent: a fresh table is not stale
     assert D.needs_refresh(e) is False
+
+
+def test_stale_report_is_detected_and_refreshed(spark):
+    df = _row(spark, s_=0.03, defect_prob=0.2, cluster=0).withColumn("defect", F.lit(1))
+    e = D.enrich(df)
+    tampered = e.withColumn("recommendation", F.lit("PROCEED"))
+    assert D.needs_refresh(tampered) is True
+    fixed = D.ensure_decisions(tampered).first()
+    assert fixed["recommendation"] == "STOP" and "Recommendation: STOP" in fixed["qa_summary"]
