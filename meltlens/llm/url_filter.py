@@ -168,15 +168,23 @@ def split_url(url: F.Column) -> tuple[F.Column, F.Column]:
     return F.translate(F.regexp_extract(text, pattern, 1), UPPER, LOWER), F.regexp_extract(text, pattern, 2)
 
 
+#: (application, file name) of the indexes this driver has sent.
+_SENT: set[tuple[str, str]] = set()
+
+
 def ship_index(spark: SparkSession, index: bytes) -> str:
     """Send the index file to every executor, present and future; returns its name there."""
     if len(index) > MAX_INDEX_BYTES:
         raise ValueError(f"index of {len(index)} bytes is above {MAX_INDEX_BYTES}; use filter_urls_by_join")
     name = f"urls-{hashlib.sha256(index).hexdigest()[:32]}.idx"
+    sent = (spark.sparkContext.applicationId, name)
+    if sent in _SENT:
+        return name
     path = os.path.join(tempfile.mkdtemp(prefix="urls-"), name)  # only Spark's file server reads it
     with open(path, "wb") as out:
         out.write(index)
     spark.sparkContext.addFile(path)
+    _SENT.add(sent)
     return name
 
 
