@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP6_SQL, op6_decontamination
+from .packing import op10_best_fit_packing
 from .quality_rules import OP3_SQL, op3_quality_rules
 from .secret_scan import OP7_SQL, op7_secret_scan
+from .token_codes import op9_token_codes
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
+    "op9_token_codes": op9_token_codes,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE = {
     "op1_url_filter": OP1_SQL,
