@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP6_SQL, op6_decontamination
+from .jaccard_join import OP8_SQL, op8_jaccard_join
 from .packing import op10_best_fit_packing
 from .quality_rules import OP3_SQL, op3_quality_rules
 from .secret_scan import OP7_SQL, op7_secret_scan
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_token_codes": op9_token_codes,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
@@ -26,4 +28,5 @@ ORACLE = {
     "op3_quality_rules": OP3_SQL,
     "op6_decontamination": OP6_SQL,
     "op7_secret_scan": OP7_SQL,
+    "op8_jaccard_join": OP8_SQL,
 }
