@@ -102,12 +102,14 @@ class Lengths:
             return None
         return [x, total - x]
 
-    def exact(self, gap: int) -> list[int] | None:
-        """One, two or three available lengths that fill the gap exactly."""
-        if gap in self.counts:
+    def exact(self, gap: int, most: int = 3) -> list[int] | None:
+        """Up to ``most`` (three at the highest) available lengths that fill the gap exactly."""
+        if most and gap in self.counts:
             return [gap]
-        if found := self.pair(gap):
+        if most > 1 and (found := self.pair(gap)):
             return found
+        if most < 3:
+            return None
         z = self.longest(gap - 2) if gap > 2 else 0
         while 3 * z >= gap:  # the longest of three has a third of the gap at least
             self.take(z)
@@ -120,13 +122,21 @@ class Lengths:
 
 
 def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Patterns ({length: times in one sequence}, number of sequences) that use every piece."""
+    """Patterns ({length: times in one sequence}, number of sequences) that use every piece.
+
+    Triples can spend short pieces that longer gaps would have needed, so plans with fewer
+    summands are made as well; the one with the fewest sequences is taken."""
+    plans = [plan_with(counts, capacity, most) for most in (3, 2, 1, 0)]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def plan_with(counts: dict[int, int], capacity: int, most: int) -> list[tuple[dict[int, int], int]]:
     left, plan = Lengths(counts, capacity), []
     while left.counts:
         chosen: list[int] = []
         gap = capacity
         while gap:
-            fill = left.exact(gap) if chosen else None
+            fill = left.exact(gap, most) if chosen else None
             if fill is None:
                 best = left.longest(gap)
                 if not best:

@@ -124,7 +124,7 @@ def fit(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Mac
     rng = np.random.default_rng(SEED)
     machine = Machine(0.0, np.zeros(DIMS, np.float32), rng.normal(0, 0.01, (DIMS, RANK)).astype(np.float32))
     share = float(labels.mean()) if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         machine.bias = 30.0 if share == 1 else -30.0 if share == 0 else 0.0
         machine.factors[:] = 0
         return machine
