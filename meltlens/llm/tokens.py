@@ -1,7 +1,7 @@
-"""Whole-text encoding with public tokenizers, cached by white-space-delimited chunk.
+"""Whole-text encoding with public tokenizers, cached by chunk.
 
-Both vocabularies split a text at white space before their merges run, so the
-ids of a text are the ids of its chunks in order.  Each distinct chunk is
+Both vocabularies split a text at white space and around runs of letters before
+their merges run, so the ids of a text are the ids of its chunks in order.  Each distinct chunk is
 encoded once by the ``tokenizers`` library and kept in a bounded cache.  Texts
 that hold the string of an added token are encoded as one piece, since such a
 string can span chunks.
@@ -18,14 +18,19 @@ from collections.abc import Callable, Iterable
 #: Unicode's White_Space characters (what the vocabularies' patterns call \s).
 SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
                           0x205F, 0x3000]))
-#: tokenizer file -> pattern of its chunks.  Byte level: a word takes the one
-#: space before it, other white space stands alone, all but its last character.
+#: Latin letters (without the dotted capital I, whose lower case ends in a mark).
+LETTERS = "A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x12F), (0x131, 0x24F)))
+_LETTERS = f"[{LETTERS}]++(?![^\x00-\x7F])"
+#: tokenizer file -> pattern of its chunks.  Both vocabularies also split where a run of
+#: letters ends; it is cut off where an ASCII character follows, which keeps chunks few.
+#: Byte level: a word takes the one space before it, other white space stands alone, all
+#: but its last character.
 CHUNKS = {
-    "byte_bpe_50k.json": re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]"),
-    "word_bpe_49k.json": re.compile(f"[^{SPACE}]+"),
+    "byte_bpe_50k.json": re.compile(f" ?{_LETTERS}|[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]"),
+    "word_bpe_49k.json": re.compile(f"{_LETTERS}|[^{SPACE}]+"),
 }
 #: Chunks kept by a worker before the cache starts anew.
-MAX_CACHED_CHUNKS = 700_000
+MAX_CACHED_CHUNKS = 1_000_000
 
 
 def little_endian(ids: list[int]) -> bytes:
@@ -59,17 +64,15 @@ class Encoder:
                 out.append(self.whole(text))
                 continue
             chunks = self.find(text)
-            try:
-                out.append(b"".join(map(self.cache.__getitem__, chunks)))
-            except KeyError:
-                self._learn(chunks)
-                out.append(b"".join(map(self.cache.__getitem__, chunks)))
+            if len(self.cache) > MAX_CACHED_CHUNKS:
+                self.cache.clear()
+            if new := set(chunks).difference(self.cache):
+                self._learn(new)
+            out.append(b"".join(map(self.cache.__getitem__, chunks)))
         return out
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.cache) > MAX_CACHED_CHUNKS:
-            self.cache.clear()
-        new = [c for c in dict.fromkeys(chunks) if c not in self.cache]
+    def _learn(self, chunks: set[str]) -> None:
+        new = list(chunks)
         for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             self.cache[chunk] = little_endian(found.ids)
 
