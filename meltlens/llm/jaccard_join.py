@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, table
+from .common import ascii_lower, drop_path, scratch_path, stored, table
 
 SHINGLE = 5
 #: Prefix hashes a block of classes gathers before it is sent.
@@ -75,7 +75,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def shingle_sets(words: pa.ListArray) -> list[np.ndarray]:
     """Sorted distinct shingle hashes (signed) of each list of word hashes."""
     offsets = words.offsets.to_numpy()
-    flat = words.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    first = int(offsets[0])
+    flat = words.values[first:int(offsets[-1])].to_numpy(zero_copy_only=False).view(np.uint64)
+    offsets = offsets - first
     rolled = np.zeros(max(len(flat) - SHINGLE + 1, 0), dtype=np.uint64)
     for k in range(SHINGLE):
         rolled = mixed(rolled * MIX + flat[k:k + len(rolled)])
@@ -93,6 +95,13 @@ def shingle_sets(words: pa.ListArray) -> list[np.ndarray]:
     return out
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches, so that a worker holds the hashes of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", -1), "")
 
@@ -112,7 +121,7 @@ def send_prefixes(ranges: int):
         heads: list[np.ndarray] = []
         classes: dict[int, int] = {}
         gathered = 0
-        for batch in batches:
+        for batch in small_batches(batches):
             for c, tokens in zip(batch.column("c").to_pylist(), shingle_sets(batch.column("w"))):
                 if c in classes or not len(tokens):
                     continue
@@ -205,7 +214,7 @@ def measure_sets(df: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
-        for batch in batches:
+        for batch in small_batches(batches):
             sizes, tokens = [], []
             for c, chosen_row, found in zip(batch.column("c").to_pylist(), batch.column("chosen").to_pylist(),
                                             shingle_sets(batch.column("w"))):
@@ -285,10 +294,15 @@ def join_classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     spark = df.sparkSession
     chosen = stored(first_filter(df, text_col), "chosen")
     release(spark)
-    measured = stored(measure_sets(df, chosen, id_col, text_col), "sets")
+    path = scratch_path(spark, "measured")
+    measure_sets(df, chosen, id_col, text_col).write.option("compression", "zstd").parquet(path)
+    measured = spark.read.parquet(path)
+    documents = stored(measured.select("id", "c", "n"), "documents")
     held = measured.where("tokens is not null")
     once = held.groupBy("c").agg(F.min("part").alias("part"))
-    sets = held.join(once, ["c", "part"]).select("c", "n", "tokens")
+    sets = stored(held.join(once, ["c", "part"]).select("c", "n", "tokens"), "sets")
+    drop_path(spark, path)
+    release(spark)
     rows = stored(rare_first_prefixes(sets), "prefixes")
     release(spark)
 
@@ -298,6 +312,7 @@ def join_classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
         (F.col("c") != F.col("hub.c")) & can_link(F.col("rest"), F.col("n"), F.col("hub.rest"), F.col("hub.n")))
     tested = stored(met.select(*pairs_of(F.col("c"), F.col("hub.c"))).distinct(), "pairs")
     links = stored(verified(tested, sets), "links")
+    release(spark)
     roots = components(links)
 
     named = rows.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
@@ -310,17 +325,23 @@ def join_classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     late = stored(verified(rest, sets), "links")
     release(spark)
     if late.isEmpty():
-        return measured.select("id", "c", "n"), links, roots
+        return documents, links, roots
     links = links.unionByName(late)
-    return measured.select("id", "c", "n"), links, components(links)
+    return documents, links, components(links)
+
+
+def first_of_component(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Columns c, k: for each class its component's first row (id null last, id, class)."""
+    classes = rows.where("c is not null").groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "c")).alias("k"))
+    named = classes.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    first = named.groupBy("root").agg(F.min("k").alias("k"))
+    return named.select("c", "root").join(first, "root").select("c", "k")
 
 
 def join_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns: id, n_shingles, component_id, class - one row per input row."""
     rows, _, roots = join_classes(df, id_col, text_col)
-    named = rows.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    least = named.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    out = named.join(least, "root", "left")
+    out = rows.join(first_of_component(rows, roots).select("c", F.col("k.id").alias("least")), "c", "left")
     component = F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("least"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.col("c").alias("class"))
@@ -329,8 +350,7 @@ def join_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` (all its columns) with one row of each component: the smallest id; rows without words stay."""
     rows, _, roots = join_classes(df, id_col, text_col)
-    named = rows.where("c is not null").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "c")).alias("k"))
+    first = first_of_component(rows, roots).where("c = k.c")
     keepers = first.select(F.col("k.id").alias("__id"), F.col("k.c").alias("__c"))
     words = words_of(F.col(text_col))
     named_rows = df.withColumn("__c", F.when(F.size(words) > 0, F.xxhash64(words)))
