@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.scalar import severity_from_score, severity_rank
+from ..functions.scalar import clamp01_scalar, label_of, rank_of, severity_from_score, severity_rank
 from ..operators import analytics as AN
 from ..operators import decisions as D
 from ..operators import windows as W
@@ -55,9 +55,22 @@ def a2_kpi_summary(spark, sf_dir):
 
 
 @register("a3_severity_distribution", with_fixtures(
-    f"select {_SEV_SQL} as anomaly_severity, count(*) as n from heats group by 1", "heats"))
+    f"""select 'severity' as item, {_SEV_SQL} as name, cast(null as int) as flag, cast(count(*) as double) as value
+        from heats group by {_SEV_SQL}
+        union all select 'flag_rate', 'all', null, round(avg(case when anomaly_score >= 6e-1 then 1e0 else 0e0 end), 9) from heats
+        union all select 'defect', cast(defect as varchar), case when anomaly_score >= 6e-1 then 1 else 0 end,
+                         cast(count(*) as double) from heats group by 2, 3""", "heats"))
 def a3_severity_distribution(spark, sf_dir):
-    return AN.value_counts(AN.with_severity(heats(spark, sf_dir)), "anomaly_severity")
+    """Severity counts, the anomaly flag rate and the defect x flag crosstab as long rows."""
+    h = AN.with_severity(heats(spark, sf_dir))
+    none = F.lit(None).cast("int")
+    counts = h.groupBy(F.col("anomaly_severity").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    rate = h.agg(_r(F.avg(F.col("anomaly_flag").cast("double"))).alias("value"))
+    cross = h.groupBy(F.col("defect").cast("string").alias("name"), F.col("anomaly_flag").alias("flag")).agg(
+        F.count(F.lit(1)).cast("double").alias("value"))
+    return (counts.select(F.lit("severity").alias("item"), "name", none.alias("flag"), "value")
+            .unionByName(rate.select(F.lit("flag_rate").alias("item"), F.lit("all").alias("name"), none.alias("flag"), "value"))
+            .unionByName(cross.select(F.lit("defect").alias("item"), "name", "flag", "value")))
 
 
 @register("a4_cluster_stats", with_fixtures(
@@ -238,17 +251,30 @@ def a14_fleet_quality_score(spark, sf_dir):
                  .alias("fleet_quality_score"))
 
 
+_STABILITY_SQL = """least(1e0, 1e0 / (1e0 + avg(feat_chemistry_instability))) as chemistry_stability,
+         avg(case when feat_temp_loss < 6e1 then 1e0 else 0e0 end) as temperature_consistency,
+         1e0 - avg(anomaly_score) as process_stability, 1e0 / (1e0 + avg(feat_shrinkage_risk_index)) as shrinkage_control"""
+_STABILITY = ["chemistry_stability", "temperature_consistency", "process_stability", "shrinkage_control"]
+
+
+def stability_scores() -> list[F.Column]:
+    """The four stability scores of a featured frame as aggregates."""
+    return [F.least(F.lit(1.0), 1.0 / (1.0 + F.avg("feat_chemistry_instability"))).alias("chemistry_stability"),
+            F.avg((F.col("feat_temp_loss") < 60).cast("double")).alias("temperature_consistency"),
+            (1.0 - F.avg("anomaly_score")).alias("process_stability"),
+            (1.0 / (1.0 + F.avg("feat_shrinkage_risk_index"))).alias("shrinkage_control")]
+
+
+def mean_of(columns: list[str]) -> F.Column:
+    return sum((F.col(c) for c in columns[1:]), F.col(columns[0])) / len(columns)
+
+
 @register("a15_stability_scores", features_sql(
-    """select round(least(1e0, 1e0 / (1e0 + avg(feat_chemistry_instability))), 9) as chemistry_stability,
-         round(avg(case when feat_temp_loss < 6e1 then 1e0 else 0e0 end), 9) as temperature_consistency,
-         round(1e0 - avg(anomaly_score), 9) as process_stability,
-         round(1e0 / (1e0 + avg(feat_shrinkage_risk_index)), 9) as shrinkage_control from feat"""))
+    "select " + ", ".join(f"round({c}, 9) as {c}" for c in _STABILITY)
+    + f", round(({' + '.join(_STABILITY)}) / 4e0, 9) as overall from (select {_STABILITY_SQL} from feat)"))
 def a15_stability_scores(spark, sf_dir):
-    f = featured(spark, sf_dir)
-    return f.agg(_r(F.least(F.lit(1.0), 1.0 / (1.0 + F.avg("feat_chemistry_instability")))).alias("chemistry_stability"),
-                 _r(F.avg((F.col("feat_temp_loss") < 60).cast("double"))).alias("temperature_consistency"),
-                 _r(1.0 - F.avg("anomaly_score")).alias("process_stability"),
-                 _r(1.0 / (1.0 + F.avg("feat_shrinkage_risk_index"))).alias("shrinkage_control"))
+    s = featured(spark, sf_dir).agg(*stability_scores())
+    return s.select(*[_r(F.col(c)).alias(c) for c in _STABILITY], _r(mean_of(_STABILITY)).alias("overall"))
 
 
 @register("a16_model_accuracy", with_fixtures(
@@ -263,20 +289,32 @@ def a16_model_accuracy(spark, sf_dir):
 @register("a17_overview_kpis", decided_sql(
     """select count(*) as total, round(avg(defect), 9) as defect_rate,
          count(*) filter (where risk_level = 'CRITICAL') as critical, round(avg(defect_prob), 9) as avg_prob,
-         count(*) filter (where anomaly_score >= 6e-1) as anomalies from final"""))
+         count(*) filter (where anomaly_score >= 6e-1) as anomalies,
+         round(avg(case when defect = (case when defect_prob >= 5e-1 then 1 else 0 end) then 1e0 else 0e0 end), 9) as accuracy
+       from final"""))
 def a17_overview_kpis(spark, sf_dir):
     d = decided(spark, sf_dir)
+    pred = (F.col("defect_prob") >= 0.5).cast("int")
     return d.agg(F.count(F.lit(1)).alias("total"), _r(F.avg("defect")).alias("defect_rate"),
                  F.count_if(F.col("risk_level") == "CRITICAL").alias("critical"),
                  _r(F.avg("defect_prob")).alias("avg_prob"),
-                 F.count_if(F.col("anomaly_score") >= 0.6).alias("anomalies"))
+                 F.count_if(F.col("anomaly_score") >= 0.6).alias("anomalies"),
+                 _r(F.avg((F.col("defect") == pred).cast("double"))).alias("accuracy"))
 
 
-@register("a18_dominant_severity", with_fixtures(
-    f"select {_SEV_SQL} as anomaly_severity, count(*) as n from heats group by 1 order by n desc, 1 limit 1", "heats"))
+@register("a18_dominant_severity", decided_sql(
+    f"""select sev as anomaly_severity, n, (select concat_ws(' · ', """ + ", ".join(
+        f"case when count(*) filter (where recommendation = '{r}') > 0 then "
+        f"'{r}: ' || count(*) filter (where recommendation = '{r}') end" for r in _RECS)
+    + f""") from final) as recommendation_summary
+        from (select {_SEV_SQL} as sev, count(*) as n from final group by 1 order by n desc, 1 limit 1)"""))
 def a18_dominant_severity(spark, sf_dir):
-    c = AN.value_counts(AN.with_severity(heats(spark, sf_dir)), "anomaly_severity")
-    return c.orderBy(F.desc("n"), "anomaly_severity").limit(1)
+    """The most frequent severity, and the counts of the recommendations that occur."""
+    d = AN.with_severity(decided(spark, sf_dir))
+    top = AN.value_counts(d, "anomaly_severity").orderBy(F.desc("n"), "anomaly_severity").limit(1)
+    counts = {r: F.count_if(F.col("recommendation") == r) for r in _RECS}
+    summary = F.concat_ws(" · ", *[F.when(n > 0, F.concat(F.lit(f"{r}: "), n.cast("string"))) for r, n in counts.items()])
+    return top.crossJoin(d.agg(summary.alias("recommendation_summary")))  # two one-row frames
 
 
 @register("a19_cluster_summary", decided_sql(
@@ -291,31 +329,57 @@ def a19_cluster_summary(spark, sf_dir):
                    F.sum("cr").alias("critical"), F.sum("hi").alias("high"), F.max("c").alias("largest_cluster"))
 
 
+#: FIXED VALUES: fallback texts of batches whose rules name no action.
+_FALLBACK_ACTIONS = {
+    "STOP": "Stop affected castings and complete engineering review",
+    "HOLD": "Hold affected castings for metallurgical review",
+    "MONITOR": "Monitor process controls before release",
+    "PROCEED": "Continue standard production controls",
+}
+
+
 @register("a20_fleet_recommendations")
 def a20_fleet_recommendations(spark, sf_dir):
+    """Top 3 actions over the decided batches: each batch counts once per action, under its
+    display bucket; a batch without actions has the fallback of its recommendation."""
     from ..operators import rules as R
-    f = R.interpret(featured(spark, sf_dir))
-    ex = f.select(F.col("risk_level"), F.explode(F.array_distinct("recommendations")).alias("action"))
-    g = ex.groupBy("action").agg(F.count(F.lit(1)).alias("n_batches"),
-                                 F.max(D.risk_rank(F.col("risk_level"))).alias("worst_rank"))
-    return g.orderBy(F.desc("n_batches"), "action").limit(3)
+    d = decided(spark, sf_dir).withColumnsRenamed({"risk_level": "decided_risk", "recommendation": "decided_rec"})
+    d = R.interpret(d).withColumn("bucket", D.risk_display_bucket(F.col("decided_risk")))
+    rec = F.upper(F.trim("decided_rec"))
+    texts = F.lit("Review casting risk drivers")
+    for name, text in _FALLBACK_ACTIONS.items():
+        texts = F.when(rec == name, F.lit(text)).otherwise(texts)
+    fallback = F.when(~((F.col("bucket") == "HEALTHY") & (rec == "PROCEED")), texts)
+    actions = F.when(F.size("recommendations") > 0, F.array_distinct("recommendations")).otherwise(F.array_compact(F.array(fallback)))
+    ex = d.select(rank_of(F.col("bucket"), config.RISK_DISPLAY_ORDER, 0).alias("rank"), F.explode(actions).alias("action"))
+    g = ex.groupBy("action").agg(F.count(F.lit(1)).alias("n_batches"), F.max("rank").alias("worst"))
+    return g.orderBy(F.desc("n_batches"), "action").limit(3).select(
+        "action", "n_batches", label_of(F.col("worst"), config.RISK_DISPLAY_ORDER).alias("severity"))
+
+
+#: FIXED VALUES: fleet hints and the text shown when none applies.
+_HINTS = [
+    "Reduce pouring temperature by ~20°C or pre-heat ladle to cut heat loss and shrinkage risk.",
+    "Elevated sulfur — increase desulfurisation and verify Mn/S ≥ 3 before Mg treatment.",
+    "Hypoeutectic CE trend — increase carbon/silicon toward eutectic (CE ≥ 4.20).",
+    "Low Mg recovery — check FSM wire speed, treatment timing, and pouring temperature.",
+]
+_NO_HINT = "No fleet-wide instability flags — continue standard SPC monitoring."
+_HINT_TESTS_SQL = ["avg(feat_temp_loss) > 7e1", "avg(s_) > 1.5e-2",
+                   "avg(case when feat_ce_calculated < 4.2e0 then 1e0 else 0e0 end) > 2e-1",
+                   "avg(case when mg_recovery_ < 4e-1 then 1e0 else 0e0 end) > 1e-1"]
 
 
 @register("a22_engineering_hints", features_sql(
-    """select hint from (select unnest([
-         case when avg(feat_temp_loss) > 7e1 then 'Reduce ladle transfer time' end,
-         case when avg(s_) > 1.5e-2 then 'Review desulfurisation practice' end,
-         case when avg(feat_ce_hypo_risk) > 2e-1 then 'Raise carbon equivalent toward eutectic' end,
-         case when avg(case when mg_recovery_ < 4e-1 then 1e0 else 0e0 end) > 1e-1 then 'Check Mg treatment' end])
-         as hint from feat) where hint is not null"""))
+    "select unnest(case when len(h) > 0 then h else ['" + _NO_HINT + "'] end) as hint from (select list_filter(["
+    + ", ".join(f"case when {t} then '{h}' end" for t, h in zip(_HINT_TESTS_SQL, _HINTS))
+    + "], lambda x: x is not null) as h from feat)"))
 def a22_engineering_hints(spark, sf_dir):
-    f = featured(spark, sf_dir)
-    a = f.agg(F.array_compact(F.array(
-        F.when(F.avg("feat_temp_loss") > 70, F.lit("Reduce ladle transfer time")),
-        F.when(F.avg("s_") > 0.015, F.lit("Review desulfurisation practice")),
-        F.when(F.avg("feat_ce_hypo_risk") > 0.2, F.lit("Raise carbon equivalent toward eutectic")),
-        F.when(F.avg((F.col("mg_recovery_") < 0.4).cast("double")) > 0.1, F.lit("Check Mg treatment")))).alias("h"))
-    return a.select(F.explode("h").alias("hint"))
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    tests = [F.avg("feat_temp_loss") > 70, F.avg("s_") > 0.015, share(F.col("feat_ce_calculated") < 4.2) > 0.2,
+             share(F.col("mg_recovery_") < 0.4) > 0.1]
+    a = featured(spark, sf_dir).agg(F.array_compact(F.array(*[F.when(t, F.lit(h)) for t, h in zip(tests, _HINTS)])).alias("h"))
+    return a.select(F.explode(F.when(F.size("h") > 0, F.col("h")).otherwise(F.array(F.lit(_NO_HINT)))).alias("hint"))
 
 
 @register("a23_defect_drivers", features_sql(
@@ -329,13 +393,18 @@ def a23_defect_drivers(spark, sf_dir):
 
 
 @register("a24_target_correlation", features_sql(
-    "select feature, round(abs(c), 6) as abs_corr from (" + " union all ".join(
-        f"select '{c}' as feature, corr({c}, cast(defect as double)) as c from feat" for c in DRIVER_COLS)
-    + ") where c is not null order by abs(c) desc, feature limit 20"))
+    "select feature, round(coalesce(abs(c), 0e0), 6) as abs_corr from (" + " union all ".join(
+        f"select '{c}' as feature, corr({c}, case when k > 1 then cast(defect as double) else defect_prob end) as c "
+        f"from feat, (select count(distinct defect) as k from feat) t" for c in DRIVER_COLS)
+    + ") order by coalesce(abs(c), 0e0) desc, feature limit 20"))
 def a24_target_correlation(spark, sf_dir):
-    c = AN.target_correlations(featured(spark, sf_dir), DRIVER_COLS)
-    return c.where(F.col("corr").isNotNull()).orderBy(F.desc(F.abs("corr")), "feature").limit(20) \
-        .select("feature", F.round(F.abs("corr"), 6).alias("abs_corr"))
+    """Absolute correlation with the label, or with the probability where the label has one
+    value; an undefined correlation counts as 0."""
+    f = featured(spark, sf_dir)
+    two_labels = f.agg(F.min("defect").alias("a"), F.max("defect").alias("b")).where("a <> b").count() > 0
+    c = AN.target_correlations(f, DRIVER_COLS, "defect" if two_labels else "defect_prob")
+    value = F.coalesce(F.abs(F.nanvl("corr", F.lit(None))), F.lit(0.0))
+    return c.orderBy(F.desc(value), "feature").limit(20).select("feature", F.round(value, 6).alias("abs_corr"))
 
 
 _CORR_COLS = ["c_", "si_", "s_", "mn_", "tapping_temp", "pouring_temp", "defect_prob", "anomaly_score"]
@@ -437,13 +506,16 @@ def a38_session_summary(spark, sf_dir):
 
 
 @register("a40_status_bands", features_sql(
-    """select round(1e0 - avg(anomaly_score), 9) as process_stability,
-         case when 1e0 - avg(anomaly_score) >= 7e-1 then 'good' when 1e0 - avg(anomaly_score) >= 5e-1 then 'warn'
-              else 'poor' end as status from feat"""))
+    "select name, round(v, 9) as value, case when v >= 7e-1 then 'good' when v >= 5e-1 then 'warn' else 'poor' end as status from ("
+    + " union all ".join(f"select '{c}' as name, {c} as v from (select {_STABILITY_SQL} from feat)" for c in _STABILITY) + ")"))
 def a40_status_bands(spark, sf_dir):
-    f = featured(spark, sf_dir).agg((1.0 - F.avg("anomaly_score")).alias("s"))
-    return f.select(_r(F.col("s")).alias("process_stability"),
-                    F.when(F.col("s") >= 0.7, "good").when(F.col("s") >= 0.5, "warn").otherwise("poor").alias("status"))
+    """Each stability score with its band."""
+    s = AN.unpivot(featured(spark, sf_dir).agg(*stability_scores()), _STABILITY, "name", "v")
+    return s.select("name", _r(F.col("v")).alias("value"), status_band(F.col("v"), 0.7, 0.5).alias("status"))
+
+
+def status_band(value: F.Column, good: float, warn: float) -> F.Column:
+    return F.when(value >= good, "good").when(value >= warn, "warn").otherwise("poor")
 
 
 @register("a41_recommendation_kpis", decided_sql(
@@ -479,12 +551,12 @@ def w2_row_position(spark, sf_dir):
 
 
 @register("w5_dangerous_batches", decided_sql(
-    f"""select {KEY}, risk_level, recommendation, final_risk_score from final
-        order by final_risk_score desc, risk_rank desc, {KEY} limit 30"""))
+    f"""select {KEY}, risk_level, recommendation, final_risk_score, anomaly_score from final
+        order by final_risk_score desc, anomaly_score desc, {KEY} limit 30"""))
 def w5_dangerous_batches(spark, sf_dir):
     d = decided(spark, sf_dir)
-    return d.orderBy(F.desc("final_risk_score"), F.desc(D.risk_rank(F.col("risk_level"))), *HEAT_KEY).limit(
-        config.TOP_DANGEROUS).select(*HEAT_KEY, "risk_level", "recommendation", "final_risk_score")
+    return d.orderBy(F.desc("final_risk_score"), F.desc("anomaly_score"), *HEAT_KEY).limit(
+        config.TOP_DANGEROUS).select(*HEAT_KEY, "risk_level", "recommendation", "final_risk_score", "anomaly_score")
 
 
 @register("w6_top_anomalies", with_fixtures(
@@ -505,20 +577,33 @@ def w8_worst_severity_per_furnace(spark, sf_dir):
     return g.select("furnace", label_of(F.col("r"), config.SEVERITY_ORDER).alias("worst_severity"))
 
 
-@register("w9_scatter_frame", with_fixtures(
-    f"""select {KEY}, defect_prob as x, anomaly_score as y,
-          case when defect = 1 then 'defective' else 'healthy' end as status from heats""", "heats"))
+@register("w9_scatter_frame", decided_sql(
+    f"""select {KEY}, 1e2 * p as x, a as y, 'Defect Probability (%)' as x_title, 'Anomaly Score' as y_title,
+          recommendation as status, risk_level as risk, coalesce(cast(cluster as int), -1) as cluster from final"""))
 def w9_scatter_frame(spark, sf_dir):
-    h = heats(spark, sf_dir)
-    return h.select(*HEAT_KEY, F.col("defect_prob").alias("x"), F.col("anomaly_score").alias("y"),
-                    F.when(F.col("defect") == 1, "defective").otherwise("healthy").alias("status"))
+    """One point per batch: the scores as axes (the fixture has no PCs), status from the recommendation."""
+    d = decided(spark, sf_dir)
+    rec = D.normalize_recommendation(F.col("recommendation"))
+    return d.select(*HEAT_KEY, (100.0 * clamp01_scalar(F.col("defect_prob"))).alias("x"),
+                    clamp01_scalar(F.col("anomaly_score")).alias("y"),
+                    F.lit("Defect Probability (%)").alias("x_title"), F.lit("Anomaly Score").alias("y_title"),
+                    F.when(rec.isin(*_RECS), rec).otherwise("PROCEED").alias("status"),
+                    D.risk_display_bucket(F.col("risk_level")).alias("risk"), D.cluster_id("cluster").alias("cluster"))
 
 
 @register("w10_cluster_highlight", with_fixtures(
-    "select cluster, cluster = 2 as highlighted, count(*) as n from heats group by cluster", "heats"))
+    f"""select {KEY}, c_ as x, si_ as y, cluster, cluster = 2 as highlighted,
+          row_number() over (order by anomaly_score desc, {KEY}) = 1 as selected from heats""", "heats"))
 def w10_cluster_highlight(spark, sf_dir):
+    """Point frame with one cluster and the most anomalous batch marked (first two measures as axes)."""
     h = heats(spark, sf_dir)
-    return h.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("highlighted", F.col("cluster") == 2)
+    top = h.orderBy(F.desc("anomaly_score"), *HEAT_KEY).limit(1).select(*[F.col(k).alias(f"top_{k}") for k in HEAT_KEY])
+    same = F.lit(True)
+    for k in HEAT_KEY:
+        same = same & (F.col(k) == F.col(f"top_{k}"))
+    return h.crossJoin(F.broadcast(top)).select(  # one row
+        *HEAT_KEY, F.col("c_").alias("x"), F.col("si_").alias("y"), "cluster", (F.col("cluster") == 2).alias("highlighted"),
+        same.alias("selected"))
 
 
 # ---------------------------------------------------------------------------

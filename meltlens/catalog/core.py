@@ -15,14 +15,15 @@ from .sqlparts import FEATURE_COLS, KEY, decided_sql, features_sql
 
 
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FE.engineer_features(heats(spark, sf_dir))
+    """All features but the Mg deviation, which needs a statistics job of its own."""
+    return FE.engineer_features(heats(spark, sf_dir), mg_deviation=False)
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     # cluster history needs only (cluster, defect, anomaly): aggregate the
     # pruned base scan, not the featured frame
     base = heats(spark, sf_dir)
-    return D.unified_decisions(FE.engineer_features(base), stats=D.cluster_stats(base))
+    return D.unified_decisions(FE.engineer_features(base, mg_deviation=False), stats=D.cluster_stats(base))
 
 
 # ---------------------------------------------------------------------------
@@ -81,7 +82,7 @@ def f0_safe_division(spark, sf_dir):
 
 @register("f16_feature_table", _feature_sql(FEATURE_COLS))
 def f16_feature_table(spark, sf_dir):
-    return featured(spark, sf_dir).select(*HEAT_KEY, *FE.FEATURE_ORDER)
+    return FE.engineer_features(heats(spark, sf_dir)).select(*HEAT_KEY, *FE.FEATURE_ORDER)
 
 
 @register("f17_online_features")
@@ -271,8 +272,8 @@ def d9_refresh_guard(spark, sf_dir):
 
 @register("d10_reason_lines", decided_sql(
     f"""select {KEY}, cast(pos - 1 as int) as pos, trim(reason) as reason from (
-          select {KEY}, unnest(string_split(risk_factors, ';')) as reason,
-                 generate_subscripts(string_split(risk_factors, ';'), 1) as pos
-          from final where risk_factors <> '') t where trim(reason) <> ''"""))
+          select {KEY}, unnest(lines) as reason, generate_subscripts(lines, 1) as pos from (
+            select {KEY}, case when trim(risk_factors) <> '' then list_filter(string_split(risk_factors, ';'), lambda x: trim(x) <> '')
+              else ['Final recommendation: ' || recommendation, 'Risk level: ' || risk_level] end as lines from final))"""))
 def d10_reason_lines(spark, sf_dir):
     return D.reason_lines(decided(spark, sf_dir), HEAT_KEY)

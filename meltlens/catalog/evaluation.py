@@ -8,7 +8,7 @@ from ..operators import evaluation as EV
 from ..plans.registry import register
 from ..sources.fixtures import HEAT_KEY, preds, with_fixtures
 
-_H = ("((42 + l_orderkey * 2654435761 + l_linenumber * 40503 + l_partkey * 97 + l_suppkey) % 1000003)")
+_H = ("((42 + (l_orderkey % 1000003) * 2654435761 + (l_linenumber % 1000003) * 40503 + (l_partkey % 1000003) * 97 + l_suppkey % 1000003) % 1000003)")
 _RANKED = (f"select *, row_number() over (partition by y order by {_H}, l_orderkey, l_linenumber, l_partkey, "
            "l_suppkey) as rk, count(*) over (partition by y) as n from preds")
 

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.scalar import severity_from_score
+from ..functions.scalar import rank_of, severity_from_score
 from ..operators import analytics as AN
 from ..operators import cleaning as C
 from ..operators import decisions as D
@@ -20,6 +20,7 @@ from ..plans.registry import register
 from ..sources import io as IO
 from ..sources.fixtures import HEAT_KEY, heats, heats_raw, points5, preds, with_fixtures
 from ..sources.tables import table_path
+from .analytics import _SEV_SQL, _STABILITY, _STABILITY_SQL, mean_of, stability_scores
 from .core import decided, featured
 from .sqlparts import KEY, decided_sql, features_sql
 
@@ -48,65 +49,83 @@ def c18_zscore_fallback_score(spark, sf_dir):
 
 
 @register("a21_recommendation_card", decided_sql(
-    """select count(*) as total, count(*) filter (where risk_level = 'LOW') as low_risk,
-         count(*) filter (where risk_level in ('HIGH', 'CRITICAL')) as risky,
-         round(count(*) filter (where recommendation <> 'PROCEED') * 1e2 / count(*), 6) as affected_pct,
-         (select risk_level from final group by risk_level order by count(*) desc, risk_level limit 1)
-           as most_common_risk from final"""))
+    """select total, healthy, total - healthy as risky, (select bucket from (select bucket, count(*) as n,
+           case bucket when 'HEALTHY' then 0 when 'LOW' then 1 when 'MEDIUM' then 2 when 'HIGH' then 3 else 4 end as pos
+           from b group by bucket) order by n desc, pos limit 1) as most_common_risk
+       from (select count(*) as total, count(*) filter (where bucket = 'HEALTHY') as healthy from b)""".replace(
+        "from b", "from (select case when risk_level in ('NORMAL','OK','PASS','ACCEPT','ACCEPTABLE','NONE','NAN','HEALTHY') "
+        "then 'HEALTHY' else risk_level end as bucket from final) b")))
 def a21_recommendation_card(spark, sf_dir):
-    d = decided(spark, sf_dir)
-    counts = d.groupBy("risk_level").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("risk_level"))).alias("t")) \
-        .select(F.col("t.risk_level").alias("most_common_risk"))
-    agg = d.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("risk_level") == "LOW").alias("low_risk"),
-                F.count_if(F.col("risk_level").isin("HIGH", "CRITICAL")).alias("risky"),
-                F.round(F.count_if(F.col("recommendation") != "PROCEED") * 100.0 / F.count(F.lit(1)), 6)
-                .alias("affected_pct"))
-    return agg.crossJoin(top)
+    """Healthy is the HEALTHY display bucket, risky all others; the largest bucket (first in display order on ties)."""
+    counts = decided(spark, sf_dir).groupBy(D.risk_display_bucket(F.col("risk_level")).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"))
+    rank = rank_of(F.col("bucket"), _BUCKETS, 0)
+    return counts.agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("bucket") == "HEALTHY", F.col("n"))), F.lit(0)).alias("healthy"),
+                      F.max_by("bucket", F.struct("n", -rank)).alias("most_common_risk")).select(
+        "total", "healthy", (F.col("total") - F.col("healthy")).alias("risky"), "most_common_risk")
 
 
-_RADAR = ["c_", "si_", "s_", "mn_", "mg_recovery_", "tapping_temp", "pouring_temp", "feat_temp_loss"]
+#: FIXED VALUES: axes of the selected-versus-healthy profile.
+_RADAR = {"Si": "si_", "Mn": "mn_", "Mg recovery": "mg_recovery_", "Pouring temp": "pouring_temp", "Tapping temp": "tapping_temp",
+          "Chemistry stability": "feat_chemistry_instability", "Shrinkage index": "feat_shrinkage_risk_index",
+          "Gas index": "feat_gas_risk_index"}
 
 
 @register("a27_selected_vs_healthy", features_sql(
     "select parameter, round(healthy_mean, 9) as healthy_mean, round(selected_value, 9) as selected_value from ("
     + " union all ".join(
-        f"select '{c}' as parameter, (select avg({c}) from feat where defect = 0) as healthy_mean, "
-        f"(select {c} from feat order by anomaly_score desc, {KEY} limit 1) as selected_value" for c in _RADAR)
+        f"select '{label}' as parameter, (select coalesce(avg(case when coalesce(defect, 0) = 0 then {c} end), "
+        f"avg(case when defect_prob < 5e-1 then {c} end), avg({c})) from feat) as healthy_mean, "
+        f"(select {c} from feat order by anomaly_score desc, {KEY} limit 1) as selected_value" for label, c in _RADAR.items())
     + ")"))
 def a27_selected_vs_healthy(spark, sf_dir):
+    """The most anomalous batch against the healthy batches: those without a defect, else those
+    below half probability, else all."""
     f = featured(spark, sf_dir)
-    healthy = f.where(F.col("defect") == 0).agg(*[F.avg(c).alias(c) for c in _RADAR])
-    selected = f.orderBy(F.desc("anomaly_score"), *HEAT_KEY).limit(1).select(*[F.col(c).alias(f"s_{c}") for c in _RADAR])
+    fine, likely = F.coalesce(F.col("defect"), F.lit(0)) == 0, F.col("defect_prob") < 0.5
+    counts = f.agg(F.count_if(fine).alias("fine"), F.count_if(likely).alias("likely")).first()
+    healthy = f.where(fine if counts["fine"] else likely if counts["likely"] else F.lit(True))
+    healthy = healthy.agg(*[F.avg(c).alias(c) for c in _RADAR.values()])
+    selected = f.orderBy(F.desc("anomaly_score"), *HEAT_KEY).limit(1).select(*[F.col(c).alias(f"s_{c}") for c in _RADAR.values()])
     j = healthy.crossJoin(selected)  # two one-row frames
-    return j.select(F.explode(F.array(*[F.struct(F.lit(c).alias("parameter"), _r(F.col(c)).alias("healthy_mean"),
-                                                 _r(F.col(f"s_{c}")).alias("selected_value")) for c in _RADAR]))
-                    .alias("x")).select("x.*")
+    return j.select(F.explode(F.array(*[F.struct(F.lit(label).alias("parameter"), _r(F.col(c)).alias("healthy_mean"),
+                                                 _r(F.col(f"s_{c}").cast("double")).alias("selected_value"))
+                                        for label, c in _RADAR.items()])).alias("x")).select("x.*")
 
 
 @register("a30_fleet_summary_rows", decided_sql(
-    """select 'total_batches' as item, (select count(*) * 1e0 from final) as value
-       union all select 'defect_rate', (select round(avg(defect), 9) from final)
-       union all select 'avg_defect_prob', (select round(avg(defect_prob), 9) from final)
-       union all select 'avg_anomaly_score', (select round(avg(anomaly_score), 9) from final)
-       union all select 'stop_count', (select count(*) filter (where recommendation = 'STOP') * 1e0 from final)"""))
+    """select 'Total batches' as metric, (select cast(count(*) as varchar) from final) as value
+       union all select 'Avg defect probability', (select printf('%.1f%%', avg(defect_prob) * 1e2) from final)
+       union all select 'Critical batches', (select cast(count(*) filter (where risk_level = 'CRITICAL') as varchar) from final)
+       """ + " ".join(f"union all select 'Recommendation {r}', (select cast(count(*) filter (where recommendation = '{r}') as varchar) from final)"
+                      for r in ("PROCEED", "MONITOR", "HOLD", "STOP"))
+    + " ".join(f" union all select 'Selected {name}', (select cast({c} as varchar) from final order by anomaly_score desc, {KEY} limit 1)"
+               for name, c in (("batch index", "l_orderkey"), ("risk level", "risk_level"), ("recommendation", "recommendation")))))
 def a30_fleet_summary_rows(spark, sf_dir):
+    """Metric / value rows of the fleet and of the most anomalous batch."""
     d = decided(spark, sf_dir)
-    one = d.agg(F.count(F.lit(1)).cast("double").alias("total_batches"), _r(F.avg("defect")).alias("defect_rate"),
-                _r(F.avg("defect_prob")).alias("avg_defect_prob"), _r(F.avg("anomaly_score")).alias("avg_anomaly_score"),
-                F.count_if(F.col("recommendation") == "STOP").cast("double").alias("stop_count"))
-    return AN.unpivot(one, ["total_batches", "defect_rate", "avg_defect_prob", "avg_anomaly_score", "stop_count"],
-                      "item", "value")
+    text = lambda c: c.cast("string")
+    rows = {"Total batches": text(F.count(F.lit(1))),
+            "Avg defect probability": F.format_string("%.1f%%", F.avg("defect_prob") * 100.0),
+            "Critical batches": text(F.count_if(F.col("risk_level") == "CRITICAL"))}
+    rows |= {f"Recommendation {r}": text(F.count_if(F.col("recommendation") == r)) for r in ("PROCEED", "MONITOR", "HOLD", "STOP")}
+    one = d.agg(*[c.alias(f"v{i}") for i, c in enumerate(rows.values())])
+    top = d.orderBy(F.desc("anomaly_score"), *HEAT_KEY).limit(1).select(
+        text(F.col("l_orderkey")).alias("s0"), F.col("risk_level").alias("s1"), F.col("recommendation").alias("s2"))
+    named = [*((name, f"v{i}") for i, name in enumerate(rows)), ("Selected batch index", "s0"), ("Selected risk level", "s1"),
+             ("Selected recommendation", "s2")]
+    j = one.crossJoin(top)  # two one-row frames
+    return j.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).alias("value")) for n, c in named])).alias("x")).select("x.*")
 
 
 @register("a31_batch_vs_fleet", with_fixtures(
     "select parameter, round(batch_value - fleet_mean, 9) as delta from (" + " union all ".join(
         f"select '{c}' as parameter, (select {c} from heats order by anomaly_score desc, {KEY} limit 1) as batch_value, "
-        f"(select avg({c}) from heats) as fleet_mean" for c in ["c_", "si_", "s_", "tapping_temp", "pouring_temp"])
+        f"(select avg({c}) from heats) as fleet_mean" for c in ["c_", "si_", "s_", "tapping_temp", "pouring_temp", "defect_prob"])
     + ")", "heats"))
 def a31_batch_vs_fleet(spark, sf_dir):
     h = heats(spark, sf_dir)
-    cols = ["c_", "si_", "s_", "tapping_temp", "pouring_temp"]
+    cols = ["c_", "si_", "s_", "tapping_temp", "pouring_temp", "defect_prob"]
     batch = h.orderBy(F.desc("anomaly_score"), *HEAT_KEY).limit(1).select(*[F.col(c).alias(f"b_{c}") for c in cols])
     fleet = h.agg(*[F.avg(c).alias(f"m_{c}") for c in cols])
     j = batch.crossJoin(fleet)
@@ -115,41 +134,60 @@ def a31_batch_vs_fleet(spark, sf_dir):
                     .alias("x")).select("x.*")
 
 
-def _feature_group(name_col):
-    n = F.lower(name_col)
-    return (F.when(n.rlike("^(c_|si_|s_|mn_|p__|cr_|mg_|n__|al__)$|ce|chem|sulfur|mn_s|c_si"), "Chemistry")
-            .when(n.rlike("temp|pour|loss"), "Temperature")
-            .when(n.rlike("mg_rec|fsm|heel|crca|tapped"), "Process").otherwise("Other"))
+#: FIXED VALUES: parts of a feature's name that tell its group, in order of precedence.
+_GROUP_PARTS = [
+    ("chemistry", ["c_", "si", "mn", "s_", "ce", "chem", "carbon", "sulfur"]),
+    ("thermal", ["temp", "pour", "tap", "heat"]),
+    ("additive", ["mg", "barinoc", "inoc", "add"]),
+    ("engineered", ["risk", "instability", "loss", "ratio"]),
+]
+_GROUP_COLS = ["c_", "al__", "p__", "tapping_temp", "pouring_temp", "feat_temp_loss", "mg_recovery_", "fsmaddition_mt", "heel", "crca",
+               "feat_gas_risk_index", "feat_heel_ratio"]
+
+
+def _feature_group(name: F.Column) -> F.Column:
+    n, out = F.lower(name), None
+    for group, parts in _GROUP_PARTS:
+        hit = F.lit(False)
+        for part in parts:
+            hit = hit | n.contains(part)
+        if group == "engineered":
+            hit = hit | n.startswith("feat_")
+        out = F.when(hit, group) if out is None else out.when(hit, group)
+    return out.otherwise("other")
 
 
 @register("a33_importance_group_rollup", features_sql(
-    """select grp, round(sum(w) * 1e2 / (select sum(w) from imp), 6) as pct from imp group by grp""",
+    "select grp, round(sum(w) * 1e2 / (select sum(w) from imp), 6) as pct from (select "
+    + "case " + " ".join(
+        f"when regexp_matches(feature, '{'|'.join(parts)}{'|^feat_' if g == 'engineered' else ''}') then '{g}'" for g, parts in _GROUP_PARTS)
+    + " else 'other' end as grp, w from imp) group by grp",
     extra={"imp": " union all ".join(
-        f"select '{g}' as grp, abs(corr({c}, cast(defect as double))) as w from feat"
-        for c, g in [("c_", "Chemistry"), ("si_", "Chemistry"), ("s_", "Chemistry"), ("mn_", "Chemistry"),
-                     ("tapping_temp", "Temperature"), ("pouring_temp", "Temperature"),
-                     ("feat_temp_loss", "Temperature"), ("mg_recovery_", "Process"), ("fsmaddition_mt", "Process"),
-                     ("heel", "Process")])}))
+        f"select '{c}' as feature, abs(corr({c}, cast(defect as double))) as w from feat" for c in _GROUP_COLS)}))
 def a33_importance_group_rollup(spark, sf_dir):
-    cols = ["c_", "si_", "s_", "mn_", "tapping_temp", "pouring_temp", "feat_temp_loss", "mg_recovery_",
-            "fsmaddition_mt", "heel"]
-    imp = AN.target_correlations(featured(spark, sf_dir), cols).select(
-        "feature", F.abs("corr").alias("w")).withColumn("grp", _feature_group(F.col("feature")))
+    imp = AN.target_correlations(featured(spark, sf_dir), _GROUP_COLS).select(
+        _feature_group(F.col("feature")).alias("grp"), F.abs("corr").alias("w"))
     tot = imp.agg(F.sum("w").alias("t"))
     return imp.groupBy("grp").agg(F.sum("w").alias("s")).crossJoin(tot).select(
         "grp", F.round(F.col("s") * 100.0 / F.col("t"), 6).alias("pct"))
 
 
 @register("a39_fleet_overview", decided_sql(
-    """select round(((1e0 - avg(defect_prob)) + (1e0 - avg(anomaly_score)) + (1e0 - avg(defect))) / 3e0, 9)
-         as quality_score, round(1e0 - avg(anomaly_score), 9) as process_stability,
-         round(avg(defect_prob), 9) as avg_prob, count(*) filter (where risk_level = 'CRITICAL') as critical from final"""))
+    f"""select round(quality, 9) as quality_score, round(({' + '.join(_STABILITY)}) / 4e0, 9) as process_stability,
+         (select {_SEV_SQL} from final group by 1 order by count(*) desc, 1 limit 1) as dominant_severity,
+         round(prob, 9) as avg_prob, critical
+       from (select ((1e0 - avg(defect_prob)) + (1e0 - avg(anomaly_score)) + (1e0 - avg(defect))) / 3e0 as quality,
+               {_STABILITY_SQL}, avg(defect_prob) as prob, count(*) filter (where risk_level = 'CRITICAL') as critical from final)"""))
 def a39_fleet_overview(spark, sf_dir):
-    d = decided(spark, sf_dir)
-    return d.agg(_r(((1 - F.avg("defect_prob")) + (1 - F.avg("anomaly_score")) + (1 - F.avg("defect"))) / 3.0)
-                 .alias("quality_score"), _r(1 - F.avg("anomaly_score")).alias("process_stability"),
-                 _r(F.avg("defect_prob")).alias("avg_prob"),
-                 F.count_if(F.col("risk_level") == "CRITICAL").alias("critical"))
+    """Quality, mean stability, dominant severity, mean probability and critical batches."""
+    d = AN.with_severity(decided(spark, sf_dir))
+    quality = ((1 - F.avg("defect_prob")) + (1 - F.avg("anomaly_score")) + (1 - F.avg("defect"))) / 3.0
+    one = d.agg(quality.alias("quality"), *stability_scores(), F.avg("defect_prob").alias("prob"),
+                F.count_if(F.col("risk_level") == "CRITICAL").alias("critical"))
+    top = AN.value_counts(d, "anomaly_severity").orderBy(F.desc("n"), "anomaly_severity").limit(1)
+    return one.crossJoin(top).select(  # two one-row frames
+        _r(F.col("quality")).alias("quality_score"), _r(mean_of(_STABILITY)).alias("process_stability"),
+        F.col("anomaly_severity").alias("dominant_severity"), _r(F.col("prob")).alias("avg_prob"), "critical")
 
 
 @register("w3_cumulative_share", with_fixtures(
@@ -180,28 +218,21 @@ def w7_best_of_leaderboard(spark, sf_dir):
     return g.orderBy("r", "furnace").limit(1).select("furnace", _r(F.col("r")).alias("defect_rate"))
 
 
+_SQD5 = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(1, 6))
+
+
 @register("m29_cluster_validation", with_fixtures(
-    """select label, count(*) as batch_count from points5 group by label""", "points5"))
+    f"""select ab.ca as label, round(avg(case when sz.n <= 1 or ab.b is null then 0e0
+          else (ab.b - ab.a) / greatest(ab.a, ab.b) end), 6) as silhouette, count(*) as batch_count
+        from (select vec_id, ca, max(case when ca = cb then m end) as a, min(case when ca <> cb then m end) as b
+              from (select a.vec_id, a.label as ca, b.label as cb, avg({_SQD5}) as m
+                    from points5 a join points5 b on a.vec_id <> b.vec_id group by 1, 2, 3) per
+              group by 1, 2) ab join (select label, count(*) as n from points5 group by label) sz on ab.ca = sz.label
+        group by ab.ca""", "points5"))
 def m29_cluster_validation(spark, sf_dir):
     p = points5(spark, sf_dir)
     sil = NB.silhouette_sq(p, ["x1", "x2", "x3", "x4", "x5"], "label")
-    return sil.select("label", F.col("n").alias("batch_count"))
-
-
-@register("m31_anomaly_job")
-def m31_anomaly_job(spark, sf_dir):
-    from ..plans.ordered import exact_quantiles
-    p = points5(spark, sf_dir)
-    feats = ["x1", "x2", "x3", "x4", "x5"]
-    nodes, m = NB.fit_isolation_forest(p, feats)
-    s = NB.score_isolation_forest(p, feats, nodes, m)
-    mm = s.agg(F.min("if_score").alias("mn"), F.max("if_score").alias("mx"))
-    norm = s.crossJoin(mm).withColumn("if_norm", (F.col("if_score") - F.col("mn")) / (F.col("mx") - F.col("mn") + 1e-9))
-    sil = NB.silhouette_sq(p, feats, "label").select("label", F.col("silhouette").alias("cluster_quality"))
-    e = NB.ensemble(norm.join(F.broadcast(sil), "label"), "if_norm", "if_norm")
-    thr = exact_quantiles(e, ["anomaly_score"], [1.0 - config.ANOMALY_CONTAMINATION]).first()["value"]
-    e = e.withColumn("anomaly_flag", (F.col("anomaly_score") >= F.lit(thr)).cast("int"))
-    return e.groupBy("label").pivot("anomaly_flag", [0, 1]).count().na.fill(0)
+    return sil.select("label", F.round("silhouette", 6).alias("silhouette"), F.col("n").alias("batch_count"))
 
 
 @register("m32_explained_variance_frame")

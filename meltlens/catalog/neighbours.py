@@ -1,14 +1,14 @@
-"""Neighbour / anomaly model entries (M11, M13, M15) over ``points5`` and ``heats``."""
+"""Neighbour / anomaly model entries (M11, M13-M15) over ``points5``, ``points3`` and ``heats``."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import config
 from ..operators import neighbours as NB
-from ..plans.ordered import exact_quantiles
 from ..plans.registry import register
-from ..sources.fixtures import heats, points5, with_fixtures
+from ..session import cut_lineage
+from ..operators.lof import lof_scores
+from ..sources.fixtures import heats, points3, points5, with_fixtures
 
 _X = ["x1", "x2", "x3", "x4", "x5"]
 _SQD = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _X)
@@ -32,8 +32,7 @@ def m13_isolation_forest(spark, sf_dir):
     p = points5(spark, sf_dir)
     nodes, m = NB.fit_isolation_forest(p, _X)
     scored = NB.score_isolation_forest(p, _X, nodes, m)
-    thr = exact_quantiles(scored, ["if_score"], [1.0 - config.ANOMALY_CONTAMINATION]).first()["value"]
-    return scored.select("vec_id", "if_score", (F.col("if_score") >= F.lit(thr)).cast("int").alias("if_flag"))
+    return NB.scaled_flag(scored, "if_score", "if_norm", "if_flag").select("vec_id", "if_score", "if_norm", "if_flag")
 
 
 @register("m15_ensemble_severity", with_fixtures(
@@ -45,3 +44,40 @@ def m13_isolation_forest(spark, sf_dir):
 def m15_ensemble_severity(spark, sf_dir):
     e = NB.ensemble(heats(spark, sf_dir), "anomaly_score", "defect_prob")
     return e.groupBy("anomaly_severity", "severity_int").agg(F.count(F.lit(1)).alias("n"))
+
+
+_B = ["b1", "b2", "b3"]
+_D3 = " + ".join(f"(p.{c} - q.{c}) * (p.{c} - q.{c})" for c in _B)
+
+
+@register("m14_lof_scores", with_fixtures(
+    """select e.vec_id, round(avg(t.lrd) / any_value(o.lrd), 6) as lof_score
+       from near e join dens t on t.vec_id = e.other join dens o on o.vec_id = e.vec_id group by e.vec_id""",
+    "points3", ctes={
+        "dist": f"""select p.vec_id, q.vec_id as other, sqrt({_D3}) as d,
+                      row_number() over (partition by p.vec_id order by {_D3}) as rn
+                    from points3 p join points3 q on p.vec_id <> q.vec_id""",
+        "kd": "select vec_id, max(d) as kd from dist where rn <= 20 group by vec_id",
+        "near": "select dist.vec_id, other, d from dist join kd on kd.vec_id = dist.vec_id where d <= kd",
+        "dens": """select n.vec_id, 1e0 / (avg(greatest(k.kd, n.d)) + 1e-10) as lrd
+                   from near n join kd k on k.vec_id = n.other group by n.vec_id"""}))
+def m14_lof_scores(spark, sf_dir):
+    s = lof_scores(points3(spark, sf_dir), _B)
+    return s.select("vec_id", F.round("lof_score", 6).alias("lof_score"))
+
+
+def anomaly_frame(spark, sf_dir):
+    """Both detectors' normalised scores and flags, the ensemble score, OR flag and severity."""
+    p = points3(spark, sf_dir)
+    nodes, m = NB.fit_isolation_forest(p, _B)
+    scored = cut_lineage(lof_scores(NB.score_isolation_forest(p, _B, nodes, m), _B))
+    flagged = NB.scaled_flag(NB.scaled_flag(scored, "if_score", "if_norm", "if_flag"), "lof_score", "lof_norm", "lof_flag")
+    return NB.ensemble(flagged, "if_norm", "lof_norm", flags=["if_flag", "lof_flag"])
+
+
+@register("m31_anomaly_job")
+def m31_anomaly_job(spark, sf_dir):
+    """Summary of the job: rows by label, severity and flag, with the mean ensemble score."""
+    e = anomaly_frame(spark, sf_dir)
+    return e.groupBy("label", "anomaly_severity", "severity_int", "anomaly_flag").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("anomaly_score").alias("mean_score"))

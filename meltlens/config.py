@@ -55,7 +55,7 @@ SEVERITY_ORDER = ["NORMAL", "LOW RISK", "MEDIUM RISK", "HIGH RISK", "CRITICAL"]
 SEVERITY_CUTS = [0.20, 0.40, 0.60, 0.80]  # left-closed: score >= cut
 RISK_DISPLAY_ORDER = ["HEALTHY", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
 RISK_DISPLAY_HEALTHY_ALIASES = ["NORMAL", "OK", "PASS", "ACCEPT", "ACCEPTABLE", "NONE", "NAN"]
-LEGACY_STOP_WORD = "RE" "JECT"  # legacy synonym of STOP
+LEGACY_STOP_WORD = "REJECT"  # legacy synonym of STOP
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — cleaning

@@ -94,12 +94,12 @@ def five_number_summary(df: DataFrame, value: str, by: str) -> DataFrame:
 
     Quartiles come from the distributed exact-quantile plan grouped by ``by``,
     so a group holding a third of all rows is still split across tasks."""
-    from ..plans.ordered import exact_quantiles
+    from ..plans.ordered import exact_quantiles, join_on_keys
     q = exact_quantiles(df, [value], [0.25, 0.5, 0.75], by=by)
     wide = q.groupBy(by).agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
                                for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     mm = df.groupBy(by).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.count(F.lit(1)).alias("n"))
-    return mm.join(wide, by).select(by, "min", "q1", "median", "q3", "max", "n")
+    return join_on_keys(mm, wide, [by]).select(by, "min", "q1", "median", "q3", "max", "n")
 
 
 def with_severity(df: DataFrame, score: str = "anomaly_score") -> DataFrame:

@@ -250,8 +250,9 @@ def clean_table(df: DataFrame, key_cols: Sequence[str] = (), dedupe: bool = True
     """
     rep = CleaningReport()
     keys = list(key_cols)
-    df = H.rename_headers(df.select(*keys, *[c for c in df.columns if c not in keys]))
-    data_cols = [c for c in df.columns if c not in keys]
+    others = [c for c in df.columns if c not in keys]
+    data_cols = H.suffix_duplicates([H.clean_header_offline(c) for c in others], reserved=keys)
+    df = df.select(*keys, *others).toDF(*keys, *data_cols)
     df = df.na.drop(how="all", subset=data_cols)
     df, rep.empty_columns = drop_empty_columns(df)
     if dedupe:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.scalar import compact_array, clamp01_scalar, flag, label_of, rank_of, sentinel_to_numeric
 from ..functions.text import fmt
-from ..plans.lookup import attach
+from ..plans.lookup import attach, own_stage
 from .rules import REC_BY_SEVERITY, build_rules, escalate
 
 TH = config.DECISION_THRESH
@@ -28,6 +28,11 @@ def _numeric(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
+def cluster_id(name: str) -> Column:
+    """Cluster as an int; text such as '2.0' is read as a number, anything else is -1 (as NULL is)."""
+    return F.coalesce(F.col(name).try_cast("double").try_cast("int"), F.lit(-1))
+
+
 def cluster_stats(df: DataFrame, label_col: str = "defect", prob_col: str = "defect_prob",
                   anomaly_col: str = "anomaly_score", cluster_col: str = "cluster") -> DataFrame:
     """Per cluster ``defect_rate`` (label, else probability, else 0),
@@ -45,8 +50,8 @@ def cluster_stats(df: DataFrame, label_col: str = "defect", prob_col: str = "def
         rate_src = F.lit(0.0)
     anom = F.coalesce(_numeric(df, anomaly_col), F.lit(0.0)) if anomaly_col in cols else F.lit(0.0)
     return (
-        df.where(F.col(cluster_col).isNotNull())
-        .groupBy(F.col(cluster_col).cast("int").alias("cluster"))
+        df.where(F.col(cluster_col).try_cast("double").try_cast("int").isNotNull())
+        .groupBy(cluster_id(cluster_col).alias("cluster"))
         .agg(
             F.avg(rate_src).alias("defect_rate"),
             F.count(F.lit(1)).alias("batch_count"),
@@ -64,7 +69,7 @@ def attach_cluster_stats(df: DataFrame, stats: DataFrame | None = None, cluster_
         F.col("defect_rate").alias("cluster_defect_rate"),
         F.col("risky").alias("cluster_risky"),
     )
-    key = F.coalesce(F.col(cluster_col).cast("int"), F.lit(-1)) if cluster_col in df.columns else F.lit(-1)
+    key = cluster_id(cluster_col) if cluster_col in df.columns else F.lit(-1)
     joined = attach(df.withColumn("__cl", key), s, on="__cl", how="left")
     return joined.drop("__cl").withColumns({
         "cluster_defect_rate": F.coalesce(F.col("cluster_defect_rate"), F.lit(0.0)),
@@ -87,7 +92,7 @@ def decision_stages(df: DataFrame, th: dict | None = None, rule_th: dict | None
     s1 = df.withColumns({
         "__p": _signal(df, "defect_prob"),
         "__a": _signal(df, "anomaly_score"),
-        "__cl": F.coalesce(F.col("cluster").cast("int"), F.lit(-1)) if "cluster" in df.columns else F.lit(-1),
+        "__cl": cluster_id("cluster") if "cluster" in df.columns else F.lit(-1),
     })
     p, a, cl = F.col("__p"), F.col("__a"), F.col("__cl")
     rate, risky = F.col("cluster_defect_rate"), F.col("cluster_risky")
@@ -192,10 +197,10 @@ def with_qa_report(df: DataFrame, row_key: Column | None = None, rule_th: dict |
                    name: str = "qa_summary") -> DataFrame:
     """The full multi-line report for each decided row (pure columns,
     evaluated in stages so the rule texts are built once per row)."""
-    s1 = df.withColumns({
+    s1 = own_stage(df).withColumns({
         "__p": _signal(df, "defect_prob"),
         "__a": _signal(df, "anomaly_score"),
-        "__cl": F.coalesce(F.col("cluster").cast("int"), F.lit(-1)) if "cluster" in df.columns else F.lit(-1),
+        "__cl": cluster_id("cluster") if "cluster" in df.columns else F.lit(-1),
         "__conf": clamp01_scalar(F.col("risk_confidence")) if "risk_confidence" in df.columns else F.lit(0.5),
         "__bid": batch_id(df, row_key),
     })
@@ -208,13 +213,13 @@ def with_qa_report(df: DataFrame, row_key: Column | None = None, rule_th: dict |
         F.when(a != 0, fmt("Anomaly score signal %.2f", a)),
         F.when(cl >= 0, fmt("Cluster %d process grouping", cl)),
     ))
-    s2 = s1.withColumns({
+    s2 = own_stage(s1.withColumns({
         "__warn": compact_array(o.warnings),
         "__causes": compact_array(o.causes),
         "__acts": compact_array(o.actions),
         "__given": given,
         "__derived": derived,
-    })
+    }))
     base = F.when(F.size("__given") > 0, F.col("__given")).otherwise(F.col("__derived"))
     # generated texts never contain the legacy word; given factors were cleaned on split
     s3 = s2.withColumn("__factors", F.array_distinct(F.concat(base, F.col("__warn"))))
@@ -249,7 +254,7 @@ def enrich(df: DataFrame, stats: DataFrame | None = None, row_key: Column | None
 def summary_matches_decision(df: DataFrame) -> Column:
     """D8 (row predicate): the report text agrees with the decision fields."""
     p, a = _signal(df, "defect_prob"), _signal(df, "anomaly_score")
-    cl = F.coalesce(F.col("cluster").cast("int"), F.lit(-1)) if "cluster" in df.columns else F.lit(-1)
+    cl = cluster_id("cluster") if "cluster" in df.columns else F.lit(-1)
     risk = normalize_risk(F.col("risk_level"))
     rec = normalize_recommendation(F.col("recommendation"))
     summ = F.coalesce(F.col("qa_summary").cast("string"), F.lit(""))
@@ -293,8 +298,13 @@ def ensure_decisions(df: DataFrame, stats: DataFrame | None = None) -> DataFrame
 
 
 def reason_lines(df: DataFrame, key_cols: list[str]) -> DataFrame:
-    """One row per non-empty trimmed risk factor, with its position."""
-    return df.select(*key_cols, F.posexplode(_split_factors(F.col("risk_factors"))).alias("pos", "reason"))
+    """One row per non-empty trimmed risk factor, with its position; without factors, the
+    recommendation and the risk level as two lines."""
+    named = lambda label, c: F.concat(F.lit(label), F.coalesce(F.col(c).cast("string"), F.lit("N/A")))
+    fallback = F.array(named("Final recommendation: ", "recommendation"), named("Risk level: ", "risk_level"))
+    factors = _split_factors(F.col("risk_factors"))
+    blank = F.trim(F.coalesce(F.col("risk_factors").cast("string"), F.lit(""))) == ""
+    return df.select(*key_cols, F.posexplode(F.when(blank, fallback).otherwise(factors)).alias("pos", "reason"))
 
 
 # ---------------------------------------------------------------------------

@@ -12,7 +12,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import running_totals
+from ..plans.lookup import materialize_if_small
+from ..plans.ordered import join_on_keys, running_totals
 
 
 def split_hash(keys: Sequence[str], seed: int = 42) -> Column:
@@ -20,7 +21,8 @@ def split_hash(keys: Sequence[str], seed: int = 42) -> Column:
     h = F.lit(seed)
     mults = [2654435761, 40503, 97, 1]
     for i, k in enumerate(keys):
-        h = h + F.col(k).cast("long") * mults[i % len(mults)]
+        # reduced first: the product of a large key would overflow
+        h = h + F.pmod(F.col(k).cast("long"), F.lit(1000003)) * mults[i % len(mults)]
     return F.pmod(h, F.lit(1000003))
 
 
@@ -29,7 +31,8 @@ def stratified_rank(df: DataFrame, label: str, keys: Sequence[str], seed: int =
     h = df.withColumn("__h", split_hash(keys, seed))
     ranked = running_totals(h, [label], ["__h", *keys], {"__rank": F.lit(1).cast("long")})
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))  # one row per class
-    return ranked.join(F.broadcast(sizes), label).drop("__h")
+    small, fits = materialize_if_small(sizes)
+    return join_on_keys(ranked, F.broadcast(small) if fits else small, [label]).drop("__h")
 
 
 def stratified_split(df: DataFrame, label: str, keys: Sequence[str], test_fraction: float = 0.2,
@@ -69,7 +72,8 @@ def roc_auc(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     r = running_totals(s, [], ["score"], {"cum": F.col("pos") + F.col("neg")})
     avg_rank = F.col("cum") - (F.col("pos") + F.col("neg")) + (F.col("pos") + F.col("neg") + 1) / 2.0
     agg = r.agg(F.sum(F.col("pos") * avg_rank).alias("s"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return agg.select(((F.col("s") - F.col("P") * (F.col("P") + 1) / 2.0) / (F.col("P") * F.col("N"))).alias("roc_auc"))
+    P, N = F.col("P").cast("double"), F.col("N").cast("double")  # their products exceed a long
+    return agg.select(((F.col("s") - P * (P + 1) / 2.0) / F.nullif(P * N, F.lit(0.0))).alias("roc_auc"))
 
 
 def classification_metrics(df: DataFrame, y: str = "y", p: str = "p", yhat: str = "yhat") -> DataFrame:

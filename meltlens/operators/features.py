@@ -82,7 +82,8 @@ def level1(df: DataFrame, mg_median: Column | None) -> dict[str, Column]:
         mg = c("mg_recovery_")
         out["feat_mg_recovery_risk"] = flag(mg < K["mg_rec_risk"])
         out["feat_mg_recovery_severe"] = flag(mg < K["mg_rec_severe"])
-        out["feat_mg_recovery_dev"] = F.abs(mg - mg_median)
+        if mg_median is not None:
+            out["feat_mg_recovery_dev"] = F.abs(mg - mg_median)
     # F7 / F8 temperatures
     if {"tapping_temp", "pouring_temp"} <= cols:
         out["feat_temp_loss"] = c("tapping_temp") - c("pouring_temp")
@@ -176,16 +177,18 @@ def mg_median_row(df: DataFrame) -> DataFrame:
     return median_row(df, ["mg_recovery_"], prefix="med_")
 
 
-def engineer_features(df: DataFrame, mg_median: float | None = None) -> DataFrame:
+def engineer_features(df: DataFrame, mg_median: float | None = None, mg_deviation: bool = True) -> DataFrame:
     """F16: apply every feature in reference order and fill NULL features with 0.
 
     ``mg_median`` freezes the F6 median (training statistic); otherwise it is
-    computed from ``df`` itself, as the reference does.
+    computed from ``df`` itself, as the reference does.  That takes a job over
+    the table, so callers that do not use ``feat_mg_recovery_dev`` leave it out
+    with ``mg_deviation=False``.
     """
     cols = set(df.columns)
     base = df
     med_col: Column | None = None
-    if "mg_recovery_" in cols:
+    if "mg_recovery_" in cols and (mg_deviation or mg_median is not None):
         if mg_median is None:
             # one exact, distributed median; the single value is folded in as a literal
             mg_median = mg_median_row(df).first()["med_mg_recovery_"]

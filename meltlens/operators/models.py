@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from ..plans.lookup import attach
 from . import evaluation as EV
 
 
@@ -32,11 +33,11 @@ def scaler() -> StandardScaler:
 
 
 def with_class_weights(df: DataFrame, label: str = "defect", name: str = "weight") -> DataFrame:
-    """M4: balanced weights n / (2 * n_class) via a per-class aggregate (2 rows)."""
+    """M4: balanced weights n / (2 * n_class) via a per-class aggregate (broadcast behind a size check)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
     total = df.agg(F.count(F.lit(1)).alias("__n"))
     w = counts.crossJoin(total).select(label, (F.col("__n") / (2.0 * F.col("__nc"))).alias(name))
-    return df.join(F.broadcast(w), label)
+    return attach(df, w, label, how="inner")
 
 
 def candidates(n_train: int, seed: int = config.SPLIT_SEED) -> dict[str, object]:

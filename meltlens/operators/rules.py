@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.scalar import compact_array, label_of
+from ..plans.lookup import own_stage
 from ..functions.text import fmt
 
 REC_BY_SEVERITY = ["PROCEED", "MONITOR", "HOLD", "STOP"]  # index = severity rank
@@ -94,7 +95,7 @@ class RuleOut:
 def _num_or_null(df: DataFrame, name: str) -> Column:
     if name not in df.columns:
         return F.lit(None).cast("double")
-    return F.col(name).cast("double")
+    return F.col(name).try_cast("double")
 
 
 def build_rules(df: DataFrame, prob: Column, anomaly: Column, th: dict | None = None) -> RuleOut:
@@ -219,17 +220,20 @@ def interpret(df: DataFrame, prob_col: str | None = "defect_prob", anomaly_col:
 
     prob = clamp01_scalar(F.col(prob_col)) if prob_col and prob_col in df.columns else F.lit(0.0)
     anom = clamp01_scalar(F.col(anomaly_col)) if anomaly_col and anomaly_col in df.columns else F.lit(0.0)
-    o = build_rules(df, prob, anom, th)
-    staged = df.withColumns({"__risk": escalate(o.risk), "__rec": escalate(o.rec)})
-    out = {
+    # signals once per row; the ranks and the texts are each compiled for themselves
+    signals = df.withColumns({"__p": prob, "__a": anom})
+    if texts:
+        signals = own_stage(signals)
+    o = build_rules(signals, F.col("__p"), F.col("__a"), th)
+    out = signals.withColumns({"__risk": escalate(o.risk), "__rec": escalate(o.rec)})
+    if texts:
+        out = own_stage(own_stage(out).withColumns({
+            "warnings": compact_array(o.warnings), "probable_causes": compact_array(o.causes),
+            "recommendations": compact_array(o.actions)}))
+    return out.withColumns({
         "risk_level": label_of(F.col("__risk"), config.RISK_ORDER),
         "recommendation": label_of(F.col("__rec"), REC_BY_SEVERITY),
-    }
-    if texts:
-        out["warnings"] = compact_array(o.warnings)
-        out["probable_causes"] = compact_array(o.causes)
-        out["recommendations"] = compact_array(o.actions)
-    return staged.withColumns(out).drop("__risk", "__rec")
+    }).drop("__risk", "__rec", "__p", "__a")
 
 
 def rule_ranks(df: DataFrame, prob: Column, anomaly: Column, th: dict | None = None) -> tuple[Column, Column, RuleOut]:

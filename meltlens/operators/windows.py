@@ -14,12 +14,12 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import running_totals
+from ..plans.ordered import join_on_keys, running_totals
 
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], order: str, value: str, window: int = 50,
                  min_periods: int = 2, out: str | None = None, fill: bool = True) -> DataFrame:
-    """Trailing ``window``-row mean per key (NULLs skipped, at least
+    """Trailing ``window``-row mean per key (NULL and NaN skipped, at least
     ``min_periods`` values), then back-fill and forward-fill per key.
 
     ``order`` must be unique within a key.
@@ -27,6 +27,7 @@ def rolling_mean(df: DataFrame, keys: Sequence[str], order: str, value: str, win
     out = out or f"rolling_{value}"
     keys = list(keys)
     v = F.col(value).cast("double")
+    v = F.when(~F.isnan(v), v)  # a NaN would stay in every later prefix sum
     ranked = running_totals(df, keys, [order], {
         "__rn": F.lit(1).cast("long"),
         "__cs": F.coalesce(v, F.lit(0.0)),
@@ -34,7 +35,7 @@ def rolling_mean(df: DataFrame, keys: Sequence[str], order: str, value: str, win
     })
     prev = ranked.select(*keys, (F.col("__rn") + window).alias("__rn"),
                          F.col("__cs").alias("__cs_prev"), F.col("__cc").alias("__cc_prev"))
-    w = ranked.join(prev, on=[*keys, "__rn"], how="left")
+    w = join_on_keys(ranked, prev, keys, ["__rn"])
     cnt = F.col("__cc") - F.coalesce(F.col("__cc_prev"), F.lit(0))
     tot = F.col("__cs") - F.coalesce(F.col("__cs_prev"), F.lit(0.0))
     mean = w.select(*df.columns, "__rn", F.when(cnt >= min_periods, tot / cnt).alias("__m"))
@@ -58,7 +59,7 @@ def _fill_both(df: DataFrame, keys: list[str], pos: str, val: str, out: str) ->
                                                  F.col(val).alias("__next"))
     prv = a.where(F.col(val).isNotNull()).select(*keys, F.col("__before").alias("__before"),
                                                  F.col(val).alias("__prev"))
-    j = a.join(nxt, on=[*keys, "__after"], how="left").join(prv, on=[*keys, "__before"], how="left")
+    j = join_on_keys(join_on_keys(a, nxt, keys, ["__after"]), prv, keys, ["__before"])
     return j.select(*[c for c in cols if c != val], F.coalesce(F.col(val), F.col("__next"), F.col("__prev")).alias(out))
 
 

@@ -36,3 +36,13 @@ def attach(fact: DataFrame, lookup: DataFrame, on: Sequence[str] | str, how: str
 def attach_scalar_row(fact: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach a global one-row statistics frame (J5): a one-row broadcast."""
     return fact.crossJoin(F.broadcast(one_row))
+
+
+def own_stage(df: DataFrame) -> DataFrame:
+    """End the generated code of a long expression chain here.
+
+    Coalescing to more partitions than there are moves no row and changes no
+    partition, but it is not part of whole-stage code generation, so what stands
+    above and below is compiled as two methods of a size the compiler takes.
+    """
+    return df.coalesce(1_000_000)

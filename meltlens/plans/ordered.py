@@ -31,6 +31,16 @@ from ..session import cut_lineage
 _PID = "__rt_pid"
 
 
+def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], exact: Sequence[str] = (),
+                 how: str = "left") -> DataFrame:
+    """Equi-join in which a NULL key meets a NULL key; ``exact`` columns join as usual.
+    The right side's key columns are dropped."""
+    names = {k: f"__right_{k}" for k in (*keys, *exact)}
+    other = right.withColumnsRenamed(names)
+    cond = [left[k].eqNullSafe(other[names[k]]) for k in keys] + [left[k] == other[names[k]] for k in exact]
+    return left.join(other, cond, how).drop(*names.values())
+
+
 def _num_partitions(df: DataFrame, n: int | None) -> int:
     if n:
         return n
@@ -71,19 +81,13 @@ def running_totals(
     with_prev = totals.select(
         _PID, *keys, *[F.coalesce(F.sum(f"__tot_{k}").over(w_prev), F.lit(0)).alias(f"__off_{k}") for k in sums]
     )
+    offsets = with_prev
     if keys:
         # keep the first key of each range partition: <= 1 row per partition
-        first_key = local.groupBy(_PID).agg(F.min(F.struct(*keys)).alias("__first"))
-        offsets = with_prev.join(
-            first_key,
-            on=[with_prev[_PID] == first_key[_PID]]
-            + [with_prev[k] == first_key["__first"][k] for k in keys],
-            how="inner",
-        ).select(with_prev["*"])
-        out = local.join(F.broadcast(offsets), on=[_PID, *keys], how="left")
-    else:
-        offsets = with_prev
-        out = local.join(F.broadcast(offsets), on=[_PID], how="left")
+        first_key = local.groupBy(_PID).agg(F.min(F.struct(*keys)).alias("__first")).select(
+            _PID, *[F.col("__first")[k].alias(k) for k in keys])
+        offsets = join_on_keys(with_prev, first_key, keys, [_PID], "inner")
+    out = join_on_keys(local, F.broadcast(offsets), keys, [_PID])
     return out.select(
         *[c for c in df.columns],
         *[(F.col(f"__loc_{k}") + F.coalesce(F.col(f"__off_{k}"), F.lit(0))).alias(k) for k in sums],
@@ -125,7 +129,7 @@ def exact_quantiles(
     counts = long.groupBy("column", *grp, "value").agg(F.count(F.lit(1)).alias("cnt"))
     ranked = running_totals(counts, ["column", *grp], ["value"], {"cum": F.col("cnt")}, num_partitions)
     ranked = ranked.withColumn("start", F.col("cum") - F.col("cnt"))
-    n_per = counts.groupBy("column", *grp).agg(F.sum("cnt").alias("n"))
+    n_per = ranked.groupBy("column", *grp).agg(F.max("cum").alias("n"))
     target = n_per.crossJoin(
         F.broadcast(spark.createDataFrame([(float(p),) for p in probs], "prob double"))
     ).select(
@@ -138,7 +142,7 @@ def exact_quantiles(
     )
     # the target table has one row per (column, group, prob); broadcast it
     # only when there are no groups (size proven by the arguments)
-    joined = ranked.join(F.broadcast(target) if not grp else target, ["column", *grp])
+    joined = join_on_keys(ranked, F.broadcast(target) if not grp else target, grp, ["column"], "inner")
     picked = joined.where(
         ((F.col("lo") >= F.col("start")) & (F.col("lo") < F.col("cum")))
         | ((F.col("hi") >= F.col("start")) & (F.col("hi") < F.col("cum")))

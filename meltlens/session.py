@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -12,19 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "meltlens") -> SparkSession:
-    """Return the active session or build a local one tuned for tests/bench.
+    """Return the active session or build one.
 
-    On a cluster the session already exists (spark-submit) and is returned
-    untouched; only unset options are filled in here.
+    A master is set only when one is passed.  Otherwise Spark's own settings hold
+    (``spark-submit --master``, spark-defaults.conf), so a submitted script keeps
+    its cluster; Spark falls back to ``local[*]`` where nothing is set.
     """
     active = SparkSession.getActiveSession()
     if active is not None:
         ensure_checkpoint_dir(active)
         return active
     cpus = os.environ.get("BENCH_CPUS", "8")
+    builder = SparkSession.builder
+    if master:
+        builder = builder.master(master)
     builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app_name)
+        builder.appName(app_name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -35,6 +40,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.ui.showConsoleProgress", "false")
         # wide one-row aggregates (profiles, correlation chunks) stay in codegen
         .config("spark.sql.codegen.maxFields", "1000")
+        # checkpoint files of finished queries go with their last reference
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # the fused rule/report stages generate processNext methods above
         # HotSpot's 8000-bytecode JIT limit; let the JIT compile them anyway
         .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
@@ -50,8 +57,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset.
 
-    On a cluster the configured directory is shared storage.  Only in local
-    tests (where nothing is configured) do we create a scratch directory.
+    On a cluster the configured directory is shared storage and has to be set.
+    Only a local session may go without; its scratch directory is removed when
+    the process ends.
     """
     sc = spark.sparkContext
     configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -59,7 +67,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="meltlens-ckpt-", dir=os.environ.get("MELTLENS_SCRATCH", "/tmp"))
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
     return path

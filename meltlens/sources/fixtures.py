@@ -158,6 +158,24 @@ POINTS5_SQL = """select vec_id, label,
 from embeddings"""
 
 
+# ---------------------------------------------------------------------------
+# points3: every embedding folded to three block sums, for the anomaly operators
+# ---------------------------------------------------------------------------
+_BLOCKS = ((1, 21), (22, 42), (43, 64))
+
+
+def points3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = lambda a, b: F.aggregate(
+        F.slice("embedding", a, b - a + 1), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return read_table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", *[total(a, b).alias(f"b{i + 1}") for i, (a, b) in enumerate(_BLOCKS)])
+
+
+POINTS3_SQL = "select vec_id, label, " + ", ".join(
+    f"list_sum(list_transform(embedding[{a}:{b}], lambda x: cast(x as double))) as b{i + 1}"
+    for i, (a, b) in enumerate(_BLOCKS)) + " from embeddings"
+
+
 # ---------------------------------------------------------------------------
 # preds: (y, p, yhat) for evaluation operators; many tied scores by design
 # ---------------------------------------------------------------------------
@@ -180,6 +198,7 @@ FIXTURE_SQL = {
     "heats_raw": HEATS_RAW_SQL,
     "heat_events": HEAT_EVENTS_SQL,
     "points5": POINTS5_SQL,
+    "points3": POINTS3_SQL,
     "preds": PREDS_SQL,
 }
 FIXTURE_DEPS = {"preds": ["heats"]}
@@ -189,6 +208,7 @@ FIXTURES = {
     "heats_raw": heats_raw,
     "heat_events": heat_events,
     "points5": points5,
+    "points3": points3,
     "preds": preds,
 }
 

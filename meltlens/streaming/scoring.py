@@ -3,8 +3,9 @@
 The decision layer is row-local once the cluster history and the Mg median
 are frozen, so the same column expressions run on a streaming DataFrame:
 ``readStream`` (parquet files as they land) -> heats projection -> features
--> decision -> ``foreachBatch`` append into a table under the shared
-checkpoint directory (exactly-once per micro-batch via the query checkpoint).
+-> decision -> ``foreachBatch`` into a table under the shared checkpoint
+directory.  Each epoch overwrites its own folder, so a batch that is replayed
+after a crash does not duplicate rows.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def score_stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     (``availableNow`` trigger) and return the appended decision table."""
     stats, mg = frozen_artefacts(spark, sf_dir)
     schema = read_table(spark, sf_dir, "lineitem").schema
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    src = (spark.readStream.schema(schema)
            .option("pathGlobFilter", os.path.basename(table_path(sf_dir, "lineitem")))
            .parquet(sf_dir))
     scored = D.unified_decisions(FE.engineer_features(heats_stream_projection(src), mg_median=mg), stats=stats)
@@ -64,8 +65,10 @@ def score_stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     ckpt = IO.scratch_path(spark, "stream-checkpoint")
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.select(*HEAT_KEY, "risk_level", "recommendation", "final_risk_score").write.mode("append").parquet(out_path)
+        # each epoch has its own folder: a replayed batch replaces what it wrote before
+        scored_rows = batch.select(*HEAT_KEY, "risk_level", "recommendation", "final_risk_score")
+        scored_rows.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
     q = scored.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out_path)
+    return spark.read.parquet(out_path).drop("epoch")
