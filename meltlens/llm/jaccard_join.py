@@ -45,9 +45,9 @@ from .common import ascii_lower, drop_path, scratch_path, stored, table
 
 SHINGLE = 5
 #: Prefix hashes a block of classes gathers before it is sent.
-BLOCK_TOKENS = 1 << 20
-#: Characters of text for each hash range (about two million prefix hashes).
-RANGE_CHARS = 40_000_000
+BLOCK_TOKENS = 1 << 19
+#: Characters of text for each hash range (about one million prefix hashes).
+RANGE_CHARS = 20_000_000
 #: Class ids that may be broadcast; more are joined by a shuffle.
 MAX_BROADCAST_CLASSES = 1_000_000
 
