@@ -38,13 +38,6 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def row_batches(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
     """Cut Arrow batches into slices of at most ``rows`` rows (bounds worker memory)."""
     for frame in frames:

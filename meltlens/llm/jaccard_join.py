@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop_path, scratch_path, stored, table
+from .common import ascii_lower, stored, table
 
 SHINGLE = 5
 #: Prefix hashes a block of classes gathers before it is sent.
@@ -294,14 +294,11 @@ def join_classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     spark = df.sparkSession
     chosen = stored(first_filter(df, text_col), "chosen")
     release(spark)
-    path = scratch_path(spark, "measured")
-    measure_sets(df, chosen, id_col, text_col).write.option("compression", "zstd").parquet(path)
-    measured = spark.read.parquet(path)
-    documents = stored(measured.select("id", "c", "n"), "documents")
+    measured = stored(measure_sets(df, chosen, id_col, text_col), "measured")
+    documents = measured.select("id", "c", "n")
     held = measured.where("tokens is not null")
     once = held.groupBy("c").agg(F.min("part").alias("part"))
     sets = stored(held.join(once, ["c", "part"]).select("c", "n", "tokens"), "sets")
-    drop_path(spark, path)
     release(spark)
     rows = stored(rare_first_prefixes(sets), "prefixes")
     release(spark)
