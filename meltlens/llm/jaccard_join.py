@@ -166,40 +166,58 @@ def pack_block(heads: list[np.ndarray], classes: dict[int, int], ranges: int) ->
     return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in BLOCK_SCHEMA.split(", ")])
 
 
-def count_shared(blocks: pd.DataFrame) -> pd.DataFrame:
-    """Per class of one hash range: how many of its prefix tokens another class has too."""
-    refs, base = [], 0
-    for raw, held in zip(blocks["refs"], blocks["classes"]):
-        refs.append(np.frombuffer(raw, dtype=np.uint32).astype(np.int64) + base)
-        base += len(held) // 8
-    join = lambda name, kind: np.frombuffer(b"".join(blocks[name]), dtype=kind)
-    tokens, ids, sizes = join("tokens", np.uint32), join("classes", np.int64), join("sizes", np.int32)
-    refs = np.concatenate(refs)
-    unique, numbered, = np.unique(ids, return_inverse=True)
-    size = np.zeros(len(unique), dtype=np.int32)
-    size[numbered] = sizes
-    pairs = np.unique((tokens.astype(np.uint64) << np.uint64(32)) | numbered[refs].astype(np.uint64))
-    held = pairs >> np.uint64(32)
-    first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]]) if len(held) else np.empty(0, dtype=np.int64)
-    many = np.repeat(np.diff(np.r_[first, len(held)]) > 1, np.diff(np.r_[first, len(held)]))
-    counts = np.bincount((pairs[many] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(unique))
-    hit = np.flatnonzero(counts)
-    return pd.DataFrame({
-        "c": np.concatenate([unique[hit], join("more_classes", np.int64)]),
-        "n": np.concatenate([size[hit], join("more_sizes", np.int32)]),
-        "k": np.concatenate([counts[hit].astype(np.int64), join("more_counts", np.int32).astype(np.int64)])})
+def count_shared(parts: int):
+    """Per hash range: how many of its prefix tokens another class has too, for each class.
+
+    One row for each of ``parts`` groups of classes, so the rows do not grow with the classes."""
+
+    def count(blocks: pd.DataFrame) -> pd.DataFrame:
+        refs, base = [], 0
+        for raw, held in zip(blocks["refs"], blocks["classes"]):
+            refs.append(np.frombuffer(raw, dtype=np.uint32).astype(np.int64) + base)
+            base += len(held) // 8
+        join = lambda name, kind: np.frombuffer(b"".join(blocks[name]), dtype=kind)
+        tokens, ids, sizes = join("tokens", np.uint32), join("classes", np.int64), join("sizes", np.int32)
+        refs = np.concatenate(refs)
+        unique, first_at, numbered = np.unique(ids, return_index=True, return_inverse=True)
+        pairs = np.unique((tokens.astype(np.uint64) << np.uint64(32)) | numbered[refs].astype(np.uint64))
+        held = pairs >> np.uint64(32)
+        first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]]) if len(held) else np.empty(0, dtype=np.int64)
+        many = np.repeat(np.diff(np.r_[first, len(held)]) > 1, np.diff(np.r_[first, len(held)]))
+        counts = np.bincount((pairs[many] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(unique))
+        hit = np.flatnonzero(counts)
+        c = np.concatenate([unique[hit], join("more_classes", np.int64)])
+        n = np.concatenate([sizes[first_at][hit], join("more_sizes", np.int32)])
+        k = np.concatenate([counts[hit].astype(np.int32), join("more_counts", np.int32)])
+        part = (mixed(c.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [(p, *(x[order[lo:hi]].tobytes() for x in (c, n, k)))
+                for p, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])) if hi > lo]
+        return pd.DataFrame(rows, columns=["part", "classes", "sizes", "counts"])
+
+    return count
+
+
+def pass_first_filter(rows: pd.DataFrame) -> pd.DataFrame:
+    """Classes of one group that share enough prefix tokens, over all hash ranges."""
+    join = lambda name, kind: np.frombuffer(b"".join(rows[name]), dtype=kind)
+    c, first, numbered = np.unique(join("classes", np.int64), return_index=True, return_inverse=True)
+    n = join("sizes", np.int32)[first].astype(np.int64)
+    shared = np.bincount(numbered, join("counts", np.int32), minlength=len(c))
+    passed = shared >= ell(least_overlap(n))
+    return pd.DataFrame({"c": c[passed], "n": n[passed]})
 
 
 def first_filter(df: DataFrame, text_col: str) -> DataFrame:
     """Classes (c, n) that pass the hash-order filter."""
     chars = df.agg(F.sum(F.length(F.col(text_col)))).head()[0] or 0
     ranges = 1 + chars // RANGE_CHARS
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = hashed_words(df, text_col).where("c is not null")
     blocks = words.mapInArrow(send_prefixes(ranges), BLOCK_SCHEMA)
-    counts = blocks.groupBy("range").applyInPandas(count_shared, "c long, n int, k long")
-    m = F.floor((3 * F.col("n") + 3) / 4)
-    return (counts.groupBy("c", "n").agg(F.sum("k").alias("k"))
-            .where(F.col("k") >= F.floor(3 * m / 20) + 1).select("c", "n"))
+    counts = blocks.groupBy("range").applyInPandas(count_shared(parts), "part int, classes binary, sizes binary, counts binary")
+    return counts.groupBy("part").applyInPandas(pass_first_filter, "c long, n long")
 
 
 def measure_sets(df: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:

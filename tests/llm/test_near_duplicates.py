@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from conftest import brute_components, sentence, shingles
+from awkward_data import brute_components, sentence, shingles
 
 from meltlens.llm import jaccard_join as jj
 
@@ -66,10 +66,12 @@ def test_blocks_count_shared_prefix_tokens(monkeypatch):
         monkeypatch.setattr(jj, "BLOCK_TOKENS", size)
         blocks = pa.Table.from_batches(jj.send_prefixes(3)(iter([batch, batch]))).to_pandas()
         counted = {}
-        for _, part in blocks.groupby("range"):
-            for c, n, k in jj.count_shared(part).itertuples(index=False):
-                assert n == len(sets[c])
-                counted[c] = counted.get(c, 0) + k
+        for _, block in blocks.groupby("range"):
+            for row in jj.count_shared(4)(block).itertuples():
+                columns = (np.frombuffer(x, kind) for x, kind in ((row.classes, "i8"), (row.sizes, "i4"), (row.counts, "i4")))
+                for c, n, k in zip(*(x.tolist() for x in columns)):
+                    assert n == len(sets[c])
+                    counted[c] = counted.get(c, 0) + k
         assert all(counted.get(c, 0) >= k for c, k in want.items())
         if size > 1000:
             assert {c for c, k in counted.items() if k} == {c for c, k in want.items() if k}

@@ -3,7 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
-from conftest import brute_components, brute_hits, brute_mask, brute_quality, shingles
+from awkward_data import brute_components, brute_hits, brute_mask, brute_quality, shingles
 from test_tokens import ids_of
 
 import corpus_pipeline as cp

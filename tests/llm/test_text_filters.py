@@ -3,7 +3,7 @@
 import hashlib
 
 import pytest
-from conftest import brute_hits, brute_mask, brute_quality, brute_spans  # noqa: E402
+from awkward_data import brute_hits, brute_mask, brute_quality, brute_spans
 
 from meltlens.llm import decontamination as dc
 from meltlens.llm import quality_rules as qr
