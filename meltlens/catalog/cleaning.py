@@ -179,7 +179,8 @@ def c12_mode_fill(spark, sf_dir):
     return C.fill_mode(heats_raw(spark, sf_dir).select(*HEAT_KEY, "furnace"), ["furnace"])
 
 
-@register("c13_non_finite_to_null")
+@register("c13_non_finite_to_null", with_fixtures(
+    f"select {KEY}, case when tapped_wt_ <> 0e0 then heel / tapped_wt_ end as heel_ratio from heats", "heats"))
 def c13_non_finite_to_null(spark, sf_dir):
     h = heats(spark, sf_dir)
     x = h.select(*HEAT_KEY, F.when(F.col("tapped_wt_") == 0, F.lit(float("inf")))

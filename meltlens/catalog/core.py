@@ -85,11 +85,31 @@ def f16_feature_table(spark, sf_dir):
     return FE.engineer_features(heats(spark, sf_dir)).select(*HEAT_KEY, *FE.FEATURE_ORDER)
 
 
-@register("f17_online_features")
+_ONLINE = ["feat_ce_calculated", "feat_ce_hypo_risk", "feat_ce_hyper_risk", "feat_c_si_ratio", "feat_mn_s_ratio", "feat_sulfur_risk",
+           "feat_mg_recovery_risk", "feat_temp_loss", "feat_temp_loss_risk", "feat_shrinkage_risk_index", "feat_gas_risk_index",
+           "feat_chemistry_instability"]
+
+
+@register("f17_online_features", with_fixtures(
+    f"""select {KEY}, mg as mg_recovery_, coalesce(ce, 0e0) as feat_ce_calculated,
+          case when ce < 4.2e0 then 1 else 0 end as feat_ce_hypo_risk, case when ce > 4.3e0 then 1 else 0 end as feat_ce_hyper_risk,
+          coalesce(c_ / nullif(si_, 0e0), 0e0) as feat_c_si_ratio, coalesce(mn_ / nullif(s_, 0e0), 0e0) as feat_mn_s_ratio,
+          case when s_ > 2.5e-2 then 2 when s_ > 1.5e-2 then 1 else 0 end as feat_sulfur_risk,
+          case when mg < 4e-1 then 1 else 0 end as feat_mg_recovery_risk,
+          coalesce(tapping_temp - pouring_temp, 0e0) as feat_temp_loss,
+          case when tapping_temp - pouring_temp > 8e1 then 1 else 0 end as feat_temp_loss_risk,
+          (case when ce < 4.2e0 then 1.5e0 else 0e0 end) + (case when si_ < 2e0 then 1e0 else 0e0 end) as feat_shrinkage_risk_index,
+          case when n__ > 8e-3 then 2e0 else 0e0 end as feat_gas_risk_index,
+          round(coalesce(greatest(0e0, 3.5e0 - c_) + greatest(0e0, c_ - 3.8e0) + greatest(0e0, 2e0 - si_) + greatest(0e0, si_ - 2.8e0)
+            + greatest(0e0, 1e-1 - mn_) + greatest(0e0, mn_ - 4e-1), 0e0), 9) as feat_chemistry_instability
+        from (select *, c_ + (si_ + p__) / 3e0 as ce,
+                case when (select avg(mg_recovery_ * 1e2) from heats) > 1e0 then mg_recovery_ * 1e2 / 1e2 else mg_recovery_ * 1e2 end as mg
+              from heats)""", "heats"))
 def f17_online_features(spark, sf_dir):
-    return FE.engineer_features_online(featured(spark, sf_dir)).select(
-        *HEAT_KEY, "feat_ce_calculated", "feat_temp_loss", "feat_mn_s_ratio", "feat_shrinkage_risk_index",
-        "feat_gas_risk_index", "feat_chemistry_instability", "feat_chemistry_ok")
+    """Online features of an upload whose Mg recovery comes in percent."""
+    h = heats(spark, sf_dir).withColumn("mg_recovery_", F.col("mg_recovery_") * 100.0)
+    out = FE.engineer_features_online(h).select(*HEAT_KEY, "mg_recovery_", *_ONLINE)
+    return out.withColumn("feat_chemistry_instability", F.round("feat_chemistry_instability", 9))
 
 
 # ---------------------------------------------------------------------------
@@ -277,3 +297,22 @@ def d9_refresh_guard(spark, sf_dir):
               else ['Final recommendation: ' || recommendation, 'Risk level: ' || risk_level] end as lines from final))"""))
 def d10_reason_lines(spark, sf_dir):
     return D.reason_lines(decided(spark, sf_dir), HEAT_KEY)
+
+
+#: A raw upload's headers for the heats fixture.
+_RAW_HEADERS = {
+    "Carbon": "c_", "SI %": "si_", "Sulphur ": "s_", "Manganese": "mn_", "Phosphorus": "p__", "N": "n__", "AL": "al__",
+    "Magnesium": "mg_", "CR": "cr_", "Mg Recovery %": "mg_recovery_", "Tapping Temperature": "tapping_temp", "Pour Temp": "pouring_temp",
+    "CRCA": "crca", "FSMAddition MT": "fsmaddition_mt", "Heel": "heel", "Tapped Wt %": "tapped_wt_", "DEFECTED": "defect",
+    "Defect Prob": "defect_prob", "Anomaly Score": "anomaly_score", "Cluster": "cluster"}
+
+
+@register("d11_upload_chain", decided_sql(
+    f"select {KEY}, risk_level, recommendation, final_risk_score, risk_confidence, risk_factors from final"))
+def d11_upload_chain(spark, sf_dir):
+    """A raw file (text values, raw headers, an empty column) through the whole upload chain."""
+    from ..operators.upload import prepare_upload
+    raw = heats(spark, sf_dir).select(*HEAT_KEY, *[F.col(c).cast("string").alias(h) for h, c in _RAW_HEADERS.items()],
+                                      F.lit(None).cast("string").alias("Remarks"))
+    out = prepare_upload(raw, keys=HEAT_KEY)
+    return out.select(*HEAT_KEY, "risk_level", "recommendation", "final_risk_score", "risk_confidence", "risk_factors")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as EV
 from ..plans.registry import register
 from ..sources.fixtures import HEAT_KEY, preds, with_fixtures
+from .sqlparts import KEY
 
 _H = ("((42 + (l_orderkey % 1000003) * 2654435761 + (l_linenumber % 1000003) * 40503 + (l_partkey % 1000003) * 97 + l_suppkey % 1000003) % 1000003)")
 _RANKED = (f"select *, row_number() over (partition by y order by {_H}, l_orderkey, l_linenumber, l_partkey, "
@@ -18,19 +19,16 @@ def _r(c, n=9):
 
 
 @register("m1_stratified_split", with_fixtures(
-    "select y, case when rk <= round(n * 2e-1) then 'test' else 'train' end as split, count(*) as n_rows "
-    "from ranked group by 1, 2", "preds", ctes={"ranked": _RANKED}))
+    f"select {KEY}, y, case when rk <= round(n * 2e-1) then 'test' else 'train' end as split from ranked", "preds",
+    ctes={"ranked": _RANKED}))
 def m1_stratified_split(spark, sf_dir):
-    s = EV.stratified_split(preds(spark, sf_dir), "y", HEAT_KEY)
-    return s.groupBy("y", "split").agg(F.count(F.lit(1)).alias("n_rows"))
+    return EV.stratified_split(preds(spark, sf_dir), "y", HEAT_KEY).select(*HEAT_KEY, "y", "split")
 
 
 @register("m2_stratified_folds", with_fixtures(
-    "select y, cast((rk - 1) % 5 as int) as fold, count(*) as n_rows from ranked group by 1, 2", "preds",
-    ctes={"ranked": _RANKED}))
+    f"select {KEY}, y, cast((rk - 1) % 5 as int) as fold from ranked", "preds", ctes={"ranked": _RANKED}))
 def m2_stratified_folds(spark, sf_dir):
-    s = EV.stratified_folds(preds(spark, sf_dir), "y", HEAT_KEY)
-    return s.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n_rows"))
+    return EV.stratified_folds(preds(spark, sf_dir), "y", HEAT_KEY).select(*HEAT_KEY, "y", "fold")
 
 
 _CONF = ("select count(*) filter (where y = 1 and yhat = 1) as tp, count(*) filter (where y = 0 and yhat = 1) as fp, "

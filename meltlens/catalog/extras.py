@@ -191,15 +191,17 @@ def a39_fleet_overview(spark, sf_dir):
 
 
 @register("w3_cumulative_share", with_fixtures(
-    """select cluster, round(sum(n) over (order by cluster) * 1e0 / sum(n) over (), 9) as cumulative_share,
-         sum(n) over (order by cluster) * 1e0 / sum(n) over () >= 9e-1 as reaches_90 from
-         (select cluster, count(*) as n from heats group by cluster)""", "heats"))
+    """select cluster, round(share, 9) as cumulative_share, cluster = min(cluster) filter (share >= 9e-1) over () as first_at_90 from
+         (select cluster, sum(n) over (order by cluster) * 1e0 / sum(n) over () as share from
+           (select cluster, count(*) as n from heats group by cluster))""", "heats"))
 def w3_cumulative_share(spark, sf_dir):
+    """Cumulative share and the first entry that reaches 90 %."""
     g = heats(spark, sf_dir).groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("n"))
     tot = g.agg(F.sum("n").alias("t"))
-    c = W.cumulative_share(g, "cluster", "n", "cum").crossJoin(tot)
-    share = F.col("cum") / F.col("t")
-    return c.select("cluster", _r(share).alias("cumulative_share"), (share >= 0.9).alias("reaches_90"))
+    c = W.cumulative_share(g, "cluster", "n", "cum").crossJoin(tot).withColumn("share", F.col("cum") / F.col("t"))
+    first = c.where(F.col("share") >= 0.9).agg(F.min("cluster").alias("first"))
+    return c.crossJoin(first).select("cluster", _r(F.col("share")).alias("cumulative_share"),
+                                     (F.col("cluster") == F.col("first")).alias("first_at_90"))
 
 
 @register("w4_cumulative_tp_fp", with_fixtures(
@@ -346,9 +348,6 @@ def h14_h15_template_contract(spark, sf_dir):
     counts = h.agg(*[F.count(c).alias(c) for c in present])
     long = AN.unpivot(counts, present, "column_name", "n").select("column_name", F.col("n").cast("long").alias("n"))
     r = rep.select(F.col("column").alias("column_name"), "status")
-    # template names are matched semantically; report the frame's own names
-    r = r.withColumn("column_name", F.when(F.col("column_name") == "Tapping Temp", "tapping_temp")
-                     .when(F.col("column_name") == "MG Recovery", "mg_recovery").otherwise(F.col("column_name")))
     return r.join(long, "column_name", "left").select("column_name", "status",
                                                        F.coalesce("n", F.lit(0).cast("long")).alias("n_values"))
 

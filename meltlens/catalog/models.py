@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as EV
 from ..operators import models as MD
 from ..plans.registry import register
-from ..sources.fixtures import HEAT_KEY
+from ..sources.fixtures import HEAT_KEY, with_fixtures
 from .core import featured
 
 MODEL_FEATURES = ["c_", "si_", "s_", "mn_", "p__", "n__", "al__", "mg_", "cr_", "mg_recovery_", "tapping_temp",
@@ -38,7 +38,8 @@ register("m7_gradient_boosting")(_model_metrics("gradient_boosting"))
 register("m8_randomized_forest")(_model_metrics("randomized_forest"))
 
 
-@register("m4_class_weights")
+@register("m4_class_weights", with_fixtures(
+    "select defect, (select count(*) from heats) / (2e0 * count(*)) as weight, count(*) as n from heats group by defect", "heats"))
 def m4_class_weights(spark, sf_dir):
     return MD.with_class_weights(featured(spark, sf_dir)).groupBy("defect").agg(
         F.first("weight").alias("weight"), F.count(F.lit(1)).alias("n"))

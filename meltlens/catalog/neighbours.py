@@ -1,4 +1,4 @@
-"""Neighbour / anomaly model entries (M11, M13-M15) over ``points5``, ``points3`` and ``heats``."""
+"""Neighbour / anomaly model entries (M11-M15) over ``points5``, ``points3`` and ``heats``."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import neighbours as NB
 from ..plans.registry import register
 from ..session import cut_lineage
+from ..operators.dbscan import dbscan
 from ..operators.lof import lof_scores
 from ..sources.fixtures import heats, points3, points5, with_fixtures
 
@@ -66,6 +67,26 @@ def m14_lof_scores(spark, sf_dir):
     return s.select("vec_id", F.round("lof_score", 6).alias("lof_score"))
 
 
+_EPS, _MIN_POINTS = 0.35, 10
+
+
+@register("m12_dbscan", with_fixtures(
+    """select p.vec_id, coalesce(min(l.label), -1) as cluster, bool_or(c.vec_id is not null) as is_core
+       from points3 p left join core c on c.vec_id = p.vec_id
+       left join near n on n.vec_id = p.vec_id left join label l on l.vec_id = n.other
+       group by p.vec_id""",
+    "points3", ctes={
+        "near": f"select p.vec_id, q.vec_id as other from points3 p, points3 q where sqrt({_D3}) <= {_EPS}e0",
+        "core": f"select vec_id from near group by vec_id having count(*) >= {_MIN_POINTS}",
+        "label": """select vec_id, min(reached) as label from (
+            with recursive r(vec_id, reached) as (
+              select vec_id, vec_id from core
+              union select r.vec_id, n.other from r join near n on n.vec_id = r.reached join core c on c.vec_id = n.other)
+            select * from r) group by vec_id"""}))
+def m12_dbscan(spark, sf_dir):
+    return dbscan(points3(spark, sf_dir), _B, "vec_id", _EPS, _MIN_POINTS).select("vec_id", "cluster", "is_core")
+
+
 def anomaly_frame(spark, sf_dir):
     """Both detectors' normalised scores and flags, the ensemble score, OR flag and severity."""
     p = points3(spark, sf_dir)

@@ -11,7 +11,7 @@ from ..plans.registry import register
 from ..sources import io as IO
 from ..sources.fixtures import HEAT_KEY, heats, heats_raw, with_fixtures
 from ..sources.tables import table_path
-from .sqlparts import KEY
+from .sqlparts import KEY, decided_sql
 
 
 @register("s1_all_string_scan", with_fixtures(
@@ -113,7 +113,8 @@ def s9_report_frames(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-@register("s7_decision_guarded_export")
+@register("s7_decision_guarded_export", decided_sql(
+    f"select {KEY}, risk_level, recommendation, final_risk_score from final"))
 def s7_decision_guarded_export(spark, sf_dir):
     from .core import decided
     path = IO.scratch_path(spark, "guarded")
@@ -122,7 +123,8 @@ def s7_decision_guarded_export(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@register("streaming_decision_scoring")
+@register("streaming_decision_scoring", decided_sql(
+    f"select {KEY}, risk_level, recommendation, final_risk_score from final"))
 def streaming_decision_scoring(spark, sf_dir):
     from ..streaming.scoring import score_stream_once
     return score_stream_once(spark, sf_dir)

@@ -138,3 +138,62 @@ ROLLING_MIN_PERIODS = 2
 TOP_DANGEROUS = 30
 TOP_ANOMALIES = 25
 EXPORT_SAMPLE_ROWS = 500
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — upload vocabulary
+# ---------------------------------------------------------------------------
+#: Cleaned upload header -> training name.
+UPLOAD_COLUMN_ALIASES = {
+    "carbon": "c", "carbon_pct": "c", "c_pct": "c",
+    "silicon": "si", "silicon_pct": "si", "si_pct": "si",
+    "sulfur": "s", "sulphur": "s", "s_pct": "s",
+    "manganese": "mn_1", "mn_pct": "mn_1",
+    "phosphorus": "p", "phos": "p", "p_pct": "p",
+    "carbon_equivalent": "ce",
+    "mg_recovery": "mg_recovery", "mg_recovery_pct": "mg_recovery", "magnesium_recovery": "mg_recovery",
+    "tap_temp": "tapping_temp", "tapping_temperature": "tapping_temp",
+    "pour_temp": "pouring_temp", "pouring_temperature": "pouring_temp",
+    "pour_time": "pouring_time_sec", "pouring_time": "pouring_time_sec",
+    "bath_sulphur": "bath_s", "bath_sulfur": "bath_s",
+    "iron": "fe", "chromium": "cr", "nickel": "ni", "copper": "cu", "cobalt": "co",
+    "defective": "defect", "defected": "defect", "is_defect": "defect", "quality_defect": "defect",
+    "furnace_on": "furnace_on_time", "furnace_off": "furnace_off_time",
+}
+#: Canonical name -> names it is copied from (first present wins).
+COLUMN_ALIASES = {
+    "c_": ["c_", "c", "carbon", "carbon_pct", "c_pct"],
+    "si_": ["si_", "si", "silicon", "si_pct"],
+    "s_": ["s_", "s", "sulfur", "sulphur", "s_pct"],
+    "mn_": ["mn_", "mn", "mn_1", "manganese", "mn_pct"],
+    "p__": ["p__", "p_", "p", "phosphorus", "phos", "p_pct"],
+    "ce": ["ce", "carbon_equivalent"],
+    "mg_recovery_": ["mg_recovery_", "mg_recovery", "mg_recovery_pct", "mg_recovery_percent"],
+    "mg_": ["mg_", "mg", "magnesium"],
+    "tapping_temp": ["tapping_temp", "tap_temp", "tapping_temperature"],
+    "pouring_temp": ["pouring_temp", "pour_temp", "pouring_temperature"],
+    "defect": ["defect", "defective", "is_defect", "quality_defect"],
+}
+#: Feature input -> columns it is bridged from with numeric coercion.
+BRIDGE_COLUMNS = {
+    "c_": ["c", "carbon"],
+    "si_": ["si", "silicon"],
+    "s_": ["s", "sulfur", "sulphur"],
+    "mn_": ["mn_1", "mn", "manganese"],
+    "p__": ["p", "phosphorus", "phos"],
+    "mg_recovery_": ["mg_recovery", "mg_recovery_pct"],
+    "ce_": ["ce", "carbon_equivalent"],
+    "n__": ["n"],
+    "al__": ["al", "al_1"],
+    "cr_": ["cr"],
+    "mo_": ["mo"],
+}
+#: Template field -> headers that mean it.
+TEMPLATE_SEMANTIC_GROUPS = {
+    "pouring_wt": ["pouring_wt", "pouring_weight"],
+    "furnace_on_time": ["furnace_on_time", "furnace_on", "furnace_on_time_min"],
+    "furnace_off_time": ["furnace_off_time", "furnace_off", "furnace_off_time_min"],
+    "tapping_temp": ["tapping_temp", "tapping_temperature", "tap_temp"],
+    "pouring_temp": ["pouring_temp", "pouring_temperature", "pour_temp"],
+    "mg_recovery": ["mg_recovery", "mg_recovery_", "mg_recovery_pct", "magnesium_recovery"],
+    "defect": ["defect", "defected", "defective", "is_defect", "quality_defect"],
+}

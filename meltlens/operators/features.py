@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.scalar import flag, flag_d, safe_div, sentinel_to_numeric
+from ..functions.scalar import finite_or_null, flag, flag_d, safe_div, sentinel_to_numeric
 from ..plans.ordered import median_row
 
 K = config.FEATURE_CONST
@@ -210,37 +210,55 @@ def feature_columns(df: DataFrame) -> list[str]:
 # ---------------------------------------------------------------------------
 # reduced "online" re-engineering (opt-in compatibility mode, T7)
 # ---------------------------------------------------------------------------
+def repaired_share(df: DataFrame, column: str) -> Column:
+    """A share given as text or percent: '%' and ',' dropped, all divided by 100 when the mean is above 1."""
+    value = sentinel_to_numeric(F.col(column), strip_percent=True) if dict(df.dtypes)[column] == "string" \
+        else finite_or_null(F.col(column).cast("double"))
+    mean = df.agg(F.avg(value).alias("m")).first()["m"]
+    return value / 100.0 if (mean or 0.0) > 1.0 else value
+
+
 def engineer_features_online(df: DataFrame) -> DataFrame:
-    """Overwrite a subset of features with the reduced online formulas.
+    """overwrite a subset of features with the reduced online formulas.
 
-    Shrinkage loses its pouring term, gas loses Mg and CRCA terms, chemistry
-    instability loses Mg; ``feat_chemistry_ok`` is not recomputed.
+    Mg recovery is repaired to a share first.  Shrinkage loses its pouring term,
+    gas its Mg and CRCA terms, chemistry instability its Mg range; NULL features
+    become 0.
     """
     cols = set(df.columns)
+    if "mg_recovery_" in cols:
+        df = df.withColumn("mg_recovery_", repaired_share(df, "mg_recovery_"))
     c = F.col
     out: dict[str, Column] = {}
+    ce: Column | None = c("feat_ce_calculated") if "feat_ce_calculated" in cols else None
     if {"c_", "si_", "p__"} <= cols:
-        out["feat_ce_calculated"] = c("c_") + (c("si_") + c("p__")) / 3.0
-    if {"tapping_temp", "pouring_temp"} <= cols:
-        out["feat_temp_loss"] = c("tapping_temp") - c("pouring_temp")
+        ce = out["feat_ce_calculated"] = c("c_") + (c("si_") + c("p__")) / 3.0
+    elif "ce" in cols:
+        ce = out["feat_ce_calculated"] = c("ce").try_cast("double")
+    if ce is not None:
+        out["feat_ce_hypo_risk"] = flag(ce < K["ce_hypo"])
+        out["feat_ce_hyper_risk"] = flag(ce > K["ce_hyper"])
+    if {"c_", "si_"} <= cols:
+        out["feat_c_si_ratio"] = safe_div(c("c_"), c("si_"))
     if {"mn_", "s_"} <= cols:
         out["feat_mn_s_ratio"] = safe_div(c("mn_"), c("s_"))
-    ce_expr = out.get("feat_ce_calculated", c("feat_ce_calculated") if "feat_ce_calculated" in cols else None)
-    sh = F.lit(0.0)
-    if ce_expr is not None:
-        sh = sh + flag_d(ce_expr < K["ce_hypo"]) * K["shrink_ce_w"]
+    if "s_" in cols:
+        out["feat_sulfur_risk"] = F.when(c("s_") > K["sulfur_high"], 2).when(c("s_") > K["sulfur_mid"], 1).otherwise(0)
+    out["feat_mg_recovery_risk"] = flag(c("mg_recovery_") < K["mg_rec_risk"]) if "mg_recovery_" in cols else F.lit(0)
+    if {"tapping_temp", "pouring_temp"} <= cols:
+        out["feat_temp_loss"] = c("tapping_temp") - c("pouring_temp")
+        out["feat_temp_loss_risk"] = flag(out["feat_temp_loss"] > K["temp_loss_risk"])
+    shrinkage = F.lit(0.0)
+    if ce is not None:
+        shrinkage = shrinkage + flag_d(ce < K["ce_hypo"]) * K["shrink_ce_w"]
     if "si_" in cols:
-        sh = sh + flag_d(c("si_") < K["shrink_si"])
-    out["feat_shrinkage_risk_index"] = sh
-    gas = F.lit(0.0)
-    if "n__" in cols:
-        gas = gas + flag_d(c("n__") > K["gas_n"]) * 2.0
-    out["feat_gas_risk_index"] = gas
-    score = F.lit(0.0)
+        shrinkage = shrinkage + flag_d(c("si_") < K["shrink_si"])
+    out["feat_shrinkage_risk_index"] = shrinkage
+    out["feat_gas_risk_index"] = flag_d(c("n__") > K["gas_n"]) * 2.0 if "n__" in cols else F.lit(0.0)
+    outside = F.lit(0.0)
     for name, lo, hi in config.CHEMISTRY_RANGES:
         if name in cols and name != "mg_":
             x = c(name)
-            score = score + F.when(x < lo, lo - x).when(x > hi, x - hi).when(x.isNotNull(), F.lit(0.0))
-    out["feat_chemistry_instability"] = score
-    res = df.withColumns(out)
-    return res.fillna(0.0, subset=[k for k in out])
+            outside = outside + F.when(x < lo, lo - x).when(x > hi, x - hi).when(x.isNotNull(), F.lit(0.0))
+    out["feat_chemistry_instability"] = outside
+    return df.withColumns(out).fillna(0, subset=[f for f in {*cols, *out} if f.startswith("feat_")])

@@ -25,7 +25,11 @@ def _mod_d(c: str, m: int) -> Column:
 # heats: clean batches with signals
 # ---------------------------------------------------------------------------
 def heats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem")
+    return heats_of(read_table(spark, sf_dir, "lineitem"))
+
+
+def heats_of(li: DataFrame) -> DataFrame:
+    """The fixture's projection over any lineitem source, batch or stream."""
     pk, sk, q = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")
     return li.select(
         *HEAT_KEY,

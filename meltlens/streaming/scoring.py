@@ -13,45 +13,23 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import decisions as D
 from ..operators import features as FE
+from ..plans.lookup import materialize_if_small
 from ..sources import io as IO
-from ..sources.fixtures import HEAT_KEY, heats
+from ..sources.fixtures import HEAT_KEY, heats, heats_of
 from ..sources.tables import read_table, table_path
 
 
 def frozen_artefacts(spark: SparkSession, sf_dir: str):
     """Training statistics computed once in batch: cluster history + Mg median."""
     base = heats(spark, sf_dir)
-    stats = D.cluster_stats(base)
-    rows = stats.collect()  # one row per cluster
-    frozen = spark.createDataFrame(rows, stats.schema)
+    frozen, _ = materialize_if_small(D.cluster_stats(base))
     mg = FE.mg_median_row(base).first()["med_mg_recovery_"]
     return frozen, mg
 
 
-def heats_stream_projection(stream: DataFrame) -> DataFrame:
-    """Same projection as the batch fixture, applied to a streaming lineitem source."""
-    pk, sk, q = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")
-    return stream.select(
-        *HEAT_KEY,
-        F.when(pk % 10 < F.col("l_linenumber"), 1).otherwise(0).alias("defect"),
-        (F.col("l_linenumber").cast("int") - 1).alias("cluster"),
-        (F.lit(3.3) + F.lit(0.7) * (q - 1.0) / 49.0).alias("c_"),
-        (F.lit(1.5) + F.lit(15.0) * F.col("l_discount")).alias("si_"),
-        (F.lit(5e-3) + F.lit(0.3) * F.col("l_tax")).alias("s_"),
-        ((pk % 50).cast("double") / 1e2 + 2e-2).alias("mn_"),
-        ((sk % 10).cast("double") / 5e2 + 2e-2).alias("p__"),
-        (((pk + sk) % 12).cast("double") / 2e1 + 2e-1).alias("mg_recovery_"),
-        (F.lit(1.38e3) + F.lit(2.0) * q).alias("tapping_temp"),
-        (F.lit(1.37e3) + F.lit(2.0) * q - (pk % 95).cast("double")).alias("pouring_temp"),
-        (((pk * 37 + sk * 11) % 101).cast("double") / 1e2).alias("defect_prob"),
-        (((pk * 53 + F.col("l_linenumber") * 17) % 101).cast("double") / 1e2).alias("anomaly_score"),
-    )
-
-
 def score_stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run the streaming scorer over the lineitem files available now
     (``availableNow`` trigger) and return the appended decision table."""
@@ -60,7 +38,7 @@ def score_stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = (spark.readStream.schema(schema)
            .option("pathGlobFilter", os.path.basename(table_path(sf_dir, "lineitem")))
            .parquet(sf_dir))
-    scored = D.unified_decisions(FE.engineer_features(heats_stream_projection(src), mg_median=mg), stats=stats)
+    scored = D.unified_decisions(FE.engineer_features(heats_of(src), mg_median=mg), stats=stats)
     out_path = IO.scratch_path(spark, "stream-decisions")
     ckpt = IO.scratch_path(spark, "stream-checkpoint")
 

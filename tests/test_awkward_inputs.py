@@ -137,6 +137,58 @@ def test_lof_of_few_rows(spark):
     assert all(r.lof_score == pytest.approx(1) for r in lof_scores(three, ["a"]).collect())
 
 
+def test_upload_chain(spark):
+    """Raw headers, percent signs, duplicate and empty columns, repeated and blank rows; missing signals are scored."""
+    from meltlens.operators.upload import Artefacts, SchemaMismatch, Scorer, prepare_upload
+
+    rows = [("b1", "3.6", "1435", "45%", None, "x", "1"), ("b1", "3.6", "1435", "45%", None, "x", "1"), ("b2", " - ", "1400", "n/a", None, "y", None),
+            ("b3", "3.4", "", "30%", None, "z", "0"), (None, None, None, None, None, None, None)]
+    raw = spark.createDataFrame(rows, "`Heat No` string, `Carbon` string, `Tap Temp` string, `MG Recovery %` string, `Empty` string, "
+                                      "`Remarks` string, `DEFECTED` string").withColumn("carbon ", F.lit(None).cast("string"))
+    out = {r["heat_no"]: r for r in prepare_upload(raw).collect()}
+    assert set(out) == {"b1", "b2", "b3"} and "empty" not in prepare_upload(raw).columns
+    assert out["b2"].c_ == 3.5 and out["b3"].tapping_temp == 1417.5 and out["b1"].mg_recovery_ == 45.0
+    assert [out[b].defect for b in ("b1", "b2", "b3")] == [1, 0, 0] and all(r.risk_level for r in out.values())
+    half = Scorer(["c_", "unknown"], {"unknown": 2.0}, lambda df: df.withColumn("defect_prob", F.col("c_") / (F.col("unknown") * 4)))
+    scored = {r["heat_no"]: r.defect_prob for r in prepare_upload(raw, Artefacts(probability=half)).collect()}
+    assert scored["b1"] == pytest.approx(0.45)
+    with pytest.raises(SchemaMismatch, match="unknown"):
+        prepare_upload(raw, Artefacts(probability=Scorer(["unknown"], {}, lambda df: df)))
+    given = raw.withColumn("Defect Prob", F.lit("80"))
+    assert {r.defect_prob for r in prepare_upload(given, Artefacts(probability=half)).collect()} == {0.8}
+
+
+def test_template_report_names_the_upload(spark):
+    got = H.template_report(spark, ["Tap Temp", "Mg Recovery %", "Notes"], ["tapping_temp", "mg_recovery", "si"]).collect()
+    assert {tuple(r) for r in got} == {("Tap Temp", "matched"), ("Mg Recovery %", "matched"), ("si", "missing"), ("Notes", "extra")}
+
+
+def brute_dbscan(x, eps, min_points):
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) <= eps
+    core = near.sum(axis=1) >= min_points
+    label = np.where(core, np.arange(len(x)), -1)
+    for _ in range(len(x)):
+        new = np.array([min(label[near[i] & core], default=-1) for i in range(len(x))])
+        if (new == label).all():
+            break
+        label = new
+    return label, core
+
+
+@pytest.mark.parametrize("leaf", [30, 2000])
+def test_dbscan_equals_all_pairs(spark, cloud, leaf):
+    from meltlens.operators.dbscan import dbscan
+
+    _, x = cloud
+    x = np.r_[x, np.repeat(x[:3], 20, axis=0)].round(2)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    got = dbscan(df, ["a", "b", "c"], "id", 0.55, 10, leaf_points=leaf).toPandas().sort_values("id")
+    label, core = brute_dbscan(x, 0.55, 10)
+    assert got["cluster"].tolist() == label.tolist() and got["is_core"].tolist() == core.tolist()
+    assert len(set(label)) > 2 and (label == -1).any()
+    assert dbscan(df.limit(0), ["a"], "id", 0.5, 3).count() == 0
+
+
 def test_cluster_needs_a_shared_checkpoint_folder(spark):
     from meltlens.session import ensure_checkpoint_dir
 
