@@ -84,14 +84,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 #: Applications whose workers have been given this package.
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch where the session keeps Spark's default, which is meant for narrow rows:
+#: ten thousand whole texts at a time are a large part of a worker's memory.
+ARROW_ROWS = 2000
+_ARROW_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever they run (once per application).
+    """Let Python workers import this package wherever they run (once per application), and
+    give them batches of whole texts that fit their memory.
 
     The archive is read by Spark's file server only, so the driver's own
     temporary folder will do.
     """
+    if spark.conf.get(_ARROW_KEY) == "10000":
+        spark.conf.set(_ARROW_KEY, str(ARROW_ROWS))
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
