@@ -145,39 +145,35 @@ from events"""
 
 
 # ---------------------------------------------------------------------------
-# points5: five-dimensional points for neighbour operators
+# points5, points3: every embedding folded to block sums, for neighbour operators
 # ---------------------------------------------------------------------------
-def points5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    em = read_table(spark, sf_dir, "embeddings")
-    return em.select(
-        "vec_id", "label",
-        *[F.col("embedding")[i].cast("double").alias(f"x{i + 1}") for i in range(5)],
-    )
+_BLOCKS5 = ((1, 13), (14, 26), (27, 39), (40, 52), (53, 64))
+_BLOCKS3 = ((1, 21), (22, 42), (43, 64))
 
 
-POINTS5_SQL = """select vec_id, label,
-  cast(embedding[1] as double) as x1, cast(embedding[2] as double) as x2,
-  cast(embedding[3] as double) as x3, cast(embedding[4] as double) as x4,
-  cast(embedding[5] as double) as x5
-from embeddings"""
+def _folded(spark: SparkSession, sf_dir: str, blocks, prefix: str) -> DataFrame:
+    total = lambda a, b: F.aggregate(
+        F.slice("embedding", a, b - a + 1), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return read_table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", *[total(a, b).alias(f"{prefix}{i + 1}") for i, (a, b) in enumerate(blocks)])
 
 
-# ---------------------------------------------------------------------------
-# points3: every embedding folded to three block sums, for the anomaly operators
-# ---------------------------------------------------------------------------
-_BLOCKS = ((1, 21), (22, 42), (43, 64))
+def _folded_sql(blocks, prefix: str) -> str:
+    return "select vec_id, label, " + ", ".join(
+        f"list_sum(list_transform(embedding[{a}:{b}], lambda x: cast(x as double))) as {prefix}{i + 1}"
+        for i, (a, b) in enumerate(blocks)) + " from embeddings"
+
+
+def points5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _folded(spark, sf_dir, _BLOCKS5, "x")
 
 
 def points3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = lambda a, b: F.aggregate(
-        F.slice("embedding", a, b - a + 1), F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return read_table(spark, sf_dir, "embeddings").select(
-        "vec_id", "label", *[total(a, b).alias(f"b{i + 1}") for i, (a, b) in enumerate(_BLOCKS)])
+    return _folded(spark, sf_dir, _BLOCKS3, "b")
 
 
-POINTS3_SQL = "select vec_id, label, " + ", ".join(
-    f"list_sum(list_transform(embedding[{a}:{b}], lambda x: cast(x as double))) as b{i + 1}"
-    for i, (a, b) in enumerate(_BLOCKS)) + " from embeddings"
+POINTS5_SQL = _folded_sql(_BLOCKS5, "x")
+POINTS3_SQL = _folded_sql(_BLOCKS3, "b")
 
 
 # ---------------------------------------------------------------------------
