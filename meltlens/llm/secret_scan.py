@@ -47,13 +47,21 @@ class Rule:
 _ASSIGN = (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]"""
            r"""|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]%s)""")
 
+_PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+_BASE64 = "[A-Za-z0-9+/]"
+#: A key is its header, and all up to its END line (no other run of dashes between), or else the base64 lines that
+#: follow, the last one of any length if it is a whole line.  The count of lines bounds the depth of Java's matcher.
+_KEY = (_PEM + r"(?:[^-]*(?:-[^-]+){0,200}-{5,6}END [A-Z ]{0,40}PRIVATE KEY-----"
+        r"|(?:\s*(?:Proc-Type|DEK-Info):[^\n]*)*(?:[\s\\\"'>#*|,;+]+" + _BASE64 * 12 + _BASE64 + r"*={0,2}){1,400}"
+        r"(?:[\\\"'>#*|,;+\t\x20]*\r?\n[>#*\t\x20]*" + _BASE64 + r"+={0,2}\s*(?:\n|\z))?)?")
+
 #: Order is the order of kinds.  A greedy run that is too short cannot hold a
 #: longer match, so access and hex carry their minimum in the pattern.
 RULES = [
     Rule("assign", 1, _ASSIGN % "+", group=2, min_chars=6, base=True, screen=_ASSIGN % "{6,}"),
     Rule("access", 1, "AKIA[A-Z0-9]{16,}", base=True),
     Rule("hex", 1, "[0-9a-f]{24,}", base=True),
-    Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", 2, _KEY, screen=_PEM),
     Rule("provider_token", 1, r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|glpat-[A-Za-z0-9_-]{20,})"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 ]
