@@ -31,7 +31,7 @@ def m11_silhouette_sq_euclidean(spark, sf_dir):
 @register("m13_isolation_forest")
 def m13_isolation_forest(spark, sf_dir):
     p = points5(spark, sf_dir)
-    nodes, m = NB.fit_isolation_forest(p, _X)
+    nodes, m = NB.fit_isolation_forest(p, _X, key="vec_id")
     scored = NB.score_isolation_forest(p, _X, nodes, m)
     return NB.scaled_flag(scored, "if_score", "if_norm", "if_flag").select("vec_id", "if_score", "if_norm", "if_flag")
 
@@ -90,7 +90,7 @@ def m12_dbscan(spark, sf_dir):
 def anomaly_frame(spark, sf_dir):
     """Both detectors' normalised scores and flags, the ensemble score, OR flag and severity."""
     p = points3(spark, sf_dir)
-    nodes, m = NB.fit_isolation_forest(p, _B)
+    nodes, m = NB.fit_isolation_forest(p, _B, key="vec_id")
     scored = cut_lineage(lof_scores(NB.score_isolation_forest(p, _B, nodes, m), _B))
     flagged = NB.scaled_flag(NB.scaled_flag(scored, "if_score", "if_norm", "if_flag"), "lof_score", "lof_norm", "lof_flag")
     return NB.ensemble(flagged, "if_norm", "lof_norm", flags=["if_flag", "lof_flag"])

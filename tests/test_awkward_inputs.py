@@ -112,6 +112,16 @@ def test_isolation_forest(cloud):
     assert n == 3 and len(few)
 
 
+@pytest.mark.parametrize("key", ["id", None])
+def test_isolation_forest_pool_holds_copies_in_proportion(spark, key):
+    """A third of the rows are one point; the trees' pool is a tenth of the table."""
+    df = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, 50.0).otherwise(F.rand(3)).alias("a"))
+    for seed in (1, 2, 3):
+        nodes, m = NB.fit_isolation_forest(df, ["a"], n_trees=10, sample_size=60, seed=seed, key=key)
+        copies = [g.loc[g["feat"] < 0, "size"].max() for _, g in nodes.groupby("tree")]
+        assert m == 60 and 0.25 < np.mean(copies) / 60 < 0.42
+
+
 def brute_lof(x, k):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     np.fill_diagonal(d, np.inf)
