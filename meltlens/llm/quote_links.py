@@ -2,16 +2,22 @@
 
 A message is split into its own text and quoted passages (lines led by ``>``,
 nested levels by several).  Both are normalised (case, white space) and cut
-into sentences, whose hashes link a passage to the message that wrote them: of
-each hash the earliest message of the conversation holds it, the passage's
-origin is the message with most of its sentences (ties: the later one), and the
-parent of a message is the origin of its outermost quoted level that has one.
-Parents come before their replies, so threads are trees; their roots are found
-by pointer jumping.  The result is every message without its quotes, in reply
-order by (conversation, thread_turn, turn).
-
-Every join is on a key that is unique on one side, so neither a common first
-turn nor a conversation with a third of all messages multiplies rows.
+into units: lines, the sentences of each line, and the sentences of the text
+without its line breaks.  Their hashes link a passage to the messages that wrote
+them: the origin of a passage is the earlier message of the conversation that
+holds most of its units (ties: the one that wrote more of them first, then the
+later one).  A passage of which no unit is known (a part of a sentence) is linked
+by its windows of ``WINDOW`` words (fewer, if it is shorter) to the earlier
+message that holds most of them, at least half.  The parent of a message is the
+origin of its outermost quoted level that has one.  Parents come before their
+replies, so threads are trees; their roots are found by pointer jumping.  The
+result is every message without its quotes, in reply order by (conversation,
+thread_turn, turn).
+
+First writers are joined on a unique key.  They settle a passage if one of them
+has all its units.  Otherwise the best first writer has f of u units, so a better
+message holds one of the u - f + 1 rarest ones: only their holders are candidates,
+and common units multiply no rows unless all of a passage is common.
 
 Defined results: null text is an empty message; a null conversation or turn is
 not linked; rows that repeat a (conversation, turn) share the link; a message
@@ -22,18 +28,24 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import row_batches, stored, table
 
 QUOTE = re.compile(r"\s*((?:>[ \t]?)+)(.*)", re.DOTALL)
 ATTRIBUTION = re.compile(r"(?:on\b.{0,200}\bwrote|.{0,100}\bwrote|.{0,100}\bsaid)\s*:\s*", re.IGNORECASE | re.DOTALL)
-SENTENCE = re.compile(r"[^.!?]+[.!?]*")
+_STOPS = ".!?\u3002\uff01\uff1f\uff0e\uff61\u2026\u061f\u06d4\u0964\u0965\u1362\u1367\u104b\u17d4"
+SENTENCE = re.compile(f"[^{_STOPS}]+[{_STOPS}]*")
+#: A word, or one character of a script written without spaces.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(f"[{_UNSPACED}]|[^\\W{_UNSPACED}]+")
+#: Words of the longest window by which a part of a sentence is found.
+WINDOW = 5
 
 
 def split_quotes(text: str | None) -> tuple[str, list[tuple[int, str]]]:
@@ -56,15 +68,28 @@ def split_quotes(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own).strip(), [(level, "\n".join(lines)) for level, lines in passages]
 
 
-def sentence_hashes(text: str) -> list[int]:
-    """Signed 64-bit hashes of the normalised sentences of a text, each once."""
-    flat = " ".join(text.lower().split())
-    found = dict.fromkeys(s.strip() for s in SENTENCE.findall(flat))
-    return [(xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) ^ (1 << 63)) - (1 << 63) for s in found if s]
+def signed_hash(text: str) -> int:
+    return (xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) ^ (1 << 63)) - (1 << 63)
+
+
+def unit_hashes(text: str) -> list[int]:
+    """Signed 64-bit hashes of the normalised lines and sentences of a text, each once."""
+    lines = [" ".join(line.split()) for line in text.lower().splitlines()]
+    found = dict.fromkeys(s.strip() for part in (" ".join(lines), *lines) for s in SENTENCE.findall(part))
+    found.update(dict.fromkeys(lines))
+    return [signed_hash(s) for s in found if s]
+
+
+def window_hashes(text: str, lengths: Iterable[int] | None = None) -> list[int]:
+    """Hashes of the word windows of these lengths; by default those by which a passage is looked up."""
+    words = WORD.findall(text.lower())
+    lengths = [min(WINDOW, len(words))] if lengths is None else lengths
+    return [signed_hash(w) for w in dict.fromkeys(
+        f"{n} " + " ".join(words[k:k + n]) for n in lengths if n for k in range(len(words) - n + 1))]
 
 
 def parse_messages(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """Columns conv, turn, role, text (own), n_passages, said (hashes), quoted (passage, level, hash)."""
+    """Columns conv, turn, role, text (own), n_passages, said (hashes), quoted (passage, level, hashes, windows)."""
     rows = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"),
                      F.col(text_col).alias("raw"))
     kinds = dict(rows.dtypes)
@@ -75,25 +100,61 @@ def parse_messages(df: DataFrame, conv_col: str, turn_col: str, role_col: str, t
             out = batch[["conv", "turn", "role"]].astype(object).where(batch[["conv", "turn", "role"]].notna(), None)
             out["text"] = [own for own, _ in split]
             out["n_passages"] = [len(q) for _, q in split]
-            out["said"] = [sentence_hashes(own) for own, _ in split]
-            out["quoted"] = [[{"passage": k, "level": level, "hash": h} for k, (level, text) in enumerate(q)
-                              for h in sentence_hashes(text)] for _, q in split]
+            out["said"] = [unit_hashes(own) for own, _ in split]
+            out["quoted"] = [[{"passage": k, "level": level, "hashes": unit_hashes(text), "windows": window_hashes(text)}
+                              for k, (level, text) in enumerate(q)] for _, q in split]
             yield out
 
     return rows.mapInPandas(parse, (
         f"conv {kinds['conv']}, turn {kinds['turn']}, role {kinds['role']}, text string, n_passages int, "
-        "said array<long>, quoted array<struct<passage:int,level:int,hash:long>>"))
+        "said array<long>, quoted array<struct<passage:int,level:int,hashes:array<long>,windows:array<long>>>"))
+
+
+_PASSAGE = ["conv", "turn", "passage", "level"]
+
+
+def most_held(quoted: DataFrame, said: DataFrame, share: float = 0.0) -> DataFrame:
+    """Columns of a passage and origin, of ``quoted(passage's columns, hash)`` and ``said(conv, turn, hash)``.
+
+    Origins hold at least ``share`` of the passage's hashes.
+    """
+    said = stored(said.join(quoted.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi")
+                  .select("conv", "hash", F.col("turn").alias("origin")).distinct(), "said")
+    held = said.groupBy("conv", "hash").agg(F.min("origin").alias("first"), F.count("*").alias("holders"))
+    sizes = quoted.groupBy(_PASSAGE).agg(F.count("*").alias("size"))
+    units = quoted.join(held, ["conv", "hash"]).where("first < turn")
+    best = (units.groupBy(*_PASSAGE, "first").agg(F.count("*").alias("n")).groupBy(_PASSAGE)
+            .agg(F.sum("n").alias("known"), F.max("n").alias("best"), F.max_by("first", F.struct("n", "first")).alias("origin")))
+    settled = best.where("best = known").select(*_PASSAGE, "origin", F.col("best").alias("n"))
+    rare = F.row_number().over(Window.partitionBy(_PASSAGE).orderBy("holders", "hash"))  # bounded by the passage's length
+    open_units = stored(units.join(best.where("best < known").drop("origin"), _PASSAGE).withColumn("rare", rare), "units")
+    candidates = (open_units.where("rare <= known - best + 1").join(said, ["conv", "hash"]).where("origin < turn")
+                  .select(*_PASSAGE, "origin").distinct())
+    votes = (candidates.join(open_units.select(*_PASSAGE, "hash", "first"), _PASSAGE).join(said, ["conv", "hash", "origin"])
+             .groupBy(*_PASSAGE, "origin").agg(F.count("*").alias("n"), F.count(F.when(F.col("first") == F.col("origin"), 1)).alias("firsts")))
+    voted = votes.groupBy(_PASSAGE).agg(F.max_by("origin", F.struct("n", "firsts", "origin")).alias("origin"), F.max("n").alias("n"))
+    return (settled.unionByName(voted).join(sizes, _PASSAGE).where(F.col("n") >= share * F.col("size"))
+            .select(*_PASSAGE, "origin"))
 
 
 def passage_origins(messages: DataFrame) -> DataFrame:
     """Columns conv, turn, passage, level, origin: the earlier message each quoted passage comes from."""
     named = messages.where("conv is not null and turn is not null")
-    quoted = named.where(F.size("quoted") > 0).select("conv", "turn", F.explode("quoted").alias("q")).select(
-        "conv", "turn", "q.passage", "q.level", "q.hash")
-    first = named.select("conv", "turn", F.explode("said").alias("hash")).groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
-    votes = (quoted.join(first, ["conv", "hash"]).where("origin < turn")
-             .groupBy("conv", "turn", "passage", "level", "origin").agg(F.count("*").alias("n")))
-    return votes.groupBy("conv", "turn", "passage", "level").agg(F.max_by("origin", F.struct("n", "origin")).alias("origin"))
+    passages = stored(named.where(F.size("quoted") > 0).select("conv", "turn", F.explode("quoted").alias("q"))
+                      .select("conv", "turn", "q.*"), "passages")
+    hashes = lambda rows, name: rows.select(*_PASSAGE, F.explode(name).alias("hash")).distinct()
+    whole = stored(most_held(hashes(passages, "hashes"), named.select("conv", "turn", F.explode("said").alias("hash"))), "origins")
+    rest = passages.join(whole, _PASSAGE, "left_anti")
+    if rest.isEmpty():
+        return whole
+
+    @F.pandas_udf("array<long>")
+    def windows(texts: pd.Series) -> pd.Series:
+        return pd.Series([window_hashes(t, range(1, WINDOW + 1)) for t in texts], dtype=object)
+
+    asked = named.join(rest.select("conv").distinct(), "conv", "left_semi").where("text <> ''")
+    parts = most_held(hashes(rest, "windows"), asked.select("conv", "turn", F.explode(windows("text")).alias("hash")), 0.5)
+    return whole.unionByName(parts)
 
 
 def thread_roots(parents: DataFrame) -> DataFrame:

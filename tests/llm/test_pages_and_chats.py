@@ -106,3 +106,37 @@ def test_long_reply_chain(spark):
     rows = [(1, 0, "u", "message 0")] + [(1, k, "u", f"> message {k - 1}\nmessage {k}") for k in range(1, 40)]
     got = ql.link_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert {r.turn: (r.parent_turn, r.thread_turn) for r in got} == {0: (None, 0)} | {k: (k - 1, 0) for k in range(1, 40)}
+
+
+def test_quoted_lines_and_parts_of_sentences_link(spark):
+    texts = {
+        1: ["buy milk\ncall Bob\nfix roof", "> call Bob\ndone"],
+        2: ["def f(x):\n    return x + 1", "what?", "> return x + 1\nwhy one"],
+        3: ["今天天气很好。我们去公园吧！然后回家。", "> 我们去公园吧！\n好的"],
+        4: ["We should move the whole meeting to Friday because of the strike.", "no idea", "> the whole meeting to Friday\nfine", "> meeting with nobody\nhm"],
+        5: ["Yes. Alpha one.", "Yes. Beta two. Gamma three.", "Yes. Beta two.", "> Yes. Beta two. Gamma three.\nok", "> Yes. Alpha one.\nok"],
+        6: ["A b. C d.", "E f. G h.", "A b. C d. E f.", "> A b. C d. E f.\nok"],
+        7: ["a wrapped sentence\ngoes on here.", "> a wrapped sentence goes\n> on here.\nok"],
+        8: ["今天天气很好我们去公园", "> 我们去公园\n好"]}
+    rows = [(c, k, "u", t) for c, said in texts.items() for k, t in enumerate(said)]
+    got = {(r.conv_id, r.turn): r.parent_turn for r in ql.link_conversations(
+        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    want = {(1, 1): 0, (2, 2): 0, (3, 1): 0, (4, 2): 0, (5, 3): 1, (5, 4): 0, (6, 3): 2, (7, 1): 0, (8, 1): 0}
+    assert {k: p for k, p in got.items() if p is not None} == want and len(got) == len(rows)
+
+
+def test_all_earlier_writers_vote(spark):
+    """Against counting the units of every earlier message."""
+    rng = np.random.default_rng(2)
+    said = [". ".join(f"s{w}" for w in rng.choice(6, rng.integers(1, 5))) + "." for _ in range(40)]
+    quotes = [". ".join(f"s{w}" for w in rng.choice(8, rng.integers(2, 5), replace=False)) + "." for _ in range(40)]
+    rows = [(1, k, "u", f"> {q}\n{t}") for k, (q, t) in enumerate(zip(quotes, said))]
+    got = {r.turn: r.parent_turn for r in ql.link_conversations(
+        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    units = [set(ql.unit_hashes(t)) for t in said]
+    for k, quote in enumerate(quotes):
+        asked = set(ql.unit_hashes(quote))
+        first = {h: min(i for i in range(k) if h in units[i]) for h in asked if any(h in u for u in units[:k])}
+        votes = [(len(asked & units[i]), sum(at == i for at in first.values()), i) for i in range(k) if asked & units[i]]
+        if votes:
+            assert got[k] == max(votes)[2]
