@@ -140,3 +140,22 @@ def test_all_earlier_writers_vote(spark):
         votes = [(len(asked & units[i]), sum(at == i for at in first.values()), i) for i in range(k) if asked & units[i]]
         if votes:
             assert got[k] == max(votes)[2]
+
+
+def test_notices_in_articles_go_and_copied_articles_stay(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    notice, other = words("notice", 12), words("advert", 9)
+    own = lambda k: [words(f"p{k}x{j}y", 15) for j in range(4)]
+    page = lambda blocks, tag="p": "".join(f"<{tag}>{b}</{tag}>" for b in blocks)
+    rows = [(k, "http://a.org/", f"<article>{page([notice, *own(k), other])}</article>") for k in range(5)]
+    near = [own(20), own(20)[:3] + [words("edited", 15)]]
+    rows += [(20 + k, "http://b.org/", f"<article>{page(b)}</article>") for k, b in enumerate(near)]
+    rows += [(30, "http://a.org/", f"<article>{page([notice])}</article>"), (31, "http://c.org/", f"<article>{page([notice, *own(31)])}</article>")]
+    menu = words("menu", 10)
+    rows += [(40 + k, "http://d.org/", page([menu, words(f"top{k}z", 9), *own(40)], "div")) for k in range(2)]
+    rows += [(50 + k, "http://d.org/", page([menu, words(f"top{k + 5}z", 9), *own(50 + k)], "div")) for k in range(3)]
+    got = {r.page_id: r.text for r in hx.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "\n".join(own(k)) for k in range(5))
+    assert [got[20], got[21]] == ["\n".join(b) for b in near] and got[30] == notice and notice in got[31]
+    assert all("\n".join(own(40)) in got[k] and menu not in got[k] for k in (40, 41))
+    assert all("\n".join(own(k)) in got[k] and menu not in got[k] for k in (50, 51, 52))
