@@ -32,7 +32,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, stored, table
 
 #: (host, path prefix, verdict)
 RULES = [
@@ -42,7 +42,8 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-#: Hosts of the query's block list; a host blocks all its subdomains and paths.
+#: The query's block list if it is given none: four example hosts, those that the test pages hold; a host blocks all its
+#: subdomains and paths.
 BLOCKED_HOSTS = [
     "casino-win.example.com", "free-bets.example.com",
     "cheap-pills.example.com", "ads-track.example.com",
@@ -240,8 +241,26 @@ def filter_urls_by_join(df: DataFrame, entries: DataFrame, path_lengths: list[in
     return out.select(F.col("row_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "listed_entry")
 
 
-def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"), RULES, BLOCKED_HOSTS)
+def filter_urls_by_list(df: DataFrame, rules: list[tuple[str, str, str]], blocklist: DataFrame, host_col: str = "host",
+                        id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """``filter_urls`` with a list of any size from a table: an index file if it fits ``MAX_INDEX_BYTES``, else the join.
+
+    Hosts are trimmed and lower-cased (A-Z); null, empty and repeated ones are left out.
+    """
+    host = F.trim(F.translate(F.col(host_col), UPPER, LOWER))
+    hosts = stored(blocklist.select(host.alias("host")).where("host <> ''").distinct(), "blocklist")
+    size = hosts.agg(F.coalesce(F.sum(F.octet_length("host") + 24), F.lit(0))).first()[0]  # key, offset, length and code
+    if size + sum(len((h + p).encode()) + 24 for h, p, _ in rules) + 1024 <= MAX_INDEX_BYTES:
+        return filter_urls(df, rules, [r.host for r in hosts.toLocalIterator()], id_col, url_col)
+    given = df.sparkSession.createDataFrame(rules, "host string, path string, verdict string")
+    entries = given.unionByName(hosts.select("host", F.lit("").alias("path"), F.lit("listed").alias("verdict")))
+    return filter_urls_by_join(df, entries, sorted({len(p) for _, p, _ in rules} | {0}), id_col, url_col)
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str, blocklist: DataFrame | None = None) -> DataFrame:
+    """``blocklist``: a table or list file (``spark.read.text(path).toDF("host")``) with the column ``host``."""
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, RULES, BLOCKED_HOSTS) if blocklist is None else filter_urls_by_list(pages, RULES, blocklist)
 
 
 OP1_SQL = r"""

@@ -164,3 +164,18 @@ def test_private_key_bodies_are_masked(spark):
     assert got == dict(enumerate(texts.values()))
     long = df.limit(0).unionByName(spark.createDataFrame([(1, f"{begin}\n" + f"{line}\n" * 20_000)], df.schema))
     assert ss.redact(long).first().text.startswith("[SECRET]")
+
+
+@pytest.mark.parametrize("shipped", [True, False])
+def test_url_list_from_a_table(spark, shipped, monkeypatch):
+    """A list of 100,000 hosts decides, also for hosts that no example names."""
+    if not shipped:
+        monkeypatch.setattr(uf, "MAX_INDEX_BYTES", 1000)
+    listed = spark.range(100_000).selectExpr("concat('H', id, '.list.net ') as host").unionByName(
+        spark.createDataFrame([(None,), ("",), ("h1.list.net",)], "host string"))
+    urls = ["http://h7.list.net/x", "http://a.h99999.list.net", "http://h100000.list.net/", "http://h8.list.net.org/", "http://m.casino-win.example.com/", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = uf.filter_urls_by_list(pages, uf.RULES, listed).orderBy("page_id").collect()
+    assert [(r.verdict, r.listed_entry) for r in got] == [("block", "h7.list.net"), ("block", "h99999.list.net"), *[("allow", None)] * 4]
+    own = uf.op1_url_filter(spark, "/root/testdata/sf0.001", listed.limit(0)).collect()
+    assert own and all(r.listed_entry is None for r in own)
