@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ..operators import models as MD
 from ..operators import neighbours as NB
 from ..plans.registry import register
 from ..session import cut_lineage
 from ..operators.dbscan import dbscan
 from ..operators.lof import lof_scores
-from ..sources.fixtures import heats, points3, points5, with_fixtures
+from ..sources.fixtures import EMBEDDING_DIMS, embedding_dims, heats, points3, points5, with_fixtures
 
 _X = ["x1", "x2", "x3", "x4", "x5"]
 _SQD = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _X)
@@ -30,9 +32,9 @@ def m11_silhouette_sq_euclidean(spark, sf_dir):
 
 @register("m13_isolation_forest")
 def m13_isolation_forest(spark, sf_dir):
-    p = points5(spark, sf_dir)
-    nodes, m = NB.fit_isolation_forest(p, _X, key="vec_id")
-    scored = NB.score_isolation_forest(p, _X, nodes, m)
+    p = embedding_dims(spark, sf_dir)
+    nodes, m = NB.fit_isolation_forest(p, EMBEDDING_DIMS, key="vec_id")
+    scored = NB.score_isolation_forest(p, EMBEDDING_DIMS, nodes, m).select("vec_id", "if_score")
     return NB.scaled_flag(scored, "if_score", "if_norm", "if_flag").select("vec_id", "if_score", "if_norm", "if_flag")
 
 
@@ -87,11 +89,26 @@ def m12_dbscan(spark, sf_dir):
     return dbscan(points3(spark, sf_dir), _B, "vec_id", _EPS, _MIN_POINTS).select("vec_id", "cluster", "is_core")
 
 
+#: Leading principal components that neighbours are searched in.
+_PCS = ["pc1", "pc2", "pc3", "pc4", "pc5"]
+
+
+def leading_components(df):
+    """``df`` with M9's leading components, fitted on all rows, and the share of variance that they keep."""
+    whole = df.withColumns(dict(zip(EMBEDDING_DIMS, NB.clean_features(df, EMBEDDING_DIMS))))
+    base, pca, explained, _k = MD.pca_fit(whole, EMBEDDING_DIMS, 1.0)
+    pcs = vector_to_array("pcs")
+    out = pca.transform(base.transform(whole)).select(*df.columns, *[pcs[i].alias(c) for i, c in enumerate(_PCS)])
+    return out, sum(explained[:len(_PCS)])
+
+
 def anomaly_frame(spark, sf_dir):
-    """Both detectors' normalised scores and flags, the ensemble score, OR flag and severity."""
-    p = points3(spark, sf_dir)
-    nodes, m = NB.fit_isolation_forest(p, _B, key="vec_id")
-    scored = cut_lineage(lof_scores(NB.score_isolation_forest(p, _B, nodes, m), _B))
+    """Both detectors' normalised scores and flags, the ensemble score, OR flag and severity; the forest on all
+    dimensions, the outlier factor on the leading components."""
+    p, _kept = leading_components(embedding_dims(spark, sf_dir))
+    nodes, m = NB.fit_isolation_forest(p, EMBEDDING_DIMS, key="vec_id")
+    forest = NB.score_isolation_forest(p, EMBEDDING_DIMS, nodes, m).select("vec_id", "label", "if_score", *_PCS)
+    scored = cut_lineage(lof_scores(forest, _PCS))
     flagged = NB.scaled_flag(NB.scaled_flag(scored, "if_score", "if_norm", "if_flag"), "lof_score", "lof_norm", "lof_flag")
     return NB.ensemble(flagged, "if_norm", "lof_norm", flags=["if_flag", "lof_flag"])
 

@@ -172,6 +172,13 @@ def points3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folded(spark, sf_dir, _BLOCKS3, "b")
 
 
+def embedding_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dimension of the embeddings as a column e1..e64; missing ones are NULL."""
+    return read_table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(EMBEDDING_DIMS)])
+
+
+EMBEDDING_DIMS = [f"e{i}" for i in range(1, 65)]
 POINTS5_SQL = _folded_sql(_BLOCKS5, "x")
 POINTS3_SQL = _folded_sql(_BLOCKS3, "b")
 

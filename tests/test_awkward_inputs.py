@@ -228,3 +228,17 @@ def test_report_stages_compile(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=400)
     assert done.returncode == 0, done.stderr[-2000:]
     assert "64 KB" not in done.stderr and "failed to compile" not in done.stderr.lower()
+
+
+def test_forest_and_anomaly_job_see_every_dimension(spark, tmp_path):
+    """A row whose large values cancel in any sum over neighbouring dimensions is the outlier."""
+    from meltlens.catalog import neighbours as CN
+
+    x = np.random.default_rng(7).normal(size=(300, 64))
+    x[0] = np.tile([9.0, -9.0], 32)
+    spark.createDataFrame([(i, list(map(float, r)), int(i == 0)) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int") \
+        .write.parquet(str(tmp_path / "embeddings.parquet"))
+    top = CN.m13_isolation_forest(spark, str(tmp_path)).orderBy(F.desc("if_score")).first()
+    assert top.vec_id == 0 and top.if_flag == 1
+    job = CN.anomaly_frame(spark, str(tmp_path)).toPandas().set_index("vec_id")
+    assert len(job) == 300 and job["if_norm"].idxmax() == 0 and job.loc[0, "anomaly_flag"] == 1
