@@ -1,10 +1,12 @@
-"""Whole-text encoding with public tokenizers, cached by chunk.
-
-Both vocabularies split a text at white space and around runs of letters before
-their merges run, so the ids of a text are the ids of its chunks in order.  Each distinct chunk is
-encoded once by the ``tokenizers`` library and kept in a bounded cache.  Texts
-that hold the string of an added token are encoded as one piece, since such a
-string can span chunks.
+"""Whole-text encoding with public tokenizers, by distinct chunks of a batch.
+
+Both vocabularies split a text at white space and between letters and other signs
+before their merges run, so the ids of a text are the ids of its chunks in order.
+The chunk starts of a batch of texts are found with array operations, Arrow
+encodes the chunks as a dictionary, and only its entries meet the ``tokenizers``
+library (a bounded cache keeps their ids); one gather lays the ids out in order.
+Texts that hold the string of an added token are encoded as one piece, since such
+a string can span chunks.
 """
 
 from __future__ import annotations
@@ -13,24 +15,68 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Callable, Iterable
-
-#: Unicode's White_Space characters (what the vocabularies' patterns call \s).
-SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
-                          0x205F, 0x3000]))
-#: Latin letters (without the dotted capital I, whose lower case ends in a mark).
-LETTERS = "A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x12F), (0x131, 0x24F)))
-_LETTERS = f"[{LETTERS}]++(?![^\x00-\x7F])"
-#: tokenizer file -> pattern of its chunks.  Both vocabularies also split where a run of
-#: letters ends; it is cut off where an ASCII character follows, which keeps chunks few.
-#: Byte level: a word takes the one space before it, other white space stands alone, all
-#: but its last character.
-CHUNKS = {
-    "byte_bpe_50k.json": re.compile(f" ?{_LETTERS}|[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]"),
-    "word_bpe_49k.json": re.compile(f"{_LETTERS}|[^{SPACE}]+"),
-}
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+
+#: Unicode's White_Space characters beyond ASCII (with these, what the vocabularies' patterns call \s).
+WIDE_SPACE = np.array([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], dtype=np.uint32)
+#: Code points below this with a class each; the Latin letters leave out the dotted capital I, whose lower case ends in a mark.
+LATIN = 0x250
+OTHER, LETTER, SIGN, QUOTE, DIGIT, SPACE = 0, 1, 2, 3, 4, 5
+
+
+def _classes() -> np.ndarray:
+    of = np.full(LATIN, OTHER, dtype=np.uint8)
+    of[:0x80] = SIGN
+    for first, last, kind in (("A", "Z", LETTER), ("a", "z", LETTER), ("\xC0", "\xD6", LETTER), ("\xD8", "\xF6", LETTER),
+                              ("\xF8", "\u012F", LETTER), ("\u0131", "\u024F", LETTER), ("0", "9", DIGIT),
+                              ("\x09", "\x0D", SPACE), (" ", " ", SPACE), ("'", "'", QUOTE)):
+        of[ord(first):ord(last) + 1] = kind
+    return of
+
+
+CLASSES = _classes()
+#: tokenizer file -> whether a word takes the one space before it.  Other white space stands alone
+#: there, all but its last character; the other vocabulary drops white space.
+SPACE_JOINS = {"byte_bpe_50k.json": True, "word_bpe_49k.json": False}
 #: Chunks kept by a worker before the cache starts anew.
 MAX_CACHED_CHUNKS = 1_000_000
+#: Code points that are laid out as arrays at once, unless a text without white space is longer.
+BATCH_CHARS = 4_000_000
+
+
+def chunk_starts(points: np.ndarray, texts: np.ndarray, joins: bool) -> np.ndarray:
+    """Whether a chunk starts at each code point of texts laid end to end, which start at ``texts``.
+
+    A run of letters ends at an ASCII character, and a run of other ASCII signs or digits at an
+    ASCII letter (not after an apostrophe, which may begin a contraction)."""
+    kind = CLASSES[np.minimum(points, LATIN - 1)]
+    wide = points >= 0x80
+    far = np.flatnonzero(wide)
+    beyond = points[far]
+    kind[far[beyond >= LATIN]] = OTHER
+    kind[far[np.isin(beyond, WIDE_SPACE)]] = SPACE
+    first = np.zeros(len(points), dtype=bool)
+    first[texts] = True
+    space = kind == SPACE
+    before, now = kind[:-1], kind[1:]
+    start = first.copy()
+    cut = (before == LETTER) & ~wide[1:] & (now != LETTER)
+    cut |= ((before == SIGN) | (before == DIGIT)) & (now == LETTER) & ~wide[1:]
+    cut |= space[1:] & ~space[:-1]
+    leaves = space[:-1] & ~space[1:]
+    if joins:
+        leaves &= points[:-1] != 32
+        last = space.copy()  # the last of several white-space characters before something else
+        last[:-1] &= ~space[1:] & ~first[1:]
+        last[-1:] = False
+        last[1:] &= space[:-1]
+        last &= ~first
+        start |= last
+    start[1:] |= cut | leaves
+    return start
 
 
 def little_endian(ids: list[int]) -> bytes:
@@ -40,17 +86,31 @@ def little_endian(ids: list[int]) -> bytes:
     return raw.tobytes()
 
 
+def segments(text: str, most: int) -> Iterator[str]:
+    """A text in parts of about ``most`` characters that begin with a run of white space."""
+    at = 0
+    while len(text) - at > most:
+        cut = RUN_START.search(text, at + most)
+        if cut is None:
+            break
+        yield text[at:cut.start() + 1]
+        at = cut.start() + 1
+    yield text[at:]
+
+
+#: A space after something that is no white space (of any kind).
+RUN_START = re.compile(r"[^\s\x1C-\x1F](?= )")
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.find: Callable[[str], list[str]] | None = None
-        if pattern := CHUNKS.get(os.path.basename(path)):
-            self.find = pattern.findall
+        self.joins = SPACE_JOINS.get(os.path.basename(path))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return little_endian(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -58,23 +118,70 @@ class Encoder:
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers; null is empty."""
         out: list[bytes] = []
+        parts: list[str] = []
+        owners: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            for owner, ids in zip(owners, self._encode_parts(parts)):
+                out[owner] += ids
+
         for text in texts:
             text = text or ""
-            if self.find is None or any(a in text for a in self.added):
+            if self.joins is None or any(a in text for a in self.added):
                 out.append(self.whole(text))
                 continue
-            chunks = self.find(text)
-            if len(self.cache) > MAX_CACHED_CHUNKS:
-                self.cache.clear()
-            if new := set(chunks).difference(self.cache):
-                self._learn(new)
-            out.append(b"".join(map(self.cache.__getitem__, chunks)))
+            out.append(b"")
+            for part in segments(text, BATCH_CHARS):
+                if not part:
+                    continue
+                if size + len(part) > BATCH_CHARS and parts:
+                    flush()
+                    parts, owners, size = [], [], 0
+                parts.append(part)
+                owners.append(len(out) - 1)
+                size += len(part)
+        flush()
         return out
 
-    def _learn(self, chunks: set[str]) -> None:
-        new = list(chunks)
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.cache[chunk] = little_endian(found.ids)
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of non-empty texts of a batch."""
+        if not parts:
+            return []
+        joined = "".join(parts)
+        points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
+        texts = np.cumsum([0, *map(len, parts[:-1])])
+        starts = np.flatnonzero(chunk_starts(points, texts, self.joins))
+        data = joined.encode()
+        offsets = np.append(starts, len(points))
+        if len(data) != len(points):
+            widths = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
+            offsets = np.concatenate([[0], np.cumsum(widths)])[offsets]
+        chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+        coded = chunks.dictionary_encode()
+        found = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        flat = np.frombuffer(b"".join(found), dtype="<u4")
+        place = coded.indices.to_numpy()
+        counts = sizes[place]
+        ends = np.cumsum(counts)
+        # every id's place in ``flat``: the first of its chunk, and on
+        shift = (np.cumsum(sizes) - sizes)[place] - (ends - counts)
+        ids = flat[np.repeat(shift, counts) + np.arange(ends[-1])]
+        bounds = np.append(np.searchsorted(starts, texts), len(starts))
+        until = np.concatenate([[0], ends])[bounds]
+        return [ids[a:b].tobytes() for a, b in zip(until[:-1], until[1:])]
+
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
+        if len(self.cache) > MAX_CACHED_CHUNKS:
+            self.cache.clear()
+        found = list(map(self.cache.get, chunks))
+        if None in found:
+            new = [c for c, ids in zip(chunks, found) if ids is None]
+            for chunk, coded in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)):
+                self.cache[chunk] = little_endian(coded.ids)
+            found = list(map(self.cache.get, chunks))
+        return found
 
 
 _ENCODERS: dict[str, Encoder] = {}

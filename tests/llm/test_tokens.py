@@ -108,3 +108,12 @@ def best_fit_decreasing(counts, capacity):
         else:
             gaps.append(capacity - n)
     return len(gaps)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_laid_out_in_parts(name, rows, monkeypatch):
+    """Batches of a few characters: long texts are cut before spaces, and short ones share a batch."""
+    monkeypatch.setattr("meltlens.llm.tokens.BATCH_CHARS", 40)
+    encoder = Encoder(public_tokenizers.path(name))
+    texts = [t for _, t in rows][:60] + ["x" * 500, "a  b \n  c" * 40, "", None]
+    assert encoder.encode_all(texts) == [encoder.whole(t or "") for t in texts]
