@@ -9,6 +9,7 @@ from ..functions.scalar import clamp01_scalar, label_of, rank_of, severity_from_
 from ..operators import analytics as AN
 from ..operators import decisions as D
 from ..operators import windows as W
+from ..plans.ordered import attach_by_position
 from ..plans.registry import register
 from ..sources.fixtures import HEAT_KEY, heat_events, heats, with_fixtures
 from .core import decided, featured
@@ -654,6 +655,15 @@ def j6_column_set_difference(spark, sf_dir):
         "column_name", "status", F.coalesce(F.col("n").cast("long"), F.lit(0).cast("long")).alias("n_values"))
 
 
+@register("j3_positional_attach", with_fixtures(
+    f"""select {KEY}, p.defect_prob from (select {KEY}, row_number() over (order by {KEY}) as i from heats) h
+        join (select defect_prob, row_number() over (order by defect_prob) as i from heats) p using (i)""", "heats"))
+def j3_positional_attach(spark, sf_dir):
+    """Row i of one ordered frame beside row i of another."""
+    h = heats(spark, sf_dir)
+    return attach_by_position(h.select(*HEAT_KEY).orderBy(*HEAT_KEY), h.select("defect_prob").orderBy("defect_prob"))
+
+
 @register("j7_append_history", with_fixtures(
     "select count(*) as n_rows from (select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey, defect from "
     "(select * from heats union all select * from heats where cluster = 0))", "heats"))

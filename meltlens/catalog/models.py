@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ..operators import clustering as CL
 from ..operators import evaluation as EV
 from ..operators import models as MD
+from ..operators import training as TR
 from ..plans.registry import register
-from ..sources.fixtures import HEAT_KEY, with_fixtures
+from ..sources.fixtures import HEAT_KEY, heats, with_fixtures
+from ..sources.io import scratch_path
 from .core import featured
 
 MODEL_FEATURES = ["c_", "si_", "s_", "mn_", "p__", "n__", "al__", "mg_", "cr_", "mg_recovery_", "tapping_temp",
@@ -45,23 +47,61 @@ def m4_class_weights(spark, sf_dir):
         F.first("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
+#: Sizes of the ensembles and k-means restarts where many models are fitted in one entry (m5 to m8 have the full ones).
+_TREES, _ROUNDS, _STEP, _RESTARTS = 20, 20, 0.2, 3
+
+
+def _small_candidates(n_train: int) -> dict:
+    return MD.candidates(n_train, trees=_TREES, rounds=_ROUNDS, step=_STEP)
+
+
+def _quick_candidates(n_train: int) -> dict:
+    return {k: v for k, v in _small_candidates(n_train).items() if k in ("logistic_regression", "random_forest")}
+
+
 @register("m16_scored_probability")
 def m16_scored_probability(spark, sf_dir):
-    train, test = _split(spark, sf_dir)
-    model = MD.fit_classifier(train, MODEL_FEATURES, MD.candidates(1)["logistic_regression"].setRegParam(1e-3))
-    return MD.score(model, featured(spark, sf_dir), HEAT_KEY)
+    """Every batch scored by a model that was selected, saved and loaded again."""
+    path = scratch_path(spark, "classifier")
+    TR.train_and_save(spark, featured(spark, sf_dir), MODEL_FEATURES, HEAT_KEY, path, _quick_candidates, folds=0)
+    scored = TR.probability_scorer(spark, path).apply(featured(spark, sf_dir).drop("defect_prob"))
+    p = F.col("defect_prob")
+    return scored.select(*HEAT_KEY, F.col("defect").alias("y"), p.alias("p"), (p >= 0.5).cast("int").alias("yhat"))
+
+
+@register("m16_m17_upload_without_signals")
+def m16_m17_upload_without_signals(spark, sf_dir):
+    """D11 for an upload that carries no signals: probability and cluster come from saved artefacts."""
+    from ..operators.upload import Artefacts, prepare_upload
+
+    f = featured(spark, sf_dir)
+    classifier, clusters = scratch_path(spark, "classifier"), scratch_path(spark, "clusters")
+    TR.train_and_save(spark, f, MODEL_FEATURES, HEAT_KEY, classifier, _quick_candidates, folds=0)
+    CL.fit_and_save(f, MODEL_FEATURES, clusters, k=4, restarts=1)
+    art = Artefacts(probability=TR.probability_scorer(spark, classifier), clusters=CL.cluster_scorer(spark, clusters))
+    upload = heats(spark, sf_dir).drop("defect_prob", "anomaly_score", "cluster", "l_shipdate")
+    decided = prepare_upload(upload, art, HEAT_KEY)
+    return decided.groupBy("cluster", "risk_level", "recommendation").agg(
+        F.count("*").alias("n"), F.avg("defect_prob").alias("mean_prob"), F.max("defect_prob").alias("max_prob"))
 
 
 @register("m24_feature_importance")
 def m24_feature_importance(spark, sf_dir):
     train, _ = _split(spark, sf_dir)
     model = MD.fit_classifier(train, MODEL_FEATURES, MD.candidates(1)["random_forest"])
-    imp = MD.feature_importance(model, MODEL_FEATURES)
-    df = spark.createDataFrame(imp, "feature string, importance double")
+    df = TR.importance_frame(model, MODEL_FEATURES)
     label = F.initcap(F.trim(F.regexp_replace(F.regexp_replace("feature", "^feat_", ""), "_", " ")))
     return df.orderBy(F.desc("importance"), "feature").limit(15).withColumn("label", label)
 
 
+@register("m24_permutation_importance")
+def m24_permutation_importance(spark, sf_dir):
+    """Loss of accuracy on the hold-out with a column shuffled, over five repeats."""
+    frame = TR.training_frame(featured(spark, sf_dir), MODEL_FEATURES, "defect", HEAT_KEY)
+    model = MD.fit_classifier(frame.where("split = 'train'"), MODEL_FEATURES, _small_candidates(1)["random_forest"])
+    return TR.permutation_importance(model, frame.where("split = 'test'"), MODEL_FEATURES)
+
+
 @register("m9_pca_explained_variance")
 def m9_pca_explained_variance(spark, sf_dir):
     f = featured(spark, sf_dir)
@@ -75,52 +115,41 @@ def m9_pca_explained_variance(spark, sf_dir):
 
 @register("m10_kmeans_sweep")
 def m10_kmeans_sweep(spark, sf_dir):
-    f = featured(spark, sf_dir)
-    base, pca, _ev, _k = MD.pca_fit(f, MODEL_FEATURES)
-    pcs = pca.transform(base.transform(f)).select("pcs").persist()
-    res = MD.kmeans_sweep(pcs)
-    pcs.unpersist()
-    return spark.createDataFrame(res, "k int, inertia double, silhouette double")
+    """Lowest cost of the restarts and sampled Euclidean silhouette for each k; the chosen k is marked."""
+    rows, _base, _pca = CL.project(featured(spark, sf_dir), MODEL_FEATURES)
+    found = CL.sweep(rows.select("__id", "pcs"), "__id", restarts=_RESTARTS)
+    return spark.createDataFrame(found, "k int, inertia double, silhouette double, chosen boolean")
 
 
 @register("m17_pca_cluster_scoring")
 def m17_pca_cluster_scoring(spark, sf_dir):
-    from pyspark.ml.clustering import KMeans
-    f = featured(spark, sf_dir)
-    base, pca, _ev, _k = MD.pca_fit(f, MODEL_FEATURES)
-    pcs = pca.transform(base.transform(f))
-    km = KMeans(k=4, seed=42, featuresCol="pcs", predictionCol="cluster_id").fit(pcs)
-    out = km.transform(pcs)
-    arr = vector_to_array(F.col("pcs"))
-    return out.select(*HEAT_KEY, "cluster_id", arr[0].alias("pca_pc1"), arr[1].alias("pca_pc2"))
+    """Every batch scored by the saved clustering chain, with k from the sweep."""
+    f, path = featured(spark, sf_dir), scratch_path(spark, "clusters")
+    CL.fit_and_save(f, MODEL_FEATURES, path, restarts=_RESTARTS)
+    scored = CL.cluster_scorer(spark, path).apply(f.drop("cluster"))
+    return scored.select(*HEAT_KEY, F.col("cluster").alias("cluster_id"), "pca_pc1", "pca_pc2")
 
 
 @register("m30_cluster_profile_job")
 def m30_cluster_profile_job(spark, sf_dir):
-    from pyspark.ml.clustering import KMeans
-    f = featured(spark, sf_dir)
-    base, pca, _ev, _k = MD.pca_fit(f, MODEL_FEATURES)
-    pcs = pca.transform(base.transform(f))
-    out = KMeans(k=4, seed=42, featuresCol="pcs", predictionCol="cluster_id").fit(pcs).transform(pcs)
-    return out.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("batch_count"),
-                                         F.round(F.avg("defect"), 4).alias("defect_rate"),
-                                         *[F.round(F.avg(c), 4).alias(c) for c in ("c_", "si_", "s_", "tapping_temp")])
+    """The whole job: k from the sweep, k-means and DBSCAN labels, artefact, and a profile of each cluster."""
+    labelled, _found = CL.cluster_job(featured(spark, sf_dir), MODEL_FEATURES, scratch_path(spark, "clusters"), _RESTARTS, _RESTARTS)
+    return CL.cluster_profile(labelled, MODEL_FEATURES).withColumnRenamed("cluster", "cluster_id")
 
 
 @register("m18_model_leaderboard")
 def m18_model_leaderboard(spark, sf_dir):
-    train, test = _split(spark, sf_dir)
-    return MD.leaderboard(train, test, MODEL_FEATURES, HEAT_KEY, names=["logistic_regression", "random_forest"])
+    """All four candidates on the hold-out and in five folds; the best is saved, and the table is read back from its folder."""
+    return TR.train_and_save(spark, featured(spark, sf_dir), MODEL_FEATURES, HEAT_KEY, scratch_path(spark, "classifier"), _small_candidates)
 
 
 @register("m28_cross_validation")
 def m28_cross_validation(spark, sf_dir):
-    f = MD.with_class_weights(EV.stratified_folds(featured(spark, sf_dir), "defect", HEAT_KEY))
-    rows = None
-    for k in range(5):
-        train, test = f.where(F.col("fold") != k), f.where(F.col("fold") == k)
-        model = MD.fit_classifier(train, MODEL_FEATURES, MD.candidates(1)["logistic_regression"].setRegParam(1e-3))
-        m = EV.classification_metrics(MD.score(model, test, HEAT_KEY)).withColumn("fold", F.lit(k))
-        rows = m if rows is None else rows.unionByName(m)
-    return rows.agg(F.avg("roc_auc").alias("cv_auc_mean"), F.stddev_pop("roc_auc").alias("cv_auc_std"),
-                    F.avg("recall").alias("cv_recall_mean"), F.stddev_pop("recall").alias("cv_recall_std"))
+    """Mean and deviation over folds of the candidate with the best hold-out AUC, and its report on the whole table."""
+    f, path = featured(spark, sf_dir), scratch_path(spark, "classifier")
+    best = TR.train_and_save(spark, f, MODEL_FEATURES, HEAT_KEY, path, _quick_candidates, folds=0).where("selected").head()["model"]
+    frame = TR.training_frame(f, MODEL_FEATURES, "defect", HEAT_KEY)
+    oof = TR.out_of_fold(frame, MODEL_FEATURES, _quick_candidates(frame.count())[best])
+    p = F.col("defect_prob")
+    scored = TR.probability_scorer(spark, path).apply(frame)
+    return TR.validation_report(oof, scored.select(F.col("defect").alias("y"), (p >= 0.5).cast("int").alias("yhat")))

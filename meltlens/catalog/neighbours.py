@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import models as MD
 from ..operators import neighbours as NB
 from ..plans.registry import register
 from ..session import cut_lineage
+from ..operators.clustering import sampled_silhouettes
 from ..operators.dbscan import dbscan
 from ..operators.lof import lof_scores
 from ..sources.fixtures import EMBEDDING_DIMS, embedding_dims, heats, points3, points5, with_fixtures
@@ -30,6 +31,19 @@ def m11_silhouette_sq_euclidean(spark, sf_dir):
     return s.select("label", F.round("silhouette", 6).alias("silhouette"), "n")
 
 
+@register("m11_silhouette", with_fixtures(
+    f"""select round(avg(case when sz.n <= 1 then 0e0 else (ab.b - ab.a) / greatest(ab.a, ab.b) end), 6) as silhouette
+        from (select vec_id, ca, max(case when ca = cb then m end) as a, min(case when ca <> cb then m end) as b
+              from (select a.vec_id, a.label as ca, b.label as cb, avg(sqrt({_SQD})) as m
+                    from points5 a join points5 b on a.vec_id <> b.vec_id group by 1, 2, 3) per
+              group by 1, 2) ab join (select label, count(*) as n from points5 group by label) sz on ab.ca = sz.label""", "points5"))
+def m11_silhouette(spark, sf_dir):
+    """Mean Euclidean silhouette of a sample of 2,000 points held against all rows (here: of all points)."""
+    p = points5(spark, sf_dir).select("vec_id", "label", array_to_vector(F.array(*_X)).alias("v"))
+    found = sampled_silhouettes(p, "v", ["label"], "vec_id")["label"]
+    return spark.createDataFrame([(None if found is None else round(found, 6),)], "silhouette double")
+
+
 @register("m13_isolation_forest")
 def m13_isolation_forest(spark, sf_dir):
     p = embedding_dims(spark, sf_dir)

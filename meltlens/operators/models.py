@@ -40,20 +40,20 @@ def with_class_weights(df: DataFrame, label: str = "defect", name: str = "weight
     return attach(df, w, label, how="inner")
 
 
-def candidates(n_train: int, seed: int = config.SPLIT_SEED) -> dict[str, object]:
-    """M5-M8 with the reference hyper-parameters."""
+def candidates(n_train: int, seed: int = config.SPLIT_SEED, trees: int = 300, rounds: int = 300, step: float = 0.05) -> dict[str, object]:
+    """M5-M8, by default with the reference hyper-parameters; ``trees``, ``rounds`` and ``step`` size the ensembles."""
     return {
         "logistic_regression": LogisticRegression(
             featuresCol="features", labelCol="defect", weightCol="weight", maxIter=2000,
             regParam=1.0 / (0.5 * max(n_train, 1)), elasticNetParam=0.0, standardization=False),
         "random_forest": RandomForestClassifier(
-            featuresCol="features", labelCol="defect", weightCol="weight", numTrees=300, maxDepth=12,
+            featuresCol="features", labelCol="defect", weightCol="weight", numTrees=trees, maxDepth=12,
             minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=seed),
         "gradient_boosting": GBTClassifier(
-            featuresCol="features", labelCol="defect", maxIter=300, stepSize=0.05, maxDepth=5,
+            featuresCol="features", labelCol="defect", maxIter=rounds, stepSize=step, maxDepth=5,
             subsamplingRate=0.8, seed=seed),
         "randomized_forest": RandomForestClassifier(
-            featuresCol="features", labelCol="defect", weightCol="weight", numTrees=300, maxDepth=12,
+            featuresCol="features", labelCol="defect", weightCol="weight", numTrees=trees, maxDepth=12,
             minInstancesPerNode=5, featureSubsetStrategy="sqrt", bootstrap=False, seed=seed),
     }
 

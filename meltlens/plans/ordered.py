@@ -101,6 +101,29 @@ def row_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
     return out
 
 
+def with_positions(df: DataFrame, name: str = "position") -> DataFrame:
+    """``df`` with each row's place in the frame's own order (partitions in turn), from 0.
+
+    The frame is stored once; only a row count per partition is needed to place its rows, so
+    nothing is sorted and no window spans the table."""
+    kept = cut_lineage(df.withColumns({"__part": F.spark_partition_id(), "__id": F.monotonically_increasing_id()}))
+    parts = kept.groupBy("__part").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition, whatever the data's size
+    bases = parts.select("__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__base"))
+    placed = kept.join(F.broadcast(bases), "__part").withColumn(name, F.col("__base") + F.col("__id"))
+    return placed.select(*df.columns, name)
+
+
+def attach_by_position(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Row i of ``left`` beside row i of ``right``; rows without a partner are left out.
+
+    Columns of ``right`` that ``left`` has, too, get the suffix ``_right``."""
+    names = {c: f"{c}_right" for c in right.columns if c in left.columns}
+    other = with_positions(right.withColumnsRenamed(names), "__position")
+    return with_positions(left, "__position").join(other, "__position").drop("__position")
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import uuid
 from typing import Sequence
 
@@ -88,9 +89,40 @@ def export_capped(df: DataFrame, order: Sequence[str], n: int, path: str, fmt: s
     return write_table(df.orderBy(*order).limit(n), path, fmt)
 
 
+COMMITS = "version string, name string, committed_at long"
+
+
+def new_version(base: str) -> str:
+    """A folder below ``base`` that no reader sees before :func:`commit_version`."""
+    return f"{base.rstrip('/')}/version-{uuid.uuid4().hex}"
+
+
+def commit_version(spark: SparkSession, base: str, version: str, name: str) -> None:
+    """Append the version's row to the commit table: readers see a whole version or the one before."""
+    row = spark.createDataFrame([(version, name, time.time_ns())], COMMITS)
+    row.coalesce(1).write.mode("append").parquet(f"{base.rstrip('/')}/commits")
+
+
+def latest_version(spark: SparkSession, base: str) -> tuple[str, str] | None:
+    """(folder, name) of the version committed last; None before the first."""
+    if not path_exists(spark, f"{base.rstrip('/')}/commits"):
+        return None
+    row = spark.read.schema(COMMITS).parquet(f"{base.rstrip('/')}/commits").orderBy(F.desc("committed_at")).head()
+    return None if row is None else (row["version"], row["name"])
+
+
 def write_frames(frames: dict[str, DataFrame], base: str, fmt: str = "parquet") -> dict[str, str]:
-    """Named report frames, one directory per frame."""
-    return {name: write_table(df, os.path.join(base, name), fmt) for name, df in frames.items()}
+    """Named report frames, one directory per frame, committed together once all are written."""
+    spark, version = next(iter(frames.values())).sparkSession, new_version(base)
+    paths = {name: write_table(df, f"{version}/{name}", fmt) for name, df in frames.items()}
+    commit_version(spark, base, version, ",".join(frames))
+    return paths
+
+
+def read_frames(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """The frames of the report committed last; empty before the first."""
+    found = latest_version(spark, base)
+    return {} if found is None else {name: spark.read.parquet(f"{found[0]}/{name}") for name in found[1].split(",")}
 
 
 def sectioned_union(frames: dict[str, DataFrame]) -> DataFrame:
