@@ -12,9 +12,10 @@ blocks are kept, together with the firm blocks.
 Whole blocks of at least ``RUN`` tokens that stand on several pages of a host are
 judged by the other blocks beside them.  Where these differ, the block is a notice:
 it goes though it is firm, unless nothing else is left of its page.  Where they
-agree, the pages are copies of one article, and the block stays though its runs are
-repeated.  Pages are compared by the ``SKETCH`` smallest hashes of their blocks, and
-of each block's pages those that are furthest apart by two orders of these.
+agree, the pages are copies of one article, edited or not, and the block stays though its
+runs are repeated.  Pages are compared by the ``SKETCH`` smallest hashes of their 5-word
+shingles outside the block, and of each block's pages those that are furthest apart by
+two orders of these.
 
 Whether a suffix shares ``RUN`` tokens with another page's depends on its first
 ``RUN`` tokens alone, so the suffix array is needed to that depth only: suffixes
@@ -32,6 +33,7 @@ is there.
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import re
 from collections import Counter
@@ -50,14 +52,16 @@ RUN = 8
 #: Stands between the blocks of a stream: runs do not cross blocks.
 BREAK = "\x00"
 
-#: Block hashes by which pages are compared; a page's own block is one more.
-SKETCH = 16
+#: Words of a shingle and shingles of a page by which pages are compared.
+SHINGLE, SKETCH = 5, 64
+#: Common shares of two pages' shingles below which they are different, and from which on they are copies.
+DIFFERENT, EQUAL = 0.5, 0.8
 
 CHROME, OPEN, FIRM, BESIDE = 0, 1, 2, 3
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|title|textarea|iframe|xmp|noframes)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][^\s/><]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\"><])*+)>"
+    r"|<(?P<end>/?)(?P<name>[a-z][^\s/><]*)(?P<rest>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^><])*+)>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|<[a-z][^<>]*\Z", re.DOTALL | re.IGNORECASE)
 WORTH = re.compile(r"""(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
@@ -66,7 +70,7 @@ BLOCK = frozenset("""address article aside blockquote body caption center dd det
     figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search
     section select summary table tbody td tfoot th thead tr ul""".split())
 CHROME_TAGS = frozenset("""aside button canvas dialog fieldset footer form head header menu nav noscript object optgroup option
-    search select svg template math audio video""".split())
+    search select svg template audio video""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FIRM_TAGS = HEADINGS | frozenset("article blockquote caption dd dt figcaption li main p pre section td th".split())
 CHROME_WORDS = frozenset("""ad ads advert adverts advertisement advertising alert aside banner breadcrumb breadcrumbs comment
@@ -79,7 +83,10 @@ MAIN_WORDS = frozenset("main article articlebody".split())
 class Page:
     """Blocks (kind, text) of one page, in page order."""
 
-    def __init__(self, raw: str):
+    def __init__(self, raw: str, lift: bool = False):
+        #: whether an article is no chrome by the words of what it stands in
+        self.lift = lift
+        self.hidden_article = False
         self.blocks: list[tuple[int, str]] = []
         self.text: list[str] = []
         #: open elements: (name, inside chrome, inside article, nearest block element)
@@ -154,11 +161,16 @@ class Page:
         _, chrome, article, block = self.stack[-1] if self.stack else ("", False, False, "")
         if name in BLOCK:
             block = name
-        words = describe(rest) if rest else frozenset()
+        words, names = describe(rest, name) if rest else (frozenset(), frozenset())
         if name in ("article", "main") or words & MAIN_WORDS:
             article = True
+            if chrome and not any(tag in CHROME_TAGS for tag, *_ in self.stack):
+                self.hidden_article = True
+                chrome = not self.lift
         if name not in ("html", "body"):
-            chrome = chrome or name in CHROME_TAGS or bool(words & CHROME_WORDS) and not words & MAIN_WORDS
+            # a container of text is chrome by a whole name only: "comment", not "with-sidebar"
+            told = names if name in ("article", "main") else words
+            chrome = chrome or name in CHROME_TAGS or bool(told & CHROME_WORDS) and not words & MAIN_WORDS
             # the article's own title may stand in a header element
             if article and name in HEADINGS and not words & CHROME_WORDS and self.only_header_above():
                 chrome = False
@@ -196,39 +208,61 @@ SIBLINGS: dict[str, list[tuple[tuple[str, ...], frozenset[str]]]] = {
     "option": [(("option",), frozenset(["select"]))], "body": [(("head",), frozenset())]}
 
 
-def describe(rest: str) -> frozenset[str]:
-    """Words of the attributes that tell what an element is."""
+def describe(rest: str, tag: str) -> tuple[frozenset[str], frozenset[str]]:
+    """Words of the attributes that tell what an element is, and their whole names.  A section's id is an anchor: whole only."""
     words: set[str] = set()
+    names: set[str] = set()
     for name, value in WORTH.findall(rest):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(
                 r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             words.add("hidden")
+            names.add("hidden")
         elif name in ("class", "id", "role", "itemprop"):
-            words.update(re.split(r"[^a-z0-9]+", value))
-    return frozenset(words)
+            names.update(value.split())
+            words.update(value.split() if tag == "section" and name == "id" else re.split(r"[^a-z0-9]+", value))
+    return frozenset(words), frozenset(names)
+
+
+def read_page(raw: str) -> Page:
+    """The page; where every article stands in containers that only their words make chrome, these words don't count."""
+    page = Page(raw)
+    if not page.has_article and page.hidden_article:
+        return Page(raw, lift=True)
+    return page
+
+
+def shingle_sketch(blocks: list[str], units: list[int | None]) -> list[dict]:
+    """The SKETCH smallest hashes of a page's word shingles, each with the block it begins in."""
+    found: dict[int, int | None] = {}
+    for text, unit in zip(blocks, units):
+        words = text.split()
+        for i in range(max(len(words) - SHINGLE, 0) + 1):
+            found.setdefault(xxhash.xxh32_intdigest(" ".join(words[i:i + SHINGLE]).encode("utf-8", "surrogatepass")), unit)
+    return [{"at": h, "unit": found[h]} for h in heapq.nsmallest(SKETCH, found)]
 
 
 def read_pages(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """Columns id, url, host, text (pages without open blocks), blocks (the others), outside (tokens not firm), and
-    units: hashes of the firm and open blocks in page order (null: too short to be judged)."""
+    units: hashes of the firm and open blocks in page order (null: too short to be judged), and sketch: shingles of these."""
     host, _ = split_url(F.col(url_col))
     rows = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
     kind = dict(rows.dtypes)["id"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in row_batches(batches, 500):
-            pages = [Page(raw).blocks if raw else [] for raw in batch["html"]]
+            pages = [read_page(raw).blocks if raw else [] for raw in batch["html"]]
             loose = [any(k == OPEN for k, _ in page) for page in pages]
             out = batch[["id", "url", "host"]].copy()
             out["text"] = [None if is_open else "\n".join(t for k, t in page if k == FIRM) for page, is_open in zip(pages, loose)]
             out["blocks"] = [[{"kind": k, "text": t} for k, t in page] if is_open else None for page, is_open in zip(pages, loose)]
             out["units"] = [[block_hash(t) for k, t in page if k in (FIRM, OPEN)] for page in pages]
+            out["sketch"] = [shingle_sketch([t for k, t in page if k in (FIRM, OPEN)], units) for page, units in zip(pages, out["units"])]
             out["outside"] = [f" {BREAK} ".join(t for k, t in page if k != FIRM).split() for page in pages]
             yield out
 
     schema = (f"id {kind}, url string, host string, text string, blocks array<struct<kind:int,text:string>>, "
-              "units array<long>, outside array<string>")
+              "units array<long>, sketch array<struct<at:long,unit:long>>, outside array<string>")
     return rows.mapInPandas(read, schema)
 
 
@@ -242,27 +276,29 @@ def judged_blocks(read: DataFrame) -> DataFrame:
     """Columns page, notices, copies: the blocks of a page (by the hash of its host and units) that are notices, or of
     copied articles.  Only blocks that stand on several pages meet the sketches."""
     known = F.filter("units", lambda u: u.isNotNull())
-    pages = read.select("host", page_key().alias("page"), F.array_distinct(known).alias("units")).where(F.size("units") > 0)
+    pages = read.select("host", page_key().alias("page"), F.array_distinct(known).alias("units"), "sketch").where(F.size("units") > 0)
     each = pages.select("host", "page", F.explode("units").alias("unit"))
     repeated = (each.groupBy("host", "unit").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a <> b")
                 .select("host", "unit"))
     shared = stored(each.join(repeated, ["host", "unit"]).distinct(), "shared")
-    sketches = (pages.join(shared.select("page").distinct(), "page", "left_semi")
-                .select("page", F.slice(F.sort_array("units"), 1, SKETCH + 1).alias("sketch")).dropDuplicates(["page"]))
-    rest = F.array_remove("sketch", F.col("unit"))
-    sides = shared.join(sketches, "page").select("host", "unit", rest.alias("rest")).where(F.size("rest") > 0)
+    sketches = pages.join(shared.select("page").distinct(), "page", "left_semi").select("page", "sketch").dropDuplicates(["page"])
+    others = F.filter("sketch", lambda s: ~s["unit"].eqNullSafe(F.col("unit")))
+    sides = (shared.join(sketches, "page").select("host", "unit", F.transform(others, lambda s: s["at"]).alias("rest"))
+             .where(F.size("rest") > 0))
     order = [F.struct(F.array_min("rest").alias("at"), "rest"), F.struct(F.xxhash64(F.array_max("rest")).alias("at"), "rest")]
     ends = sides.groupBy("host", "unit").agg(
         F.count("*").alias("n"), *[end(o).alias(f"{name}{k}") for k, o in enumerate(order) for name, end in (("low", F.min), ("high", F.max))])
 
-    def apart(k: int) -> F.Column:
+    def share(k: int) -> F.Column:
+        """Common part of the two pages that are furthest apart by order k."""
         a, b = F.col(f"low{k}.rest"), F.col(f"high{k}.rest")
-        return 2 * F.size(F.array_intersect(a, b)) < F.least(F.size(a), F.size(b))
+        return F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))
 
-    verdict = ends.where("n > 1").select("host", "unit", (apart(0) | apart(1)).alias("notice"))
+    least = F.least(share(0), share(1))
+    verdict = ends.where("n > 1").select("host", "unit", (least < DIFFERENT).alias("notice"), (least >= EQUAL).alias("copy"))
     return (shared.join(verdict, ["host", "unit"]).groupBy("page")
             .agg(F.collect_set(F.when(F.col("notice"), F.col("unit"))).alias("notices"),
-                 F.collect_set(F.when(~F.col("notice"), F.col("unit"))).alias("copies")))
+                 F.collect_set(F.when(F.col("copy"), F.col("unit"))).alias("copies")))
 
 
 def page_key() -> F.Column:

@@ -18,6 +18,7 @@ result.  Texts are never shortened.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -29,7 +30,8 @@ from .common import scratch_path, table
 
 @dataclass(frozen=True)
 class Rule:
-    """``group`` must have ``min_chars`` characters for a match to count."""
+    """``group`` must have ``min_chars`` characters for a match to count.  ``plain`` is the pattern for engines
+    without possessive repeats, where it differs."""
 
     name: str
     version: int
@@ -38,6 +40,7 @@ class Rule:
     min_chars: int = 0
     base: bool = False
     screen: str = ""
+    plain: str = ""
 
     @property
     def key(self) -> str:
@@ -49,11 +52,23 @@ _ASSIGN = (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][E
 
 _PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
 _BASE64 = "[A-Za-z0-9+/]"
-#: A key is its header, and all up to its END line (no other run of dashes between), or else the base64 lines that
-#: follow, the last one of any length if it is a whole line.  The count of lines bounds the depth of Java's matcher.
-_KEY = (_PEM + r"(?:[^-]*(?:-[^-]+){0,200}-{5,6}END [A-Z ]{0,40}PRIVATE KEY-----"
-        r"|(?:\s*(?:Proc-Type|DEK-Info):[^\n]*)*(?:[\s\\\"'>#*|,;+]+" + _BASE64 * 12 + _BASE64 + r"*={0,2}){1,400}"
-        r"(?:[\\\"'>#*|,;+\t\x20]*\r?\n[>#*\t\x20]*" + _BASE64 + r"+={0,2}\s*(?:\n|\z))?)?")
+
+
+def _private_key(never_back: str) -> str:
+    """A key: its header, the lines that describe it, the base64 lines that follow with a shorter last one, and the END line.
+
+    ``never_back`` makes repeats possessive (``+``; Java then loops where it would recurse, so no
+    length is bounded) or plain (empty; for engines that need no such mark).  No repeat can take
+    what the next one needs, so both find the same spans."""
+    n = never_back
+    gap = r"[\s\\\"'>#*|,;]"
+    end = r"-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    named = rf"(?:\s*{n}(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*{n})*{n}"
+    lines = rf"(?:{gap}+{n}{_BASE64}{{12,}}{n}={{0,2}}{n})+{n}"
+    last = rf"(?:{gap}+{n}{_BASE64}{{1,11}}{n}={{0,2}}{n})?{n}{gap}*{n}{end}"
+    whole_line = rf"[\\\"'>#*|,;\t\x20]*{n}\r?\n[>#*\t\x20]*{n}{_BASE64}{{1,11}}{n}={{0,2}}{n}[\t\x20\r]*{n}(?:\n|\z)"
+    return rf"{_PEM}{named}(?:{lines}(?:{last}|{whole_line})?{n}|{gap}*{n}{end})?{n}"
+
 
 #: Order is the order of kinds.  A greedy run that is too short cannot hold a
 #: longer match, so access and hex carry their minimum in the pattern.
@@ -61,7 +76,7 @@ RULES = [
     Rule("assign", 1, _ASSIGN % "+", group=2, min_chars=6, base=True, screen=_ASSIGN % "{6,}"),
     Rule("access", 1, "AKIA[A-Z0-9]{16,}", base=True),
     Rule("hex", 1, "[0-9a-f]{24,}", base=True),
-    Rule("private_key", 2, _KEY, screen=_PEM),
+    Rule("private_key", 3, _private_key("+"), screen=_PEM, plain=_private_key("")),
     Rule("provider_token", 1, r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|glpat-[A-Za-z0-9_-]{20,})"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 ]
@@ -111,8 +126,10 @@ def find_spans(blobs: DataFrame, rules: list[Rule]) -> DataFrame:
 class Ledger:
     """Scanned (blob, rule version) pairs and their findings, one folder per batch.
 
-    A batch is written findings first, then its list of scanned blobs; a batch
-    without the list never counts, and writing a batch again replaces it.
+    Every batch gets a folder of its own, so nothing that was written is ever replaced, whatever
+    the batches are called.  Findings are written first, then the list of scanned blobs: a blob
+    whose batch was cut off between the two is scanned again, and findings that stand twice
+    count once.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -139,8 +156,9 @@ class Ledger:
         return joined.where(F.size("todo") > 0).drop("done")
 
     def add(self, batch: str, scanned: DataFrame, findings: DataFrame) -> None:
-        findings.write.mode("overwrite").parquet(f"{self.path}/findings/batch-{batch}")
-        scanned.write.mode("overwrite").parquet(f"{self.path}/scanned/batch-{batch}")
+        folder = f"batch-{batch}-{uuid.uuid4().hex}"
+        findings.write.parquet(f"{self.path}/findings/{folder}")
+        scanned.write.parquet(f"{self.path}/scanned/{folder}")
 
     def findings(self, rules: list[Rule]) -> DataFrame:
         """Findings of the given rule versions.  Batches can repeat a pair only with the same spans."""
@@ -236,7 +254,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_rule(at: int, rule: Rule) -> str:
-    pattern = rule.pattern.replace("'", "''")
+    pattern = (rule.plain or rule.pattern).replace("'", "''")
     return f"""
   select rid, {at} as kind_at, '{rule.name}' as kind, unnest(range(1, len(m) + 1)) as i, m, g, s,
          {rule.min_chars} as least, {'true' if rule.base else 'false'} as base

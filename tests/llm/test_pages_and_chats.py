@@ -28,6 +28,41 @@ def test_article_blocks(spark):
     assert hx.extract_text(df.limit(0)).count() == 0
 
 
+def test_containers_and_markup_of_articles(spark):
+    """Words of a container don't take the article with it; quotes in bare values and formulas are read right."""
+    kept = {
+        '<main class="with-sidebar"><p>text one</p></main>': "text one",
+        '<div class="page sidebar-right"><article><p>text two</p></article></div>': "text two",
+        '<article class="share-holder-news"><p>text three</p></article>': "text three",
+        '<article><section id="related-work"><h2>Head</h2><p>text four</p></section></article>': "Head\ntext four",
+        "<article><p title=it's>text five</p><p>it's</p></article>": "text five\nit's",
+        '<article><p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p></article>': "let x=1 be",
+        '<article><p a="1>2" b=\'<p>\'>text six</p></article>': "text six",
+        # chrome all the same
+        '<article><p>own</p></article><div class="comments"><article class="comment"><p>no</p></article></div>': "own",
+        '<article><p>own</p><section id="comments"><p>no</p></section><div class="related-posts"><p>no</p></div></article>': "own",
+        '<article><p>own</p></article><aside><article><p>no</p></article></aside>': "own",
+        '<article><p>own</p></article><div class="related"><article><p>no</p></article></div>': "own"}
+    df = spark.createDataFrame([(k, f"http://h{k}.org/", "<body>" + h + "</body>") for k, h in enumerate(kept)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in hx.extract_text(df).collect()} == dict(enumerate(kept.values()))
+
+
+def test_edited_copies_keep_what_they_share(spark):
+    """Paragraphs that two edited copies have in common stay; a notice in otherwise different articles goes."""
+    notice = "please accept all of our new terms before you read on today"
+    words = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    paragraphs = [words(f"p{i}x", 40) for i in range(6)]
+    page = lambda parts: "<article>" + "".join(f"<p>{p}</p>" for p in parts) + "</article>"
+    rows = []
+    for copy in range(4):
+        mine = [p if i % 3 else p.replace(f"p{i}x{7 + copy} ", f"edit{copy} ") for i, p in enumerate(paragraphs)]
+        rows.append((copy, mine))
+    rows += [(10 + k, [words(f"own{k}a", 40), notice, words(f"own{k}b", 40)]) for k in range(4)]
+    df = spark.createDataFrame([(k, "http://h.org/", page(parts)) for k, parts in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in hx.extract_text(df).collect()}
+    assert got == {k: "\n".join(p for p in parts if p != notice) for k, parts in rows}
+
+
 def test_repeated_runs_of_a_host_go(spark):
     """Without an article container, runs that different pages of the host share are boilerplate."""
     menu, legal = " ".join(f"m{k}" for k in range(9)), " ".join(f"l{k}" for k in range(20))

@@ -166,6 +166,40 @@ def test_private_key_bodies_are_masked(spark):
     assert ss.redact(long).first().text.startswith("[SECRET]")
 
 
+def test_keys_of_any_length_and_header_lines(spark):
+    """No bound on lines, and no recursion that a long run of lines could overflow."""
+    line, begin = "A" * 64, "-----BEGIN PRIVATE KEY-----"
+    texts = [f"{begin}\n" + "Proc-Type: 4,ENCRYPTED\n" * 100_000 + "\nand so on", f"{begin}\n" + f"{line}\n" * 2_000 + "\nwords here",
+             f"{begin}\n" + f"{line}\n" * 100_000 + "-----END PRIVATE KEY-----", begin + "-" * 200_000, begin + "\n" * 200_000 + "x",
+             f"a mention of {begin} and much later\n\nmore - and - more\n\n-----END PRIVATE KEY----- stays"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in ss.redact(df).collect()}
+    assert got[0] == "[SECRET]\n\nand so on" and got[1] == "[SECRET]\n\nwords here" and got[2] == "[SECRET]"
+    assert got[3] == "[SECRET]" + "-" * 200_000 and got[4] == "[SECRET]" + "\n" * 200_000 + "x"
+    assert got[5] == texts[5].replace(begin, "[SECRET]")
+
+
+def test_ledger_keeps_findings_of_every_batch(spark, leaks, tmp_path, monkeypatch):
+    """The same batch name again, and a run cut off between findings and list, lose nothing."""
+    path = str(tmp_path / "ledger")
+    want = {str(r.doc_id): len(brute_spans(r.text)) for r in leaks.collect()}
+    for part in (leaks.where("doc_id < 5"), leaks, leaks):
+        found = ss.scan_versions(part, path).collect()
+        assert all(len(r.spans or []) == want[str(r.path)] for r in found)
+    cut = str(tmp_path / "cut")
+    unseen = ss.Ledger.unseen
+
+    def stopped(self, batch, scanned, findings):
+        findings.write.parquet(f"{self.path}/findings/batch-cut")
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(ss.Ledger, "add", stopped)
+        with pytest.raises(RuntimeError):
+            ss.scan_versions(leaks, cut)
+    assert {str(r.path): len(r.spans or []) for r in ss.scan_versions(leaks, cut).collect()} == want and unseen is ss.Ledger.unseen
+
+
 @pytest.mark.parametrize("shipped", [True, False])
 def test_url_list_from_a_table(spark, shipped, monkeypatch):
     """A list of 100,000 hosts decides, also for hosts that no example names."""
