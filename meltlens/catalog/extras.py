@@ -1,5 +1,5 @@
 """Remaining inventory rows: C18, A21, A27, A30, A31, A33, A39, W3, W4, W7,
-M29, M31-M33, S2, S5, S11, S12, S14, S17, H14/H15."""
+M29, M31-M33, S2, S5, S14, S17, H14/H15."""
 
 from __future__ import annotations
 
@@ -279,35 +279,6 @@ def s5_first_labelled_source(spark, sf_dir):
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("defect").alias("n_defect"))
 
 
-@register("s11_cleaning_report", with_fixtures(
-    """select 'impossible' as section, 'pouring_temp' as item,
-         cast(count(*) filter (where p < 1.2e3 or p > 1.6e3) as varchar) as value from (select
-         case when regexp_full_match(trim(pouring_temp), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$')
-         then cast(trim(pouring_temp) as double) end as p from heats_raw)
-       union all select 'shape', 'rows', cast(count(*) as varchar) from heats_raw""", "heats_raw"))
-def s11_cleaning_report(spark, sf_dir):
-    from ..functions.scalar import sentinel_to_numeric
-    h = heats_raw(spark, sf_dir)
-    t = h.select(sentinel_to_numeric(F.col("pouring_temp")).alias("pouring_temp"))
-    cnt = C.impossible_counts(t).first()["n_impossible"]
-    n = h.count()
-    return IO.metrics_frame(spark, [("impossible", "pouring_temp", cnt), ("shape", "rows", n)])
-
-
-@register("s12_validation_report", with_fixtures(
-    """select 'kpi' as section, 'defect_rate' as item, cast(round(avg(defect), 6) as varchar) as value from heats
-       union all select 'anomaly', 'flag_rate', cast(round(avg(case when anomaly_score >= 6e-1 then 1e0 else 0e0 end), 6)
-         as varchar) from heats""", "heats"))
-def s12_validation_report(spark, sf_dir):
-    h = heats(spark, sf_dir)
-    a = h.agg(F.round(F.avg("defect"), 6).alias("v")).select(F.lit("kpi").alias("section"),
-                                                             F.lit("defect_rate").alias("item"),
-                                                             F.col("v").cast("string").alias("value"))
-    b = h.agg(F.round(F.avg((F.col("anomaly_score") >= 0.6).cast("double")), 6).alias("v")).select(
-        F.lit("anomaly").alias("section"), F.lit("flag_rate").alias("item"), F.col("v").cast("string").alias("value"))
-    return a.unionByName(b)
-
-
 @register("s14_model_save_load")
 def s14_model_save_load(spark, sf_dir):
     from pyspark.ml import PipelineModel

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from ..operators import decisions as D
+from ..operators import reports as RP
 from ..plans.registry import register
 from ..sources import io as IO
 from ..sources.fixtures import HEAT_KEY, heats, heats_raw, with_fixtures
@@ -99,26 +99,13 @@ def s16_template_rows(spark, sf_dir):
     return IO.template_rows(stats, {"healthy": {"s_": 0.015}, "defective": {"s_": 0.03}})
 
 
-@register("s9_report_frames", with_fixtures(
-    "select 'summary' as frame, count(*) as n_rows from (select 1 from heats group by defect) "
-    "union all select 'top_anomalies', 25", "heats"))
-def s9_report_frames(spark, sf_dir):
-    base = IO.scratch_path(spark, "report")
-    h = heats(spark, sf_dir)
-    frames = {"summary": h.groupBy("defect").agg(F.count(F.lit(1)).alias("n")),
-              "top_anomalies": h.orderBy(F.desc("anomaly_score"), *HEAT_KEY).limit(25).select(*HEAT_KEY, "anomaly_score")}
-    paths = IO.write_frames(frames, base)
-    parts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("frame"), "n_rows")
-             for n, p in paths.items()]
-    return parts[0].unionByName(parts[1])
-
-
 @register("s7_decision_guarded_export", decided_sql(
     f"select {KEY}, risk_level, recommendation, final_risk_score from final"))
 def s7_decision_guarded_export(spark, sf_dir):
     from .core import decided
     path = IO.scratch_path(spark, "guarded")
-    d = D.ensure_decisions(decided(spark, sf_dir))
+    d = decided(spark, sf_dir)
+    d = RP.export_frame(d.select("*", F.col("furnace"), F.col("cluster")))  # repeated columns go before the export
     IO.write_table(d.select(*HEAT_KEY, "risk_level", "recommendation", "final_risk_score"), path)
     return spark.read.parquet(path)
 

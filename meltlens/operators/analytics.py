@@ -42,6 +42,22 @@ def class_mean_differences(df: DataFrame, columns: Sequence[str], label: str = "
     return unpivot(wide, columns, "parameter", "abs_mean_diff")
 
 
+def defect_drivers(df: DataFrame, columns: Sequence[str], label: str = "defect", prob: str = "defect_prob") -> DataFrame:
+    """``parameter, impact``: the absolute difference of class means where the label has both classes,
+    else the absolute correlation with the probability; one aggregate holds both, and the plan picks."""
+    y = F.coalesce(F.col(label).cast("int"), F.lit(0))
+    given = F.col(label).isNotNull()
+    aggs = [((F.min(F.when(given, y)) == 0) & (F.max(F.when(given, y)) == 1)).alias("__both")]
+    for i, c in enumerate(columns):
+        x = F.col(c).cast("double")
+        aggs += [F.abs(F.avg(F.when(y == 1, x)) - F.avg(F.when(y == 0, x))).alias(f"d{i}"),
+                 F.abs(F.corr(x, F.col(prob).cast("double"))).alias(f"r{i}")]
+    wide = df.agg(*aggs)
+    both = F.coalesce(F.col("__both"), F.lit(False))
+    return unpivot(wide.select(*[F.when(both, F.col(f"d{i}")).otherwise(F.col(f"r{i}")).alias(c) for i, c in enumerate(columns)]),
+                   columns, "parameter", "impact")
+
+
 def target_correlations(df: DataFrame, columns: Sequence[str], target: str = "defect") -> DataFrame:
     """Pearson correlation of every column with the target, one aggregate."""
     wide = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in columns])

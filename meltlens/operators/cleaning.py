@@ -239,14 +239,24 @@ class CleaningReport:
     categorical_columns: list[str] = field(default_factory=list)
     dropped_missing: list[str] = field(default_factory=list)
     n_rows: int = 0
-
-
-def clean_table(df: DataFrame, key_cols: Sequence[str] = (), dedupe: bool = True) -> tuple[DataFrame, DataFrame, CleaningReport]:
+    # filled for a report only: header pairs, rows left after each drop, and counts per value or column
+    mapping: list[tuple[str, str]] = field(default_factory=list)
+    leakage_columns: list[str] = field(default_factory=list)
+    n_filled: int = 0
+    n_distinct: int = 0
+    target_counts: list[tuple[int, int]] = field(default_factory=list)
+    missing: list[tuple[str, str]] = field(default_factory=list)
+    impossible: list[tuple[str, int]] = field(default_factory=list)
+
+
+def clean_table(df: DataFrame, key_cols: Sequence[str] = (), dedupe: bool = True,
+                report: bool = False) -> tuple[DataFrame, DataFrame, CleaningReport]:
     """Offline cleaning order: rename -> drop empty -> dedup -> target ->
     trace/leakage split -> numeric typing -> missing drop -> impute ->
     impossible -> impute -> IQR clip -> mode fill.
 
     Returns ``(clean, trace, report)``; ``key_cols`` pass through untouched.
+    With ``report`` the counts of every step are taken, too.
     """
     rep = CleaningReport()
     keys = list(key_cols)
@@ -254,9 +264,15 @@ def clean_table(df: DataFrame, key_cols: Sequence[str] = (), dedupe: bool = True
     data_cols = H.suffix_duplicates([H.clean_header_offline(c) for c in others], reserved=keys)
     df = df.select(*keys, *others).toDF(*keys, *data_cols)
     df = df.na.drop(how="all", subset=data_cols)
+    rep.mapping = list(zip(others, data_cols))
+    if report:
+        rep.n_filled = df.count()
     df, rep.empty_columns = drop_empty_columns(df)
     if dedupe:
         df = drop_duplicate_rows(df)
+    if report:
+        df = cut_lineage(df)  # counted before rows without a target go
+        rep.n_distinct = df.count()
     df = drop_null_target(H.promote_target(df))
     # every later step (profile, three statistics passes, the final write)
     # reads this frame: materialise it once instead of repeating the
@@ -269,6 +285,7 @@ def clean_table(df: DataFrame, key_cols: Sequence[str] = (), dedupe: bool = True
     rep.n_rows = int(prof["__n"])
     trace += [c for c in strings if (prof[f"{c}__frac"] or 0.0) < config.TRACE_NUMERIC_FRACTION]
     trace_df = df.select(*keys, *trace, "defect")
+    rep.leakage_columns = [c for c in df.columns if c in config.LEAKAGE_COLUMNS]
     df = H.drop_leakage(df)
     ml = [c for c in df.columns if c not in trace]
     numeric, categorical = [], []
@@ -287,9 +304,16 @@ def clean_table(df: DataFrame, key_cols: Sequence[str] = (), dedupe: bool = True
     n = max(rep.n_rows, 1)
     dropped = [c for c in numeric if c in strings and prof[f"{c}__miss"] / n > config.MISSING_DROP_FRACTION]
     rep.dropped_missing = dropped
+    if report:
+        counts = df.groupBy("defect").agg(F.count(F.lit(1)).alias("n")).orderBy("defect").collect()  # one row per class
+        rep.target_counts = [(r["defect"], r["n"]) for r in counts]
+        lost = missing_profile(typed, numeric).orderBy(F.desc("n_missing"), "column") if numeric else None
+        rep.missing = [(r["column"], f"{r['n_missing']} ({r['pct_missing']:.1f}%)") for r in lost.collect()] if numeric else []
     numeric = [c for c in numeric if c not in dropped]
     typed = typed.drop(*dropped)
     x = impute_median(typed, numeric)
+    if report and set(x.columns) & set(config.IMPOSSIBLE_RANGES):
+        rep.impossible = [(r["column"], r["n_impossible"]) for r in impossible_counts(x).collect()]  # one row per column
     x = null_impossible(x)
     x = impute_median(x, numeric)
     x = clip_iqr(x, numeric)

@@ -24,6 +24,7 @@ from ..plans.ordered import exact_quantiles, running_totals, with_positions
 from ..session import cut_lineage
 from ..sources.io import (commit_version, latest_version, load_feature_schema, load_fill_values, new_version, save_feature_schema,
                           save_fill_values)
+from . import analytics as AN
 from . import evaluation as EV
 from . import models as MD
 from .upload import Scorer
@@ -135,6 +136,13 @@ def validation_report(oof: DataFrame, whole: DataFrame) -> DataFrame:
     return cv.unionByName(per_class.where("value is not null"))
 
 
+def fold_spread(oof: DataFrame, metrics: Sequence[str] = ("roc_auc", "recall", "f1")) -> DataFrame:
+    """``metric, min, q1, median, q3, max, n`` of the folds' scores, of ``oof(fold, y, p, yhat)``."""
+    scores = metrics_by(oof, ["fold"])
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("score")) for m in metrics])
+    return AN.five_number_summary(scores.select(F.explode(cells).alias("r")).select("r.*").where("score is not null"), "score", "metric")
+
+
 # ---------------------------------------------------------------------------
 # permutation importance
 # ---------------------------------------------------------------------------

@@ -31,5 +31,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every catalog module (each registers its queries on import)."""
     from ..catalog import (  # noqa: F401
-        core, cleaning, analytics, evaluation, models, neighbours, sources_sinks, schema_ops, extras,
+        core, cleaning, analytics, evaluation, models, neighbours, sources_sinks, schema_ops, extras, reports,
     )

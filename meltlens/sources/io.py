@@ -10,7 +10,7 @@ import json
 import os
 import time
 import uuid
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,10 +111,16 @@ def latest_version(spark: SparkSession, base: str) -> tuple[str, str] | None:
     return None if row is None else (row["version"], row["name"])
 
 
-def write_frames(frames: dict[str, DataFrame], base: str, fmt: str = "parquet") -> dict[str, str]:
-    """Named report frames, one directory per frame, committed together once all are written."""
+def write_frames(frames: dict[str, DataFrame | Callable], base: str, fmt: str = "parquet") -> dict[str, str]:
+    """Named report frames, one directory per frame, committed together once all are written.
+
+    A frame given as a function is made from the frames written before it; the first one is a frame."""
     spark, version = next(iter(frames.values())).sparkSession, new_version(base)
-    paths = {name: write_table(df, f"{version}/{name}", fmt) for name, df in frames.items()}
+    paths: dict[str, str] = {}
+    done: dict[str, DataFrame] = {}
+    for name, frame in frames.items():
+        paths[name] = write_table(frame(done) if callable(frame) else frame, f"{version}/{name}", fmt)
+        done[name] = spark.read.format(fmt).load(paths[name])
     commit_version(spark, base, version, ",".join(frames))
     return paths
 
@@ -152,6 +158,22 @@ def load_feature_schema(spark: SparkSession, path: str) -> list[str]:
     return [r["name"] for r in df.orderBy("ordinal").collect()]  # metadata: one row per feature
 
 
+def publish_schema(spark: SparkSession, names: Sequence[str], base: str, name: str) -> str:
+    """A new version of a feature contract, seen by readers once it is whole."""
+    version = new_version(base)
+    save_feature_schema(spark, names, f"{version}/features")
+    commit_version(spark, base, version, name)
+    return version
+
+
+def published_schema(spark: SparkSession, base: str) -> list[str]:
+    """The names of the contract published last."""
+    found = latest_version(spark, base)
+    if found is None:
+        raise FileNotFoundError(f"no feature contract published below {base}")
+    return load_feature_schema(spark, f"{found[0]}/features")
+
+
 def save_fill_values(spark: SparkSession, fills: dict[str, float], path: str) -> str:
     """Training fill values as a one-row table."""
     df = spark.createDataFrame([tuple(float(v) for v in fills.values())],
