@@ -8,6 +8,7 @@ from .. import config
 from ..functions.scalar import clamp01_scalar, label_of, rank_of, severity_from_score, severity_rank
 from ..operators import analytics as AN
 from ..operators import decisions as D
+from ..operators import evaluation as EV
 from ..operators import windows as W
 from ..plans.ordered import attach_by_position
 from ..plans.registry import register
@@ -512,11 +513,7 @@ def a38_session_summary(spark, sf_dir):
 def a40_status_bands(spark, sf_dir):
     """Each stability score with its band."""
     s = AN.unpivot(featured(spark, sf_dir).agg(*stability_scores()), _STABILITY, "name", "v")
-    return s.select("name", _r(F.col("v")).alias("value"), status_band(F.col("v"), 0.7, 0.5).alias("status"))
-
-
-def status_band(value: F.Column, good: float, warn: float) -> F.Column:
-    return F.when(value >= good, "good").when(value >= warn, "warn").otherwise("poor")
+    return s.select("name", _r(F.col("v")).alias("value"), EV.status_band(F.col("v"), 0.7, 0.5).alias("status"))
 
 
 @register("a41_recommendation_kpis", decided_sql(

@@ -60,12 +60,15 @@ def c1_drop_empty_columns(spark, sf_dir):
 
 
 @register("c2_dedupe_rows", with_fixtures(
-    "select count(*) as n_rows from (select distinct l_linenumber, l_linestatus, l_returnflag from lineitem)",
-    "heats"))
+    """select count(*) as n_rows, cast(sum(n - 1) as bigint) as n_removed, count(*) filter (where furnace is null) as n_null_furnace from (
+      select l_partkey % 50 as p, l_suppkey, tapping_temp, pouring_temp, mg_recovery, furnace, empty_col, defected, count(*) as n from heats_raw
+      group by all)""", "heats_raw"))
 def c2_dedupe_rows(spark, sf_dir):
-    from ..sources.tables import read_table
-    li = read_table(spark, sf_dir, "lineitem").select("l_linenumber", "l_linestatus", "l_returnflag")
-    return C.drop_duplicate_rows(li).agg(F.count(F.lit(1)).alias("n_rows"))
+    """Whole raw rows without their keys (which make them unique), NULLs included: kept rows and removed copies."""
+    raw = heats_raw(spark, sf_dir)
+    rows = raw.select((F.col("l_partkey") % 50).alias("p"), "l_suppkey", *[c for c in raw.columns if c not in HEAT_KEY])
+    return C.count_duplicate_rows(rows).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("n_copies") - 1).alias("n_removed"),
+                                            F.count_if(F.col("furnace").isNull()).alias("n_null_furnace"))
 
 
 @register("c3_drop_null_target", with_fixtures(
@@ -268,6 +271,57 @@ def c23_severity_filter(spark, sf_dir):
     return h.where(sev.isin("HIGH RISK", "CRITICAL")).agg(F.count(F.lit(1)).alias("n_batches"))
 
 
+_HEALTHY = "select * from final where defect = 1"
+
+
+@register("c23_row_filters", decided_sql(
+    "select name, count(*) as n_batches, cast(sum(l_orderkey) as bigint) as key_sum from ("
+    "select 'all' as name, l_orderkey from final union all "
+    "select 'severity CRITICAL', l_orderkey from final where anomaly_score >= 8e-1 union all "
+    "select 'risk HIGH', l_orderkey from final where risk_level = 'HIGH' union all "
+    "select 'high or critical', l_orderkey from final where risk_level in ('HIGH', 'CRITICAL') union all "
+    "select 'cluster 2', l_orderkey from final where cluster = 2 union all "
+    "select 'healthy by label', l_orderkey from final where defect = 0 union all "
+    f"select 'healthy by probability', l_orderkey from ({_HEALTHY}) where defect_prob < 5e-1 union all "
+    f"select 'healthy unknown', l_orderkey from ({_HEALTHY}) where defect_prob >= 5e-1) group by name"))
+def c23_row_filters(spark, sf_dir):
+    """Every row filter; the healthy subset on a fleet with sound batches, one without, and one without likely ones either."""
+    d = decided_rows(spark, sf_dir)
+    bad = d.where("defect = 1")
+    frames = {"all": C.rows_with(d, "risk_level", "ALL"), "severity CRITICAL": C.rows_with(d, "anomaly_severity", "CRITICAL"),
+              "risk HIGH": C.rows_with(d, "risk_level", "HIGH"), "high or critical": C.high_risk_rows(d), "cluster 2": C.cluster_rows(d, 2),
+              "healthy by label": C.healthy_rows(d), "healthy by probability": C.healthy_rows(bad),
+              "healthy unknown": C.healthy_rows(bad.where("defect_prob >= 5e-1"))}
+    out = None
+    for name, df in frames.items():
+        part = df.agg(F.count(F.lit(1)).alias("n_batches"), F.sum("l_orderkey").alias("key_sum")).select(F.lit(name).alias("name"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def decided_rows(spark, sf_dir):
+    """Decided batches with their severities, stored once for the filters."""
+    from ..operators.analytics import with_severity
+    from ..sources import io as IO
+    from .core import decided
+    path = IO.scratch_path(spark, "decided")
+    d = with_severity(decided(spark, sf_dir)).select("l_orderkey", "defect", "cluster", "defect_prob", "anomaly_severity", "risk_level")
+    return spark.read.parquet(IO.write_table(d, path))
+
+
+@register("c21_safe_frame", with_fixtures(
+    f"select {KEY}, furnace, empty_col, coalesce(t, (select median(t) from n), 0e0) as tapping_temp, "
+    "coalesce(p, (select median(p) from n), 0e0) as pouring_temp, coalesce(m, (select median(m) from n), 0e0) as mg_recovery, "
+    "coalesce(d, (select median(d) from n), 0e0) as defected, coalesce(cast(cl as int), 0) as cluster, 0e0 as anomaly_score, "
+    "0e0 as defect_prob, 0e0 as pca_pc1, 0e0 as pca_pc2 from n", "heats_raw", ctes={
+        "n": f"select *, {num_sql('tapping_temp', True)} as t, {num_sql('pouring_temp', True)} as p, {num_sql('mg_recovery', True)} as m, "
+             f"{num_sql('defected', True)} as d, case when l_linenumber = 7 then null else l_linenumber end as cl from heats_raw"}))
+def c21_safe_frame(spark, sf_dir):
+    """The online frame cleaner on raw rows with a repeated column and clusters that are partly unknown."""
+    raw = heats_raw(spark, sf_dir).withColumn("cluster", F.when(F.col("l_linenumber") != 7, F.col("l_linenumber").cast("double")))
+    return C.safe_frame(raw.select("*", F.lit("second").alias("furnace")))
+
+
 @register("c24_batch_label", with_fixtures(
     f"select {KEY}, coalesce(case when length(trim(furnace)) > 0 then furnace end, "
     "'Row ' || cast(l_orderkey as varchar)) as batch_label from heats_raw", "heats_raw"))

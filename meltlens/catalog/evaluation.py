@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as EV
 from ..plans.registry import register
-from ..sources.fixtures import HEAT_KEY, preds, with_fixtures
+from ..sources.fixtures import HEAT_KEY, heats, preds, with_fixtures
 from .sqlparts import KEY
 
 _H = ("((42 + (l_orderkey % 1000003) * 2654435761 + (l_linenumber % 1000003) * 40503 + (l_partkey % 1000003) * 97 + l_suppkey % 1000003) % 1000003)")
@@ -132,12 +132,48 @@ def m26_confidence_bands(spark, sf_dir):
 
 @register("m27_model_health", with_fixtures(
     """select round(fp * 1e0 / (fp + tn), 9) as false_alarm_rate, round(fn * 1e0 / (fn + tp), 9) as missed_defect_rate,
-         round((select avg(case when greatest(p, 1e0 - p) >= 8.5e-1 then 1e0 else 0e0 end) from preds), 9)
-           as high_confidence_share from conf""", "preds", ctes={"conf": _CONF}))
+         round((tp + fn) * 1e0 / n, 9) as defect_share, round(sure * 1e0 / n, 9) as high_confidence_share, unsure as n_low_confidence,
+         tp as defects_caught, n - fp as decisions_protected, round(1e0 - fp * 1e0 / (fp + tn), 9) as false_alarm_reduction,
+         round(least(9.9e1, (tp * 1e0 / (tp + fp)) * (tp * 1e0 / (tp + fn)) * 1e2), 9) as quality_improvement
+       from conf, (select count(*) as n, count(*) filter (where greatest(p, 1e0 - p) >= 8.5e-1) as sure,
+                     count(*) filter (where greatest(p, 1e0 - p) < 6.5e-1) as unsure from preds)""", "preds", ctes={"conf": _CONF}))
 def m27_model_health(spark, sf_dir):
-    pr = preds(spark, sf_dir)
-    c = EV.confusion_counts(pr)
-    hc = pr.agg(F.avg((F.greatest(F.col("p"), 1 - F.col("p")) >= 0.85).cast("double")).alias("h"))
-    return c.crossJoin(hc).select(_r(F.col("false_alarm_rate")).alias("false_alarm_rate"),
-                                  _r(F.col("missed_defect_rate")).alias("missed_defect_rate"),
-                                  _r(F.col("h")).alias("high_confidence_share"))
+    h = EV.health_scalars(preds(spark, sf_dir))
+    return h.select(*[_r(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in h.dtypes])
+
+
+_CARDS = {"accuracy": ("(tp + tn) * 1e0 / (tp + tn + fp + fn)", "v"), "precision": ("tp * 1e0 / (tp + fp)", "v"),
+          "recall": ("tp * 1e0 / (tp + fn)", "v"), "f1": ("2e0 * tp / (2 * tp + fp + fn)", "v"), "roc_auc": ("(select roc_auc from auc)", "v"),
+          "false_alarm_rate": ("fp * 1e0 / (fp + tn)", "1e0 - v"), "missed_defect_rate": ("fn * 1e0 / (fn + tp)", "1e0 - v")}
+
+
+@register("a40_metric_cards", with_fixtures(
+    " union all ".join(f"select '{m}' as metric, round(v, 9) as value, case when {seen} >= {EV.METRIC_BANDS[m][0]:e} then 'good' "
+                       f"when {seen} >= {EV.METRIC_BANDS[m][1]:e} then 'warn' else 'poor' end as status from (select {expr} as v from conf)"
+                       for m, (expr, seen) in _CARDS.items()), "preds", ctes={"conf": _CONF, "auc": _AUC}))
+def a40_metric_cards(spark, sf_dir):
+    return EV.metric_cards(preds(spark, sf_dir)).select("metric", _r(F.col("value")).alias("value"), "status")
+
+
+_SIGNALS = {"probability": "defect_prob", "anomaly": "anomaly_score", "magnesium": "1e0 - least(1e0, mg_recovery_)"}
+
+
+@register("w7_model_leaderboard", with_fixtures(
+    "select model, n, round(accuracy, 9) as accuracy, round(recall, 9) as recall, round(roc_auc, 9) as roc_auc, "
+    "row_number() over (order by roc_auc desc, model) as rank, row_number() over (order by roc_auc desc, model) = 1 as selected from ("
+    "select model, count(*) as n, avg(case when y = yhat then 1e0 else 0e0 end) as accuracy, sum(y*yhat) * 1e0 / sum(y) as recall, "
+    "(sum(rk) filter (where y = 1) - sum(y) * (sum(y) + 1) / 2e0) / (sum(y) * cast(sum(1 - y) as double)) as roc_auc from ranked group by model)",
+    "heats", ctes={
+        "scored": " union all ".join(f"select '{m}' as model, defect as y, {p} as p from heats" for m, p in _SIGNALS.items()),
+        "ranked": "select *, case when p >= 5e-1 then 1 else 0 end as yhat, rank() over (partition by model order by p) "
+                  "+ (count(*) over (partition by model, p) - 1) / 2e0 as rk from scored"}))
+def w7_model_leaderboard(spark, sf_dir):
+    """The row signals as competing models of the defect label: metrics in one grouped job, ranked, the best marked."""
+    from ..operators.training import metrics_by
+    h = heats(spark, sf_dir)
+    p = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.expr(e).alias("p")) for m, e in _SIGNALS.items()]))
+    long = h.select(F.col("defect").alias("y"), p.alias("s")).select("y", "s.*").withColumn("yhat", (F.col("p") >= 0.5).cast("int"))
+    board = EV.leaderboard(metrics_by(long, ["model"]))
+    return board.select("model", "n", *[_r(F.col(c)).alias(c) for c in ("accuracy", "recall", "roc_auc")], "rank", "selected")
+
+

@@ -158,3 +158,21 @@ def h18_column_groups(spark, sf_dir):
             tot = tot + F.col(c)
         parts.append(F.struct(F.lit(name).alias("column_group"), F.round(F.avg(tot), 9).alias("mean_group_sum")))
     return h.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+
+
+@register("h18_missing_reason", with_fixtures(
+    """select 'chemistry' as label, round(avg(c_ + si_ + mn_ + p__ + s_), 9) as mean_sum, cast(null as varchar) as reason from heats
+    union all select 'process', round(avg(c_ + si_ + mn_ + p__ + s_ + tapping_temp + pouring_temp + mg_recovery_ + anomaly_score + defect_prob), 9),
+      null from heats
+    union all select 'carbon', null, 'No carbon: missing columns ce, feat_ce_calculated.'
+    union all select 'cold', null, case when count(*) = 0 then 'No cold: dataframe is empty.' end from heats where tapping_temp < 1e3""", "heats"))
+def h18_missing_reason(spark, sf_dir):
+    """Mean sums of the chart groups, and why charts cannot be drawn."""
+    h = heats(spark, sf_dir)
+    total = lambda names: F.round(F.avg(sum((F.col(c) for c in names[1:]), F.col(names[0]))), 9)
+    groups = {"chemistry": H.chemistry_columns(h), "process": H.process_feature_columns(h)}
+    wide = h.agg(F.array(*[F.struct(F.lit(n).alias("label"), total(c).alias("mean_sum")) for n, c in groups.items()]).alias("a"))
+    means = wide.select(F.explode("a").alias("r")).select("r.*", F.lit(None).cast("string").alias("reason"))
+    reasons = [("carbon", None, H.missing_reason(h, ["c_", "ce", "feat_ce_calculated"], "carbon")),
+               ("cold", None, H.missing_reason(h.where("tapping_temp < 1e3"), ["c_"], "cold"))]
+    return means.unionByName(spark.createDataFrame(reasons, "label string, mean_sum double, reason string"))

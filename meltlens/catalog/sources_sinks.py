@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from .. import config
 from ..operators import reports as RP
 from ..plans.registry import register
 from ..sources import io as IO
@@ -115,3 +116,17 @@ def s7_decision_guarded_export(spark, sf_dir):
 def streaming_decision_scoring(spark, sf_dir):
     from ..streaming.scoring import score_stream_once
     return score_stream_once(spark, sf_dir)
+
+
+_TEMPLATE = ["c_", "s_", "heel", "unknown_feature", *config.SAMPLE_FEATURE_VALUES]
+
+
+@register("s16_sample_template", with_fixtures(
+    "select median(c_) as c_, median(s_) as s_, median(heel) as heel, 0e0 as unknown_feature, "
+    + ", ".join(f"{v!r}::double as {k}" for k, v in config.SAMPLE_FEATURE_VALUES.items() if k != "defect")
+    + ", unnest([0, 1]) as defect from heats", "heats"))
+def s16_sample_template(spark, sf_dir):
+    """The healthy and the defective example batch."""
+    from ..plans.ordered import median_row
+    stats = median_row(heats(spark, sf_dir), ["c_", "s_", "heel"], prefix="")
+    return IO.sample_template(stats, _TEMPLATE, 0).unionByName(IO.sample_template(stats, _TEMPLATE, 1))

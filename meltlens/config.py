@@ -197,3 +197,12 @@ TEMPLATE_SEMANTIC_GROUPS = {
     "mg_recovery": ["mg_recovery", "mg_recovery_", "mg_recovery_pct", "magnesium_recovery"],
     "defect": ["defect", "defected", "defective", "is_defect", "quality_defect"],
 }
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES - the example batch of upload templates
+# ---------------------------------------------------------------------------
+SAMPLE_FEATURE_VALUES = {
+    "tapped_wt": 12.5, "pouring_wt": 12.0, "last_heel_metal": 2.0, "graphite": 15.0, "tapping_temp": 1435.0, "pouring_temp": 1370.0,
+    "pouring_time_sec": 81.0, "fsm": 1.0, "ce": 4.16, "c": 3.65, "si": 1.97, "mn_1": 0.16, "p": 0.034, "s": 0.009, "mg_recovery": 0.45,
+    "bath_s": 0.012, "fe": 93.5, "cu": 0.05, "co": 0.01, "cr": 0.03, "ni": 0.02, "mn": 0.16, "crca": 25.0, "defect": 0,
+}

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.scalar import finite_or_null, sentinel_to_numeric
+from ..plans.lookup import attach_scalar_row
 from ..plans.ordered import exact_quantiles
 from ..session import cut_lineage
 from . import schema as H
@@ -41,6 +42,11 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def count_duplicate_rows(df: DataFrame) -> DataFrame:
+    """C2 with its report: every different row once, with ``n_copies``; NULLs are equal. One shuffle with map-side counts."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n_copies"))
+
+
 def drop_null_target(df: DataFrame, target: str = "defect") -> DataFrame:
     """C3."""
     return df.where(F.col(target).isNotNull())
@@ -322,19 +328,64 @@ def clean_table(df: DataFrame, key_cols: Sequence[str] = (), dedupe: bool = True
     return x, trace_df, rep
 
 
+# FIXED VALUES - columns that stay text, and columns that charts expect
+TEXT_COLUMNS = ["qa_summary", "recommendation", "risk_level", "anomaly_severity", "risk_factors"]
+CHART_DEFAULTS = {"anomaly_score": 0.0, "defect_prob": 0.0, "pca_pc1": 0.0, "pca_pc2": 0.0}
+
+
 def safe_frame(df: DataFrame, numeric_fraction: float = 0.25) -> DataFrame:
-    """C21 analytics-safe frame: dedupe headers, inf -> NULL, type string
-    columns that are >= ``numeric_fraction`` numeric, median-fill numerics."""
-    df = H.drop_duplicate_columns(df)
-    strings = [c for c, t in df.dtypes if t == "string"]
+    """C21 analytics-safe frame: the first column of each name, text columns that are at least ``numeric_fraction``
+    numeric typed, non-finite -> NULL -> median (0 where there is none), integer ``cluster``, chart columns present.
+
+    Whole numbers without NULLs keep their type; with NULLs they become doubles, as their median may be one.
+    An empty table keeps its typed columns and has no rows."""
+    df = H.drop_duplicate_columns(df, cleaner=str)
+    strings = [c for c, t in df.dtypes if t == "string" and c not in TEXT_COLUMNS]
     prof = numeric_profile(df, strings, strip_percent=True) if strings else {}
-    conv = {c: sentinel_to_numeric(F.col(c), strip_percent=True) for c in strings
-            if (prof.get(f"{c}__frac") or 0.0) >= numeric_fraction}
-    df = df.withColumns(conv) if conv else df
-    nums = H.numeric_columns(df)
-    df = non_finite_to_null(df, nums)
-    dbl = [c for c in nums if dict(df.dtypes)[c] in ("double", "float")]
-    return impute_median(df, dbl)
+    typed = {c: sentinel_to_numeric(F.col(c), strip_percent=True) for c in strings
+             if (prof.get(f"{c}__frac") or 0.0) >= numeric_fraction}
+    df = df.withColumns(typed) if typed else df
+    nums = [c for c in H.numeric_columns(df) if c != "cluster"]
+    kinds = dict(df.dtypes)
+    real = [c for c in nums if kinds[c] in ("double", "float")]
+    whole = [c for c in nums if c not in real]
+    df = non_finite_to_null(df, real) if real else df
+    lost = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in whole]).first().asDict() if whole else {}
+    fill = real + [c for c in whole if lost[c]]
+    df = impute_median(df, fill).fillna(0.0, subset=fill) if fill else df
+    if "cluster" in df.columns:
+        cluster = sentinel_to_numeric(F.col("cluster")) if kinds["cluster"] == "string" else F.col("cluster").cast("double")
+        df = df.withColumn("cluster", F.coalesce(finite_or_null(cluster).cast("int"), F.lit(0)))
+    return H.ensure_columns(df, CHART_DEFAULTS)
+
+
+# ---------------------------------------------------------------------------
+# C23 row filters
+# ---------------------------------------------------------------------------
+def rows_with(df: DataFrame, col: str, choice: str) -> DataFrame:
+    """Rows whose severity or risk level is the chosen one; all for ``ALL`` or without the column."""
+    return df if choice == "ALL" or col not in df.columns else df.where(F.col(col).cast("string") == choice)
+
+
+def high_risk_rows(df: DataFrame) -> DataFrame:
+    return df.where(F.col("risk_level").isin("HIGH", "CRITICAL"))
+
+
+def cluster_rows(df: DataFrame, cluster: int) -> DataFrame:
+    """Batches of one cluster; none without the column."""
+    return df.where(F.col("cluster") == cluster) if "cluster" in df.columns else df.where(F.lit(False))
+
+
+def healthy_rows(df: DataFrame, label: str = "defect", prob: str = "defect_prob") -> DataFrame:
+    """Batches without a defect (no label counts as none); else those with a probability below 0.5; else all.
+
+    Which of the three holds is counted over the whole table and decided inside the plan, by a one-row join."""
+    none = F.lit(False)
+    sound = F.coalesce(F.col(label).try_cast("double").cast("int"), F.lit(0)) == 0 if label in df.columns else none
+    likely = F.coalesce(F.col(prob).try_cast("double") < 0.5, none) if prob in df.columns else none
+    found = df.agg(F.coalesce(F.bool_or(sound), none).alias("__sound"), F.coalesce(F.bool_or(likely), none).alias("__likely"))
+    keep = F.when(F.col("__sound"), sound).when(F.col("__likely"), likely).otherwise(F.lit(True))
+    return attach_scalar_row(df, found).where(keep).drop("__sound", "__likely")
 
 
 def batch_label(df: DataFrame, candidates: Sequence[str], key: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lookup import materialize_if_small
@@ -150,3 +150,49 @@ def confidence_bands(df: DataFrame, p: str = "p", edges: Sequence[float] = (0.5,
     counts = df.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
     dim = df.sparkSession.createDataFrame([(b,) for b in labels], "band string")  # fixed labels
     return dim.join(counts, "band", "left").select("band", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def health_scalars(df: DataFrame, y: str = "y", p: str = "p", yhat: str = "yhat") -> DataFrame:
+    """One row of model health and business impact, from one aggregate.
+
+    Error rates, defect share, shares of sure (0.85 or more) and counts of unsure (below 0.65) predictions, defects caught,
+    decisions that are no false alarm, the share of sound batches left alone, and precision times recall in percent, at most 99."""
+    conf = F.greatest(F.col(p), 1 - F.col(p))
+    c = confusion_counts(df, y, yhat).crossJoin(df.agg(  # two one-row frames
+        F.avg((F.col(y) == 1).cast("double")).alias("defect_share"), F.avg((conf >= 0.85).cast("double")).alias("high_confidence_share"),
+        F.count_if(conf < 0.65).alias("n_low_confidence"), F.count(F.lit(1)).alias("n")))
+    zero = F.lit(0)
+    precision = F.coalesce(F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), zero), F.lit(0.0))
+    recall = F.coalesce(F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), zero), F.lit(0.0))
+    return c.select("false_alarm_rate", "missed_defect_rate", F.coalesce("defect_share", F.lit(0.0)).alias("defect_share"),
+                    F.coalesce("high_confidence_share", F.lit(0.0)).alias("high_confidence_share"), "n_low_confidence",
+                    F.col("tp").alias("defects_caught"), F.greatest(zero, F.greatest(F.col("n"), F.lit(1)) - F.col("fp")).alias("decisions_protected"),
+                    (1 - F.coalesce("false_alarm_rate", F.lit(0.0))).alias("false_alarm_reduction"),
+                    F.least(F.lit(99.0), precision * recall * 100.0).alias("quality_improvement"))
+
+
+# FIXED VALUES - (good, warn) of every metric card
+METRIC_BANDS = {"accuracy": (0.85, 0.75), "precision": (0.85, 0.70), "recall": (0.85, 0.70), "f1": (0.85, 0.70), "roc_auc": (0.85, 0.75),
+                "false_alarm_rate": (0.9, 0.8), "missed_defect_rate": (0.9, 0.8)}
+
+
+def status_band(value: Column, good: float, warn: float) -> Column:
+    """Good, warn or poor; no value counts as poor."""
+    return F.when(value >= good, "good").when(value >= warn, "warn").otherwise("poor")
+
+
+def metric_cards(df: DataFrame, y: str = "y", p: str = "p", yhat: str = "yhat") -> DataFrame:
+    """``metric, value, status`` of the model's cards; error rates are banded by what they leave."""
+    rates = confusion_counts(df, y, yhat).select("false_alarm_rate", "missed_defect_rate")
+    row = classification_metrics(df, y, p, yhat).crossJoin(rates)  # one-row frames
+    cells = []
+    for name, (good, warn) in METRIC_BANDS.items():
+        seen = 1 - F.col(name) if name.endswith("_rate") else F.col(name)
+        cells.append(F.struct(F.lit(name).alias("metric"), F.col(name).alias("value"), status_band(seen, good, warn).alias("status")))
+    return row.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+
+
+def leaderboard(scores: DataFrame, by: str = "roc_auc", name: str = "model") -> DataFrame:
+    """``rank`` and ``selected`` of every model (a row each), best first, missing scores last, ties by name."""
+    order = Window.orderBy(F.desc_nulls_last(by), name)  # as many rows as there are models
+    return scores.withColumn("rank", F.row_number().over(order)).withColumn("selected", F.col("rank") == 1)

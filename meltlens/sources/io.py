@@ -12,10 +12,11 @@ import time
 import uuid
 from typing import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .. import config
 from ..session import ensure_checkpoint_dir
 
 NULL_MARKER = "\\N"  # explicit NULL marker so empty strings survive a CSV round trip
@@ -196,6 +197,16 @@ def template_rows(stats_row: DataFrame, overrides: dict[str, dict[str, float]])
     return out
 
 
+def sample_template(stats_row: DataFrame, features: Sequence[str], defect: int = 0) -> DataFrame:
+    """One example batch: the fixed sample values, else the training median of ``stats_row``, else 0."""
+    def value(name: str) -> Column:
+        if name in config.SAMPLE_FEATURE_VALUES:
+            return F.lit(float(config.SAMPLE_FEATURE_VALUES[name]))
+        return F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in stats_row.columns else F.lit(0.0)
+
+    return stats_row.select(*[value(n).alias(n) for n in features if n != "defect"], F.lit(defect).alias("defect"))
+
+
 def header_of(spark: SparkSession, path: str) -> list[str]:
     """Header-only read of a template file (schema, no data scan)."""
     return spark.read.option("header", True).csv(path).columns

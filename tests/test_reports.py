@@ -203,3 +203,70 @@ def test_fold_spread(spark):
     for r in TR.fold_spread(df).collect():
         want = np.percentile([f[r["metric"]] for f in folds], [0, 25, 50, 75, 100])
         assert [r["min"], r["q1"], r["median"], r["q3"], r["max"]] == pytest.approx(list(want)) and r["n"] == 5
+
+
+def test_duplicate_counts(spark):
+    df = spark.createDataFrame([(1, None), (1, None), (1, "a"), (None, None), (None, None), (None, None)], "x int, y string")
+    got = {(r["x"], r["y"]): r["n_copies"] for r in RP.C.count_duplicate_rows(df).collect()}
+    assert got == {(1, None): 2, (1, "a"): 1, (None, None): 3}
+
+
+def test_safe_frame(spark):
+    rows = [("10%", "x", 1, 1.0, "2", None), (" - ", "y", None, float("inf"), "bad", None), ("30", None, 4, None, None, None)]
+    df = spark.createDataFrame(rows, "a string, b string, i int, d double, cluster string, none double").toDF("a", "b", "i", "d", "cluster", "none")
+    out = RP.C.safe_frame(df.select("*", F.lit("again").alias("b"), F.lit("5").alias("risk_level")))
+    got = [r.asDict() for r in out.orderBy(F.col("b").asc_nulls_last()).collect()]
+    assert out.columns.count("b") == 1 and dict(out.dtypes)["risk_level"] == "string"
+    assert [r["a"] for r in got] == [10.0, 20.0, 30.0] and [r["i"] for r in got] == [1.0, 2.5, 4.0]
+    assert [r["d"] for r in got] == [1.0, 1.0, 1.0] and [r["cluster"] for r in got] == [2, 0, 0]
+    assert all(r["none"] == 0.0 == r["pca_pc1"] == r["defect_prob"] for r in got)
+    assert RP.C.safe_frame(df.limit(0)).count() == 0
+
+
+def test_row_filters(spark):
+    rows = [(1, "1", 0.9, "HIGH"), (2, "0", 0.9, "LOW"), (3, None, 0.1, None), (4, "1", 0.2, "CRITICAL")]
+    df = spark.createDataFrame(rows, "k int, defect string, defect_prob double, risk_level string")
+    keys = lambda d: sorted(r["k"] for r in d.collect())
+    assert keys(RP.C.healthy_rows(df)) == [2, 3]
+    bad = df.where("defect = '1'")
+    assert keys(RP.C.healthy_rows(bad)) == [4]
+    assert keys(RP.C.healthy_rows(bad.where("k = 1"))) == [1]
+    assert keys(RP.C.healthy_rows(df.select("k"))) == [1, 2, 3, 4]
+    assert keys(RP.C.healthy_rows(df.limit(0))) == []
+    assert keys(RP.C.high_risk_rows(df)) == [1, 4]
+    assert keys(RP.C.rows_with(df, "risk_level", "LOW")) == [2]
+    assert keys(RP.C.rows_with(df, "absent", "LOW")) == [1, 2, 3, 4]
+    assert keys(RP.C.cluster_rows(df, 1)) == []
+
+
+def test_missing_reason(spark):
+    df = spark.createDataFrame([(1.0, "x")], "c_ double, si_ string")
+    assert H.chemistry_columns(df) == ["c_"] == H.process_feature_columns(df)
+    assert H.missing_reason(df, ["c_"]) is None
+    assert H.missing_reason(df, ["c_", "b", "a"], "chart") == "No chart: missing columns b, a."
+    assert H.missing_reason(df.limit(0), ["c_"], "chart") == "No chart: dataframe is empty."
+
+
+def test_health_cards_and_leaderboard(spark):
+    from meltlens.operators import evaluation as EV
+    df = spark.createDataFrame([(0, 0.1, 0), (0, 0.6, 1), (1, 0.9, 1), (1, 0.4, 0), (1, 0.7, 1)], "y int, p double, yhat int")
+    h = EV.health_scalars(df).head()
+    assert (h["defect_share"], h["high_confidence_share"], h["n_low_confidence"]) == (0.6, 0.4, 2)
+    assert (h["defects_caught"], h["decisions_protected"], h["false_alarm_reduction"]) == (2, 4, 0.5)
+    assert h["quality_improvement"] == pytest.approx(2 / 3 * 2 / 3 * 100)
+    perfect = EV.health_scalars(spark.createDataFrame([(0, 0.1, 0), (1, 0.9, 1)], "y int, p double, yhat int")).head()
+    assert perfect["quality_improvement"] == 99.0
+    empty = EV.health_scalars(df.limit(0)).head()
+    assert empty["defects_caught"] == 0 and empty["decisions_protected"] == 1 and empty["false_alarm_rate"] is None
+    cards = {r["metric"]: r["status"] for r in EV.metric_cards(df).collect()}
+    assert cards["false_alarm_rate"] == "poor" and cards["accuracy"] == "poor"
+    assert {r["status"] for r in EV.metric_cards(spark.createDataFrame([(0, 0.1, 0), (1, 0.9, 1)], "y int, p double, yhat int")).collect()} == {"good"}
+    board = EV.leaderboard(spark.createDataFrame([("b", 0.5), ("a", 0.5), ("c", None), ("d", 0.4)], "model string, roc_auc double"))
+    assert [(r["model"], r["rank"], r["selected"]) for r in board.orderBy("rank").collect()] == [
+        ("a", 1, True), ("b", 2, False), ("d", 3, False), ("c", 4, False)]
+
+
+def test_sample_template(spark):
+    stats = spark.createDataFrame([(3.5, 1000.0, None)], "c_ double, tapping_temp double, gone double")
+    row = IO.sample_template(stats, ["c_", "tapping_temp", "gone", "absent", "defect"], 1).head().asDict()
+    assert row == {"c_": 3.5, "tapping_temp": 1435.0, "gone": 0.0, "absent": 0.0, "defect": 1}
