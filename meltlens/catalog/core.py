@@ -9,6 +9,7 @@ from ..functions.scalar import clamp01_scalar
 from ..operators import decisions as D
 from ..operators import features as FE
 from ..operators import rules as R
+from ..plans.lookup import spread
 from ..plans.registry import register
 from ..sources.fixtures import HEAT_KEY, heats, with_fixtures
 from .sqlparts import FEATURE_COLS, KEY, decided_sql, features_sql
@@ -19,11 +20,15 @@ def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FE.engineer_features(heats(spark, sf_dir), mg_deviation=False)
 
 
+def spread_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`featured` for the long row-local stages (rules, decisions, report texts)."""
+    return FE.engineer_features(spread(heats(spark, sf_dir), HEAT_KEY), mg_deviation=False)
+
+
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     # cluster history needs only (cluster, defect, anomaly): aggregate the
     # pruned base scan, not the featured frame
-    base = heats(spark, sf_dir)
-    return D.unified_decisions(FE.engineer_features(base, mg_deviation=False), stats=D.cluster_stats(base))
+    return D.unified_decisions(spread_features(spark, sf_dir), stats=D.cluster_stats(heats(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------------------
@@ -174,7 +179,7 @@ def r9_escalation_lattice(spark, sf_dir):
 
 @register("r10_rule_findings")
 def r10_rule_findings(spark, sf_dir):
-    out = R.interpret(featured(spark, sf_dir))
+    out = R.interpret(spread_features(spark, sf_dir))
     return out.select(*HEAT_KEY, "risk_level", "recommendation",
                       F.array_join("warnings", " | ").alias("warnings"),
                       F.array_join("probable_causes", " | ").alias("probable_causes"),
@@ -262,7 +267,7 @@ def d5_risk_factors(spark, sf_dir):
 
 @register("d6_enriched_table")
 def d6_enriched_table(spark, sf_dir):
-    return D.enrich(featured(spark, sf_dir), stats=D.cluster_stats(heats(spark, sf_dir)),
+    return D.enrich(spread_features(spark, sf_dir), stats=D.cluster_stats(heats(spark, sf_dir)),
                     row_key=F.col("l_orderkey")).select(
         *HEAT_KEY, "risk_level", "recommendation", "final_risk_score", "risk_confidence", "risk_factors",
         "qa_summary")
@@ -270,7 +275,7 @@ def d6_enriched_table(spark, sf_dir):
 
 @register("d7_qa_report_lines")
 def d7_qa_report_lines(spark, sf_dir):
-    e = D.enrich(featured(spark, sf_dir), stats=D.cluster_stats(heats(spark, sf_dir)), row_key=F.col("l_orderkey"))
+    e = D.enrich(spread_features(spark, sf_dir), stats=D.cluster_stats(heats(spark, sf_dir)), row_key=F.col("l_orderkey"))
     lines = e.select(F.explode(F.split("qa_summary", "\n")).alias("line"))
     return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -278,7 +283,7 @@ def d7_qa_report_lines(spark, sf_dir):
 @register("d8_report_consistency", with_fixtures("select true as all_consistent, count(*) as n_rows from heats",
                                                  "heats"))
 def d8_report_consistency(spark, sf_dir):
-    e = D.enrich(featured(spark, sf_dir), stats=D.cluster_stats(heats(spark, sf_dir)), row_key=F.col("l_orderkey"))
+    e = D.enrich(spread_features(spark, sf_dir), stats=D.cluster_stats(heats(spark, sf_dir)), row_key=F.col("l_orderkey"))
     return e.agg(F.bool_and(D.summary_matches_decision(e)).alias("all_consistent"),
                  F.count(F.lit(1)).alias("n_rows"))
 

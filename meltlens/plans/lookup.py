@@ -46,3 +46,15 @@ def own_stage(df: DataFrame) -> DataFrame:
     above and below is compiled as two methods of a size the compiler takes.
     """
     return df.coalesce(1_000_000)
+
+
+def spread(scan: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Deal the rows of a plain scan over all cores where its files give fewer partitions than there are cores.
+
+    A table in a few files (or one row group) would leave a long row-local stage to a few tasks. Larger inputs, which
+    have more partitions than cores anyway, are read as they are, without a shuffle. Rows go by the hash of their
+    (near) unique ``keys``, so a rerun task sends the same rows. Only for scans: a frame with a shuffle of its own
+    would be run to learn its partitions.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan

@@ -270,3 +270,17 @@ def test_sample_template(spark):
     stats = spark.createDataFrame([(3.5, 1000.0, None)], "c_ double, tapping_temp double, gone double")
     row = IO.sample_template(stats, ["c_", "tapping_temp", "gone", "absent", "defect"], 1).head().asDict()
     assert row == {"c_": 3.5, "tapping_temp": 1435.0, "gone": 0.0, "absent": 0.0, "defect": 1}
+
+
+def test_spread_deals_only_few_partitions(spark, tmp_path):
+    from meltlens.plans.lookup import spread
+    cores = spark.sparkContext.defaultParallelism
+    path = IO.scratch_path(spark, "one-file")
+    spark.range(0, 5000).select("id", F.lit("x").alias("other")).coalesce(1).write.parquet(path)
+    few = spread(spark.read.parquet(path), ["id"])
+    if cores > 1:
+        assert few.rdd.getNumPartitions() == cores
+        assert few.groupBy(F.spark_partition_id()).count().count() == cores
+    assert few.agg(F.count_distinct("id")).head()[0] == 5000
+    many = spark.range(0, 5000, 1, cores + 1)
+    assert spread(many, ["id"]) is many
