@@ -11,8 +11,9 @@ by its windows of ``WINDOW`` words (fewer, if it is shorter) to the earlier
 message that holds most of them, at least half.  The parent of a message is the
 origin of its outermost quoted level that has one.  Parents come before their
 replies, so threads are trees; their roots are found by pointer jumping.  The
-result is every message without its quotes, in reply order by (conversation,
-thread_turn, turn).
+result is every message without the quotes that have an origin, in reply order by
+(conversation, thread_turn, turn).  A passage without origin (a prompt of a shell,
+a comparison, a quote from elsewhere) stays in the text as it was written.
 
 First writers are joined on a unique key.  They settle a passage if one of them
 has all its units.  Otherwise the best first writer has f of u units, so a better
@@ -20,8 +21,9 @@ message holds one of the u - f + 1 rarest ones: only their holders are candidate
 and common units multiply no rows unless all of a passage is common.
 
 Defined results: null text is an empty message; a null conversation or turn is
-not linked; rows that repeat a (conversation, turn) share the link; a message
-that quotes nothing known starts its own thread; extra columns are ignored; an
+not linked and keep their whole text; rows that repeat a (conversation, turn) share
+the link; a passage repeated in a message counts each time in ``n_passages`` and goes
+each time if it has an origin; a message that quotes nothing known starts its own thread; extra columns are ignored; an
 empty table gives an empty result.
 """
 
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import xxhash
@@ -48,24 +51,35 @@ WORD = re.compile(f"[{_UNSPACED}]|[^\\W{_UNSPACED}]+")
 WINDOW = 5
 
 
-def split_quotes(text: str | None) -> tuple[str, list[tuple[int, str]]]:
-    """Own text, and quoted passages as (level, text); an attribution line goes with its quote."""
-    own: list[str] = []
-    passages: list[tuple[int, list[str]]] = []
-    inside = 0
-    for line in (text or "").split("\n"):
-        if found := QUOTE.fullmatch(line):
-            level = found[1].count(">")
-            if not inside and own and ATTRIBUTION.fullmatch(own[-1]):
-                own.pop()
-            if level != inside:
-                passages.append((level, []))
-            passages[-1][1].append(found[2])
-            inside = level
-        else:
-            own.append(line)
-            inside = 0
-    return "\n".join(own).strip(), [(level, "\n".join(lines)) for level, lines in passages]
+class Part(NamedTuple):
+    """A run of lines of a message: own text (level 0) or a quoted passage of one level."""
+
+    level: int
+    raw: str
+    text: str
+
+
+def split_quotes(message: str | None) -> list[Part]:
+    """The parts of a message in order; an attribution line goes with its quote."""
+    parts: list[tuple[int, list[str], list[str]]] = []
+    for line in (message or "").split("\n"):
+        found = QUOTE.fullmatch(line)
+        level = found[1].count(">") if found else 0
+        if not parts or parts[-1][0] != level:
+            led = []
+            if level and parts and not parts[-1][0] and ATTRIBUTION.fullmatch(parts[-1][1][-1]):
+                led = [parts[-1][1].pop()]
+                parts[-1][2].pop()
+                if not parts[-1][1]:
+                    parts.pop()
+            parts.append((level, led, []))
+        parts[-1][1].append(line)
+        parts[-1][2].append(found[2] if found else line)
+    return [Part(level, "\n".join(raw), "\n".join(text)) for level, raw, text in parts]
+
+
+def own_text(parts: list[Part]) -> str:
+    return "\n".join(p.text for p in parts if not p.level).strip()
 
 
 def signed_hash(text: str) -> int:
@@ -89,25 +103,32 @@ def window_hashes(text: str, lengths: Iterable[int] | None = None) -> list[int]:
 
 
 def parse_messages(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """Columns conv, turn, role, text (own), n_passages, said (hashes), quoted (passage, level, hashes, windows)."""
+    """Columns conv, turn, role, text (own), parts (passage, raw), said (hashes), quoted (passage, level, hashes, windows).
+
+    A passage is named by the hash of its level and text; own parts have none."""
     rows = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"),
                      F.col(text_col).alias("raw"))
     kinds = dict(rows.dtypes)
 
+    def name(part: Part) -> int | None:
+        return signed_hash(f"{part.level} {part.text}") if part.level else None
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in row_batches(batches, 2000):
             split = [split_quotes(t) for t in batch["raw"]]
+            own = [own_text(parts) for parts in split]
             out = batch[["conv", "turn", "role"]].astype(object).where(batch[["conv", "turn", "role"]].notna(), None)
-            out["text"] = [own for own, _ in split]
-            out["n_passages"] = [len(q) for _, q in split]
-            out["said"] = [unit_hashes(own) for own, _ in split]
-            out["quoted"] = [[{"passage": k, "level": level, "hashes": unit_hashes(text), "windows": window_hashes(text)}
-                              for k, (level, text) in enumerate(q)] for _, q in split]
+            out["text"] = own
+            out["parts"] = [[{"passage": name(p), "raw": p.raw} for p in parts] for parts in split]
+            out["said"] = [unit_hashes(t) for t in own]
+            out["quoted"] = [[{"passage": name(p), "level": p.level, "hashes": unit_hashes(p.text), "windows": window_hashes(p.text)}
+                              for p in {name(p): p for p in parts if p.level}.values()] for parts in split]
             yield out
 
     return rows.mapInPandas(parse, (
-        f"conv {kinds['conv']}, turn {kinds['turn']}, role {kinds['role']}, text string, n_passages int, "
-        "said array<long>, quoted array<struct<passage:int,level:int,hashes:array<long>,windows:array<long>>>"))
+        f"conv {kinds['conv']}, turn {kinds['turn']}, role {kinds['role']}, text string, "
+        "parts array<struct<passage:long,raw:string>>, said array<long>, "
+        "quoted array<struct<passage:long,level:int,hashes:array<long>,windows:array<long>>>"))
 
 
 _PASSAGE = ["conv", "turn", "passage", "level"]
@@ -172,16 +193,24 @@ def thread_roots(parents: DataFrame) -> DataFrame:
 
 def link_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                        text_col: str = "text") -> DataFrame:
-    """Columns: conversation, turn, role, parent_turn, thread_turn, n_passages, text - one row per message."""
+    """Columns: conversation, turn, role, parent_turn, thread_turn, n_passages, n_linked, text - one row per message.
+
+    ``n_passages`` counts the quoted passages of a message, ``n_linked`` those with an origin, which ``text`` is without.
+    """
     messages = parse_messages(df, conv_col, turn_col, role_col, text_col)
-    origins = passage_origins(messages)
+    origins = stored(passage_origins(messages), "links")
     parents = origins.groupBy("conv", "turn").agg(
-        F.max_by("origin", F.struct(-F.col("level"), F.col("origin"))).alias("parent"))
-    roots = thread_roots(parents)
+        F.max_by("origin", F.struct(-F.col("level"), F.col("origin"))).alias("parent"),
+        F.collect_set("passage").alias("linked"))  # bounded by the message
+    roots = thread_roots(parents.drop("linked")).join(parents.select("conv", "turn", "linked"), ["conv", "turn"])
     out = messages.join(roots, ["conv", "turn"], "left")
+    linked = lambda p: p["passage"].isNotNull() & F.coalesce(F.array_contains("linked", p["passage"]), F.lit(False))
+    left = F.transform(F.filter("parts", lambda p: ~linked(p)), lambda p: p["raw"])
+    text = F.regexp_replace(F.array_join(left, "\n"), r"(?U)^\s++|(?<!\s)\s++$", "")
     return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col),
                       F.col("parent").alias("parent_turn"), F.coalesce("root", "turn").alias("thread_turn"),
-                      F.col("n_passages").cast("long").alias("n_passages"), F.col("text").alias(text_col))
+                      F.size(F.filter("parts", lambda p: p["passage"].isNotNull())).cast("long").alias("n_passages"),
+                      F.size(F.filter("parts", linked)).cast("long").alias("n_linked"), text.alias(text_col))
 
 
 def op2_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:

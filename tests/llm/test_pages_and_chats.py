@@ -1,5 +1,8 @@
 """HTML extraction, quality classifier and quotation links."""
 
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -129,14 +132,98 @@ def test_quotes_link_to_their_originals(spark):
     assert got[1, 0] == (None, 0, 0, CHAT[0][3])
     assert got[1, 1] == (0, 0, 1, "Fine thanks. Good day.")
     assert got[1, 2] == (1, 0, 2, "ok then")
-    assert got[1, 3] == (None, 3, 1, "hm")
+    assert got[1, 3] == (None, 3, 1, "> unknown thing\nhm")
     assert got[1, 4] == (2, 0, 1, "yes")
     assert got[1, None] == (None, None, 0, "")
-    assert got[None, 3] == (None, 3, 1, "x") and got[2, 5] == (None, 5, 1, "other conversation")
+    assert got[None, 3] == (None, 3, 1, "> Good day.\nx") and got[2, 5] == (None, 5, 1, "> Good day.\nother conversation")
     assert got[3, 2] == (0, 0, 1, ("long " * 20_000).strip())
     assert ql.link_conversations(df).count() == len(CHAT) and ql.link_conversations(df.limit(0)).count() == 0
 
 
+def brute_threads(said):
+    """parent, root, passages, linked and text of every message of one conversation, by reading them all again."""
+    def units(text):
+        lines = [" ".join(line.split()) for line in text.lower().split("\n")]
+        found = {u.strip() for part in [" ".join(lines), *lines] for u in re.findall("[^.!?]+[.!?]*", part)}
+        return (found | set(lines)) - {""}
+
+    def windows(text, sizes):
+        words = re.findall(r"\w+", text.lower())
+        return {tuple(words[k:k + n]) for n in sizes for k in range(len(words) - n + 1)}
+
+    def blocks(text):
+        out = []
+        for line in text.split("\n"):
+            mark = re.match(r"\s*((?:>[ \t]?)*)", line)
+            level = mark[1].count(">")
+            attribution = level and out and not out[-1][0] and re.fullmatch(r".*(wrote|said):\s*", out[-1][1][-1])
+            if attribution and len(out[-1][1]) == 1:
+                out[-1] = [level, out[-1][1], []]
+            elif attribution:
+                out.append([level, [out[-1][1].pop()], []])
+                out[-2][2].pop()
+            elif not out or out[-1][0] != level:
+                out.append([level, [], []])
+            out[-1][1].append(line)
+            out[-1][2].append(line[mark.end():] if level else line)
+        return [(level, "\n".join(raw), "\n".join(text)) for level, raw, text in out]
+
+    split = [blocks(t) for t in said]
+    own = ["\n".join(text for level, _, text in parts if not level).strip() for parts in split]
+    known, rows = [units(t) for t in own], []
+
+    def origin(k, text):
+        asked = units(text)
+        first = {u: min(i for i in range(k) if u in known[i]) for u in asked if any(u in known[i] for i in range(k))}
+        votes = [(len(asked & known[i]), sum(at == i for at in first.values()), i) for i in range(k) if asked & known[i]]
+        if votes:
+            return max(votes)[2]
+        n = min(5, len(re.findall(r"\w+", text)))
+        asked = windows(text, [n]) if n else set()
+        held = [asked & windows(own[i], range(1, 6)) for i in range(k)]
+        first = [min(i for i in range(k) if w in held[i]) for w in asked if any(w in h for h in held)]
+        votes = [(len(h), first.count(i), i) for i, h in enumerate(held) if h]
+        return max(votes)[2] if votes and 2 * max(votes)[0] >= len(asked) else None
+
+    for k, parts in enumerate(split):
+        found = [origin(k, text) if level else None for level, _, text in parts]
+        parent = max(((-parts[j][0], at) for j, at in enumerate(found) if at is not None), default=(0, None))[1]
+        rows.append((parent, k if parent is None else rows[parent][1], sum(p[0] > 0 for p in parts),
+                     sum(at is not None for at in found), "\n".join(p[1] for p, at in zip(parts, found) if at is None).strip()))
+    return rows
+
+
+def test_links_and_texts_against_brute_force(spark):
+    """Whole conversations: nested quotes, parts of sentences, attributions, unknown quotes, prompts and comparisons."""
+    rng = random.Random(8)
+    sentence = lambda n: " ".join(f"w{rng.randrange(30)}" for _ in range(n)) + rng.choice([".", "!", "?", ""])
+    extras = [">>> import os", "> 5 apples are enough", "on Monday ann wrote:", ">", "", "bob said:", " > w1 w2", ">\tW3   w4."]
+    talks = {}
+    for c in range(30):
+        said = []
+        for _ in range(rng.randrange(2, 12)):
+            lines = []
+            for _ in range(rng.randrange(1, 5)):
+                kind = rng.random()
+                if kind < 0.4 and said:
+                    words = rng.choice(rng.choice(said).split("\n")).split(" ")
+                    at = rng.randrange(len(words)) if rng.random() < 0.5 else 0
+                    lines.append(rng.choice(["> ", ">", "> > "]) + " ".join(words[at:at + 8]))
+                elif kind < 0.6:
+                    lines.append(rng.choice(extras))
+                else:
+                    lines.append(" ".join(sentence(rng.randrange(1, 7)) for _ in range(rng.randrange(1, 3))))
+            said.append("\n".join(lines))
+        talks[c] = said
+    rows = [(c, k, "u", t) for c, said in talks.items() for k, t in enumerate(said)]
+    rng.shuffle(rows)
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.thread_turn, r.n_passages, r.n_linked, r.text) for r in ql.link_conversations(
+        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    want = {(c, k): row for c, said in talks.items() for k, row in enumerate(brute_threads(said))}
+    assert got == want
+    assert any(r[3] for r in want.values()) and any(r[2] > r[3] for r in want.values())
+
+
 def test_long_reply_chain(spark):
     rows = [(1, 0, "u", "message 0")] + [(1, k, "u", f"> message {k - 1}\nmessage {k}") for k in range(1, 40)]
     got = ql.link_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
