@@ -1,11 +1,12 @@
 """Operator 6 - benchmark decontamination (DataFrame operations only).
 
 Benchmark texts become windows of ``WINDOW`` consecutive normalised words (a
-shorter item is one window).  Their 64-bit hashes are a set shipped with the
-plan, behind a check of its size.  Each document's word windows are hashed in
-its own row and looked up; only positions whose hash is in the set leave the
-row, and each of them is verified by joining on the window's words.  A list of
-windows above the bound goes by a shuffled join on the words instead.
+shorter item is one window).  Their 64-bit hashes are a broadcast hash set, behind
+a check of its size.  Each document's word windows, of the lengths that the
+benchmark has, are hashed in its own row and probed in the same stage; only those
+whose hash is in the set go on, and each of them is verified by joining on the
+window's words.  Of a set above the bound, the windows' hashes and positions (no
+words) are shuffled to it, and the documents that they meet are verified likewise.
 
 Defined results: a null text has no words; an item without words has no window;
 repeated rows are judged each for itself; repeated items and windows count once
@@ -19,13 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, stored, table
 
 WINDOW = 13
 #: A document is contaminated when at least one word in this many is hit.
 HIT_DIVISOR = 20
-#: Distinct benchmark windows that are shipped as a hash set; more go by a shuffled join.
-MAX_SET_WINDOWS = 200_000
+#: Distinct hashes of benchmark windows that are broadcast (16 bytes each in the set); more are joined by a shuffle.
+MAX_SET_WINDOWS = 2_000_000
+#: Windows whose words are broadcast to verify hits; texts whose ids are broadcast to drop their rows.
+MAX_SHIPPED_WINDOWS, MAX_SHIPPED_TEXTS = 100_000, 500_000
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -44,9 +47,45 @@ def window_rows(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("item", "n", F.array_join(words, " ").alias("words"), F.xxhash64(words).alias("h")).distinct()
 
 
-def positions(words: Column, n: int) -> Column:
-    """Start positions (from 0) of the windows of ``n`` words."""
-    return F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+def window_hashes(words: Column, lengths: list[int]) -> Column:
+    """Hashes of the windows of all these lengths, one length after the other, each in the order of the words."""
+    none = F.array().cast("array<bigint>")
+
+    def of(n: int) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.xxhash64(F.slice(words, at, n)))
+
+    return F.concat(none, *map(of, lengths))
+
+
+def window_at(place: Column, n_words: Column, lengths: list[int]) -> tuple[Column, Column]:
+    """First word (from 0) and length of the window at a place of ``window_hashes``."""
+    at, size = place, F.lit(None).cast("int")
+    ends, end = [], F.lit(0)
+    for n in lengths:
+        ends.append((end, end + F.greatest(n_words - n + 1, F.lit(0)), n))
+        end = ends[-1][1]
+    for start, end, n in reversed(ends):
+        at, size = F.when(place < end, place - start).otherwise(at), F.when(place < end, F.lit(n)).otherwise(size)
+    return at.cast("int"), size
+
+
+def probe(texts: DataFrame, kept: list[str], lengths: list[int], hashes: DataFrame, fits: bool) -> DataFrame:
+    """Columns of ``kept``, at, n and words: a row per window whose hash is in the set, and one without a window for each text."""
+    met = hashes.withColumn("met", F.lit(True))
+    listed = texts.select(*kept, "w", window_hashes(F.col("w"), lengths).alias("hashes"))
+    if fits:
+        probed = (listed.select(*kept, "w", F.posexplode_outer("hashes").alias("place", "h"))
+                  .join(F.broadcast(met), "h", "left").where("met or place is null or place = 0"))
+    else:
+        listed = stored(listed.drop("hashes"), "words")  # the row numbers stand still
+        windows = listed.select("row", F.posexplode(window_hashes(F.col("w"), lengths)).alias("place", "h"))
+        places = windows.join(met, "h").groupBy("row").agg(F.collect_list("place").alias("places"))  # bounded by the text
+        probed = (listed.join(places, "row", "left").select(*kept, "w", F.explode_outer("places").alias("place"))
+                  .withColumn("met", F.col("place").isNotNull()))
+    at, n = window_at(F.col("place"), F.size("w"), lengths)
+    return probed.select(*kept, F.when(F.col("met"), at).alias("at"), F.when(F.col("met"), n).alias("n"),
+                         F.when(F.col("met"), F.array_join(F.slice("w", at + 1, n), " ")).alias("words"))
 
 
 def find_hits(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id",
@@ -61,29 +100,14 @@ def find_hits(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_co
     kept = ["row", "text_id", *[f"keep_{i}" for i in range(len(keep))], "n_words"]
     docs_words = docs_words.withColumn("n_words", F.size("w").cast("long"))
 
-    windows = window_rows(bench, item_col, item_text_col)
-    listed = windows.limit(MAX_SET_WINDOWS + 1).collect()
-    shipped = len(listed) <= MAX_SET_WINDOWS
-    lengths = sorted({r["n"] for r in listed}) if shipped else list(range(1, WINDOW + 1))
-    hashes = list({r["h"] for r in listed}) if shipped else []
-    if shipped:
-        verify = F.broadcast(docs.sparkSession.createDataFrame(listed, windows.schema).drop("h"))
-    else:
-        verify = windows.drop("h")
-
-    w = F.col("w")
-
-    def candidates(n: int) -> Column:
-        at = positions(w, n)
-        if shipped:
-            at = F.filter(at, lambda i: F.xxhash64(F.slice(w, i + 1, n)).isin(hashes))
-        return F.transform(at, lambda i: F.struct(
-            i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(w, i + 1, n), " ").alias("words")))
-
-    none = F.array().cast("array<struct<at:int,n:int,words:string>>")
-    found = (docs_words.select(*kept, F.explode_outer(F.concat(none, *map(candidates, lengths))).alias("c"))
-             .select(*kept, "c.at", "c.n", "c.words")
-             .join(verify.withColumn("met", F.lit(True)), ["n", "words"], "left"))
+    windows = stored(window_rows(bench, item_col, item_text_col), "windows")
+    lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most WINDOW rows
+    hashes = windows.select("h").distinct()
+    fits = hashes.count() <= MAX_SET_WINDOWS
+    verify = windows.drop("h").withColumn("met", F.lit(True))
+    if windows.count() <= MAX_SHIPPED_WINDOWS:
+        verify = F.broadcast(verify)
+    found = probe(docs_words, kept, lengths, hashes, fits).join(verify, ["n", "words"], "left")
     span = F.when(F.col("met"), F.struct("at", "n"))
     rows = found.groupBy(*kept).agg(F.collect_set(span).alias("spans"), F.collect_set("item").alias("items"))
     inside = F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))
@@ -102,6 +126,9 @@ def remove_documents(docs: DataFrame, bench: DataFrame, text_col: str = "text",
     """``docs`` (all its columns) without the contaminated rows."""
     bad = find_hits(docs, bench, text_col, item_col, item_text_col).where(is_contaminated()).select(
         F.col("text_id").alias("__text_id")).distinct()
+    bad = stored(bad, "contaminated")
+    if bad.count() <= MAX_SHIPPED_TEXTS:
+        bad = F.broadcast(bad)
     named = docs.withColumn("__text_id", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     return named.join(bad, "__text_id", "left_anti").select(*[F.col(c) for c in docs.columns])
 

@@ -80,7 +80,8 @@ def items(rows):
 @pytest.mark.parametrize("shipped", [True, False])
 def test_decontamination(spark, docs, rows, items, empty, shipped, monkeypatch):
     if not shipped:
-        monkeypatch.setattr(dc, "MAX_SET_WINDOWS", 3)
+        for bound in ("MAX_SET_WINDOWS", "MAX_SHIPPED_WINDOWS", "MAX_SHIPPED_TEXTS"):
+            monkeypatch.setattr(dc, bound, 0)
     bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, n int")
     want = [(i, *brute_hits(t, items)) for i, t in rows]
     got = dc.find_hits(docs, bench, keep=["doc_id"]).collect()
