@@ -227,6 +227,7 @@ def with_qa_report(df: DataFrame, row_key: Column | None = None, rule_th: dict |
     rec = F.col("recommendation")
     report = F.concat_ws(
         "\n",
+        # The report's headings and labels.
         F.lit(_RULE_LINE), F.lit("INDUSTRIAL QA REPORT"), F.lit(_RULE_LINE), F.lit(""),
         F.concat(F.lit("Batch ID: "), F.col("__bid")),
         F.concat(F.lit("Risk Level: "), risk),
@@ -259,6 +260,7 @@ def summary_matches_decision(df: DataFrame) -> Column:
     rec = normalize_recommendation(F.col("recommendation"))
     summ = F.coalesce(F.col("qa_summary").cast("string"), F.lit(""))
     expected = [
+        # The same headings and labels.
         F.lit("INDUSTRIAL QA REPORT"),
         F.concat(F.lit("Risk Level: "), risk),
         F.concat(F.lit("Recommendation: "), rec),
