@@ -193,6 +193,26 @@ def test_sampled_silhouette(spark):
     assert some == pytest.approx(np.mean(np.array(brute_silhouette(x, pdf["l"].to_numpy()))[picked]))
 
 
+def test_kmeans_runs_share_passes(spark, monkeypatch):
+    """All runs against Lloyd's steps in numpy; 21 runs take no more passes than one run's steps and the start."""
+    df = blobs(spark, 4, 400, 9, 1.5).unionByName(blobs(spark, 4, 400, 9, 1.5).where("id < 40").withColumn("id", F.col("id") + 1000))
+    df = df.withColumn("v", array_to_vector(F.array("tapping_temp", "s_"))).cache()
+    x = df.select("tapping_temp", "s_").toPandas().to_numpy()
+    passes, assigned = [], CL._assigned
+    monkeypatch.setattr(CL, "_assigned", lambda *a: passes.append(1) or assigned(*a))
+    runs = [(k, s) for k in (2, 3, 4) for s in (1, 2, 3)]
+    for (k, _s), (centres, cost) in zip(runs, CL.fit_runs(df, "id", runs, "v")):
+        d = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+        assert centres.shape == (k, 2) and cost == pytest.approx(d.min(axis=1).sum())
+        means = np.array([x[d.argmin(axis=1) == c].mean(axis=0) for c in range(k)])
+        assert np.allclose(means, centres, atol=1e-3)  # a fixed point of the whole table
+    assert len(passes) <= 52
+    same = CL._assigned(CL.point_blocks(df, "id", "v"), [np.array([[0.0, 0.0], [0.0, 0.0]])])[0]
+    assert same[0].tolist() == [len(x), 0] and same[2] == pytest.approx((x ** 2).sum())  # ties count once
+    model = CL.centres_model(spark, np.array([[0.0, 1.0], [5.0, 5.0], [9.0, 2.0]]), "v")
+    assert sorted(map(list, model.clusterCenters())) == [[0.0, 1.0], [5.0, 5.0], [9.0, 2.0]]
+
+
 def test_clustering_job_chooses_k(spark, tmp_path):
     chosen = {}
     for k in (3, 5):
