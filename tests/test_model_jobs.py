@@ -142,6 +142,41 @@ def test_train_select_save_and_reuse(spark, labelled, tmp_path):
     assert IO.latest_version(spark, path) == (folder, name)
 
 
+def test_fits_of_large_tables_run_one_by_one(monkeypatch):
+    import threading
+    import time
+    running, most, lock = [], [], threading.Lock()
+
+    def task():
+        with lock:
+            running.append(1)
+            most.append(len(running))
+        time.sleep(0.05)
+        with lock:
+            running.pop()
+        return 1
+
+    monkeypatch.setattr(TR, "PARALLEL_ROWS", 100)
+    for rows, limit in ((1000, 1), (50, 2), (1, 8)):
+        most.clear()
+        assert TR.side_by_side([task] * 10, rows) == [1] * 10 and max(most) == limit
+
+
+def test_fit_takes_no_more_partitions_than_cores(spark, labelled):
+    from pyspark.ml import Pipeline
+    seen = []
+    real = Pipeline.fit
+
+    def fit(self, data, *a):
+        seen.append(data.rdd.getNumPartitions())
+        return real(self, data, *a)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(Pipeline, "fit", fit)
+        MD.fit_classifier(MD.with_class_weights(labelled.repartition(50)), ["a", "b"], small(480)["logistic_regression"])
+    assert max(seen) <= spark.sparkContext.defaultParallelism
+
+
 def test_out_of_fold_and_report(spark, labelled):
     frame = TR.training_frame(labelled, ["a", "b"], "defect", ["id"], folds=3)
     assert {(r.split, r.n) for r in frame.groupBy("split").agg(F.count("*").alias("n")).collect()} == {("test", 120), ("train", 480)}
