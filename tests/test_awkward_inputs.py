@@ -230,6 +230,21 @@ def test_report_stages_compile(tmp_path):
     assert "64 KB" not in done.stderr and "failed to compile" not in done.stderr.lower()
 
 
+def test_queries_bound_the_generated_methods(spark):
+    """Any session runs the queries with methods that the JIT compiles; a limit set by the user stays."""
+    import __spark_entry__ as e
+
+    key, query = "spark.sql.codegen.hugeMethodLimit", e.queries()["d6_enriched_table"]
+    before = spark.conf.get(key)
+    try:
+        for given, expected in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set(key, given)
+            query(spark, "/root/testdata/sf0.001")
+            assert spark.conf.get(key) == expected
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_forest_and_anomaly_job_see_every_dimension(spark, tmp_path):
     """A row whose large values cancel in any sum over neighbouring dimensions is the outlier."""
     from meltlens.catalog import neighbours as CN
