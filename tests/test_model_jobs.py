@@ -36,6 +36,18 @@ def small(n):
     return {k: found[k] for k in ("logistic_regression", "random_forest")}
 
 
+def test_positional_attach_merges_and_deals_equal_values(spark, tmp_path):
+    """Neither whole side is broadcast, however small it is estimated; rows of one probability keep their keys."""
+    from meltlens.catalog.analytics import j3_positional_attach
+
+    spark.range(3000).selectExpr("id as l_orderkey", "1L as l_partkey", "1L as l_suppkey", "1 as l_linenumber", "1e0 as l_quantity",
+                                 "1e0 as l_extendedprice", "0e0 as l_discount", "0e0 as l_tax", "'N' as l_returnflag", "'O' as l_linestatus",
+                                 "timestamp'1996-01-01' as l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    both = j3_positional_attach(spark, str(tmp_path))
+    assert "SortMergeJoin [__position" in both._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.l_orderkey, r.defect_prob) for r in both.collect()) == [(i, 0.48) for i in range(3000)]
+
+
 def test_positions_and_positional_attach(spark):
     df = spark.range(0, 1000, 1, 7).where("id % 3 <> 0 or id > 500").select((-F.col("id")).alias("v"))
     got = [(r.v, r.position) for r in with_positions(df).orderBy("position").collect()]
