@@ -230,6 +230,24 @@ def test_report_stages_compile(tmp_path):
     assert "64 KB" not in done.stderr and "failed to compile" not in done.stderr.lower()
 
 
+def test_dbscan_measures_a_linked_group_once(monkeypatch):
+    """Core points of one group stop asking a leaf whose groups they all met; distances at eps are decided exactly."""
+    from meltlens.operators import dbscan as DB
+
+    rng, measured, within = np.random.default_rng(3), [], DB.within
+    x, held = rng.normal(size=(5000, 3)) * 0.1, rng.normal(size=(400, 3)) * 0.1
+    monkeypatch.setattr(DB, "within", lambda a, b, eps: measured.append(len(a)) or within(a, b, eps))
+    assert DB.near_groups(x, held, np.repeat([7, 9], 200), 0.5, np.full(5000, 4)).tolist() == [[4, 7], [4, 9]]
+    assert sum(measured) == DB.BLOCK
+    grid = np.stack(np.meshgrid(*[np.arange(6) * 0.1] * 3), axis=-1).reshape(-1, 3)
+    for shift in (0.0, 1e3, 1e200):
+        assert (within(grid + shift, grid + shift, 0.1) == (DB.distances(grid + shift, grid + shift) <= 0.1)).all()
+    own, row = rng.integers(0, 30, 900), rng.normal(size=(900, 2)) * 3
+    near = DB.distances(row[:600], row[600:]) <= 0.3
+    pairs = sorted({(own[i], own[600 + j]) for i, j in zip(*np.nonzero(near))})
+    assert DB.near_groups(row[:600], row[600:], own[600:], 0.3, own[:600]).tolist() == [list(p) for p in pairs]
+
+
 def test_queries_bound_the_generated_methods(spark):
     """Any session runs the queries with methods that the JIT compiles; a limit set by the user stays."""
     import __spark_entry__ as e
