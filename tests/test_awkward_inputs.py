@@ -230,6 +230,20 @@ def test_report_stages_compile(tmp_path):
     assert "64 KB" not in done.stderr and "failed to compile" not in done.stderr.lower()
 
 
+def test_lof_gathers_no_python_group_for_each_point(spark, monkeypatch):
+    """Python groups are leaves; the neighbours of a point are merged by a window."""
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    from meltlens.operators.lof import lof_scores
+
+    made, apply = [], PandasGroupedOpsMixin.applyInPandas
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandas", lambda self, fn, schema: made.append(schema) or apply(self, fn, schema))
+    x = np.round(np.random.default_rng(5).normal(size=(300, 2)), 1)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in x], "a double, b double")
+    assert lof_scores(df, ["a", "b"], k=5, leaf_points=30).count() == 300
+    assert made and not [s for s in made if "other" in str(s)]
+
+
 def test_dbscan_measures_a_linked_group_once(monkeypatch):
     """Core points of one group stop asking a leaf whose groups they all met; distances at eps are decided exactly."""
     from meltlens.operators import dbscan as DB
