@@ -5,6 +5,8 @@ before their merges run, so the ids of a text are the ids of its chunks in order
 The chunk starts of a batch of texts are found with array operations, Arrow
 encodes the chunks as a dictionary, and only its entries meet the ``tokenizers``
 library (a bounded cache keeps their ids); one gather lays the ids out in order.
+A worker holds the arrays of one batch, the encodings of one group of new chunks and
+the cache, however long the texts and however many the chunks are.
 Texts that hold the string of an added token are encoded as one piece, since such
 a string can span chunks.
 """
@@ -41,10 +43,13 @@ CLASSES = _classes()
 #: tokenizer file -> whether a word takes the one space before it.  Other white space stands alone
 #: there, all but its last character; the other vocabulary drops white space.
 SPACE_JOINS = {"byte_bpe_50k.json": True, "word_bpe_49k.json": False}
-#: Chunks kept by a worker before the cache starts anew.
-MAX_CACHED_CHUNKS = 1_000_000
+#: Chunks in each of a cache's two generations.  When the recent one is full, it becomes the older one;
+#: chunks met again move back, so the frequent ones stay.
+MAX_CACHED_CHUNKS = 300_000
+#: Chunks that the library encodes at once (an encoding takes far more memory than its ids).
+ENCODE_CHUNKS = 4096
 #: Code points that are laid out as arrays at once, unless a text without white space is longer.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 
 def chunk_starts(points: np.ndarray, texts: np.ndarray, joins: bool) -> np.ndarray:
@@ -111,6 +116,7 @@ class Encoder:
         self.joins = SPACE_JOINS.get(os.path.basename(path))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return little_endian(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -173,14 +179,19 @@ class Encoder:
         return [ids[a:b].tobytes() for a, b in zip(until[:-1], until[1:])]
 
     def _ids(self, chunks: list[bytes]) -> list[bytes]:
-        if len(self.cache) > MAX_CACHED_CHUNKS:
-            self.cache.clear()
         found = list(map(self.cache.get, chunks))
-        if None in found:
-            new = [c for c, ids in zip(chunks, found) if ids is None]
-            for chunk, coded in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)):
-                self.cache[chunk] = little_endian(coded.ids)
-            found = list(map(self.cache.get, chunks))
+        missing = [at for at, ids in enumerate(found) if ids is None]
+        for first in range(0, len(missing), ENCODE_CHUNKS):
+            if len(self.cache) >= MAX_CACHED_CHUNKS:
+                self.older, self.cache = self.cache, {}
+            group = missing[first:first + ENCODE_CHUNKS]
+            for at in group:
+                found[at] = self.older.get(chunks[at])
+            new = [at for at in group if found[at] is None]
+            texts = [chunks[at].decode() for at in new]
+            for at, coded in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                found[at] = little_endian(coded.ids)
+            self.cache.update((chunks[at], found[at]) for at in group)
         return found
 
 

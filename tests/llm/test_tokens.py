@@ -29,6 +29,29 @@ def test_chunked_encoding_is_the_library_s(name, rows):
     assert encoder.encode_all(texts) == [encoder.whole(t or "") for t in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_keeps_and_encodes_bounded_numbers_of_chunks(name, monkeypatch):
+    monkeypatch.setattr("meltlens.llm.tokens.MAX_CACHED_CHUNKS", 600)
+    monkeypatch.setattr("meltlens.llm.tokens.ENCODE_CHUNKS", 100, raising=False)
+    rng, encoder, asked, held = random.Random(3), Encoder(public_tokenizers.path(name)), [], []
+
+    class Library:
+        def encode_batch_fast(self, texts, **options):
+            asked.append(len(texts))
+            held.append(len(encoder.cache) + len(getattr(encoder, "older", ())))
+            return library.encode_batch_fast(texts, **options)
+
+    library, encoder.tokenizer = encoder.tokenizer, Library()
+    common = ["the", "of", "and", "naïve", "語"]
+    batches = [[" ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choices("abcdefgh", k=7)) for _ in range(400))
+                for _ in range(6)] for _ in range(8)]
+    got = [encoder.encode_all(texts) for texts in batches]
+    held.append(len(encoder.cache) + len(getattr(encoder, "older", ())))
+    encoder.tokenizer = library
+    assert got == [[encoder.whole(t) for t in texts] for texts in batches]
+    assert max(asked) <= 100 and max(held) <= 2 * (600 + 100)
+
+
 @pytest.mark.parametrize("top", [1, 255, 256, 50_256, 2**24, 2**32 - 1])
 def test_codes_random_access(top):
     rng = np.random.default_rng(top)
