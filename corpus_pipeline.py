@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meltlens.llm import decontamination, jaccard_join, packing, quality_rules, secret_scan
 from meltlens.llm.common import scratch_path, table
+from meltlens.llm.tokens import LEAN
 from meltlens.session import ship_package
 
 
@@ -43,7 +44,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their places in packed sequences."""
     ship_package(spark)
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, sizes=LEAN)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -39,7 +39,7 @@ CAPACITY = 4096
 
 
 def cut_pieces(df: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY,
-               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+               id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, int] | None = None) -> DataFrame:
     """Columns: id, piece, start, length, ids (binary, little-endian u32), part, at - written and reread.
 
     ``at`` counts the pieces of the same length before this one in partition ``part``.
@@ -49,7 +49,7 @@ def cut_pieces(df: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID,
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, seen, coder = TaskContext.get().partitionId(), Counter(), encoder(tokenizer)
+        part, seen, coder = TaskContext.get().partitionId(), Counter(), encoder(tokenizer, sizes)
         for batch in row_batches(batches, 2000):
             out = []
             wanted = batch["id"].astype(object).where(batch["id"].notna(), None)
@@ -205,9 +205,9 @@ def sequences(placed: DataFrame) -> DataFrame:
 
 
 def pack_documents(df: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = cut_pieces(df, tokenizer, end_id, capacity, id_col, text_col)
+                   id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, int] | None = None) -> DataFrame:
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset; ``sizes`` are the encoder's."""
+    pieces = cut_pieces(df, tokenizer, end_id, capacity, id_col, text_col, sizes)
     digested = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return place(digested, capacity).select(id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

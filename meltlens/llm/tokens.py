@@ -45,11 +45,13 @@ CLASSES = _classes()
 SPACE_JOINS = {"byte_bpe_50k.json": True, "word_bpe_49k.json": False}
 #: Chunks in each of a cache's two generations.  When the recent one is full, it becomes the older one;
 #: chunks met again move back, so the frequent ones stay.
-MAX_CACHED_CHUNKS = 300_000
+MAX_CACHED_CHUNKS = 500_000
 #: Chunks that the library encodes at once (an encoding takes far more memory than its ids).
 ENCODE_CHUNKS = 4096
 #: Code points that are laid out as arrays at once, unless a text without white space is longer.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 4_000_000
+#: (chunks cached, code points at once) where executors hold the memory of other stages too: less memory, more CPU time.
+LEAN = (300_000, 1_000_000)
 
 
 def chunk_starts(points: np.ndarray, texts: np.ndarray, joins: bool) -> np.ndarray:
@@ -108,13 +110,14 @@ RUN_START = re.compile(r"[^\s\x1C-\x1F](?= )")
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, sizes: tuple[int, int] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.joins = SPACE_JOINS.get(os.path.basename(path))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cached_chunks, self.batch_chars = sizes or (MAX_CACHED_CHUNKS, BATCH_CHARS)
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -138,10 +141,10 @@ class Encoder:
                 out.append(self.whole(text))
                 continue
             out.append(b"")
-            for part in segments(text, BATCH_CHARS):
+            for part in segments(text, self.batch_chars):
                 if not part:
                     continue
-                if size + len(part) > BATCH_CHARS and parts:
+                if size + len(part) > self.batch_chars and parts:
                     flush()
                     parts, owners, size = [], [], 0
                 parts.append(part)
@@ -182,7 +185,7 @@ class Encoder:
         found = list(map(self.cache.get, chunks))
         missing = [at for at, ids in enumerate(found) if ids is None]
         for first in range(0, len(missing), ENCODE_CHUNKS):
-            if len(self.cache) >= MAX_CACHED_CHUNKS:
+            if len(self.cache) >= self.cached_chunks:
                 self.older, self.cache = self.cache, {}
             group = missing[first:first + ENCODE_CHUNKS]
             for at in group:
@@ -195,16 +198,16 @@ class Encoder:
         return found
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(tokenizer: str) -> Encoder:
+def encoder(tokenizer: str, sizes: tuple[int, int] | None = None) -> Encoder:
     """The worker's encoder of a tokenizer file, given by path or by its public name."""
-    if tokenizer not in _ENCODERS:
+    if (tokenizer, sizes) not in _ENCODERS:
         path = tokenizer
         if os.sep not in tokenizer:
             import public_tokenizers
 
             path = public_tokenizers.path(tokenizer)
-        _ENCODERS[tokenizer] = Encoder(path)
-    return _ENCODERS[tokenizer]
+        _ENCODERS[tokenizer, sizes] = Encoder(path, sizes)
+    return _ENCODERS[tokenizer, sizes]
