@@ -102,3 +102,16 @@ def test_rows_weighted_beyond_their_class_take_sparks_fit(rows):
 def test_missing_features_are_refused(rows):
     with pytest.raises(Exception, match="must not be missing"):
         MD.fit_classifier(rows.withColumn("d", F.when(F.col("a") > 3, 1.0)), FEATURES, MD.candidates(3000, trees=2)["random_forest"])
+
+
+def test_validation_takes_all_four_candidates(spark, monkeypatch):
+    from meltlens.catalog import models as M
+    from meltlens.operators import training as TR
+    seen = []
+    real = TR.compare_models
+    monkeypatch.setattr(TR, "compare_models", lambda frame, features, candidates, *a: seen.extend(candidates) or real(frame, features, {
+        "logistic_regression": candidates["logistic_regression"].copy().setMaxIter(1)}, *a))
+    monkeypatch.setattr(TR, "out_of_fold", lambda *a: (_ for _ in ()).throw(KeyError("seen enough")))
+    with pytest.raises(KeyError, match="seen enough"):
+        M.m28_cross_validation(spark, "/root/testdata/sf0.001")
+    assert set(seen) == {"logistic_regression", "random_forest", "gradient_boosting", "randomized_forest"}
