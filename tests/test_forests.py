@@ -37,7 +37,7 @@ def probabilities(model, rows):
 
 
 def test_fit_does_not_run_sparks_trees(rows, monkeypatch):
-    """Spark's forest keeps a counter for each row and tree, and took 17 times as long."""
+    """Spark's forest keeps a counter for each row and tree."""
     def refused(self, _):
         raise AssertionError("Spark's own fit")
 
